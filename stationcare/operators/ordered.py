@@ -224,11 +224,13 @@ class Rolling:
     kind: str = "mean"  # or "variance" (sample variance)
 
 
-def _statistic(spec: Rolling, total: Column, square: Column | None, count: Column,
-               centre: float) -> Column:
+def _statistic(spec: Rolling, value) -> Column:
+    """The statistic from window totals; ``value(kind)`` gives the total of one part."""
+    count = value("n")
     if spec.kind == "mean":
-        value = F.try_divide(total, count) + F.lit(centre)
-        return F.when(count >= F.greatest(F.lit(spec.min_periods), F.lit(1)), value)
+        mean = F.try_divide(value("s"), count)
+        return F.when(count >= F.greatest(F.lit(spec.min_periods), F.lit(1)), mean)
+    total, square = value("v"), value("q")
     spread = F.try_divide(square - F.try_divide(total * total, count), count - 1)
     return F.when((count >= spec.min_periods) & (count > 1), F.greatest(F.lit(0.0), spread))
 
@@ -236,70 +238,69 @@ def _statistic(spec: Rolling, total: Column, square: Column | None, count: Colum
 def rolling(df: DataFrame, specs: list[Rolling], rows: int, by: list[str] | None = None,
             index: str = INDEX, centres: dict[str, float] | None = None,
             halo_limit: int = HALO_LIMIT) -> DataFrame:
-    """Rolling means and variances of any width from prefix sums, in one block pass.
+    """Rolling means and variances of any width from prefix sums.
 
     A window as long as the table needs no look-back at all. Windows longer than
     ``halo_limit`` take the position join instead of a halo.
     """
-    short = [s for s in specs if s.width <= halo_limit or s.width >= rows]
-    long = [s for s in specs if s not in short]
-    if short:
-        halo = max([s.width for s in short if s.width < rows], default=0)
-        if halo == 0:
-            df = _rolling_whole(df, short, rows, by, index, centres or {})
-        else:
-            whole = [s for s in short if s.width >= rows]
-            blocks = in_blocks(df, rows, back=halo, by=by, index=index)
-            df = _rolling_in(blocks, [s for s in short if s.width < rows], centres or {})
-            if whole:
-                df = _rolling_whole(df, whole, rows, by, index, centres or {})
+    return rolling_blocks(df, specs, rows, by, index, centres, halo_limit).result()
+
+
+def rolling_blocks(df: DataFrame, specs: list[Rolling], rows: int, by: list[str] | None = None,
+                   index: str = INDEX, centres: dict[str, float] | None = None,
+                   halo_limit: int = HALO_LIMIT, extra: int = 0) -> Blocks:
+    """``rolling`` kept in blocks with ``extra`` valid halo rows, for further look-backs."""
+    centres = centres or {}
+    whole = [s for s in specs if s.width >= rows]
+    short = [s for s in specs if s.width < rows and s.width + extra <= halo_limit]
+    long = [s for s in specs if s not in whole and s not in short]
+    if whole:
+        df = _rolling_whole(df, whole, rows, by, index, centres)
     if long:
-        df = _rolling_joined(df, long, rows, by, index, centres or {})
-    return df
-
-
-def _parts(column: str, centre: float) -> dict[str, Column]:
-    x = F.col(column).cast("double") - F.lit(centre)
-    return {f"_s_{column}": F.coalesce(x, F.lit(0.0)),
-            f"_q_{column}": F.coalesce(x * x, F.lit(0.0)),
-            f"_n_{column}": F.col(column).isNotNull().cast("long")}
+        df = _rolling_joined(df, long, rows, by, index, centres)
+    halo = max([s.width for s in short], default=0) + extra
+    blocks = in_blocks(df, rows, back=halo, by=by, index=index)
+    return _rolling_in(blocks, short, centres) if short else blocks
 
 
 def _needed(specs: list[Rolling], centres: dict[str, float]) -> dict[str, Column]:
+    """Addends per column: count, value, and for variances the centred value and its square."""
     out: dict[str, Column] = {}
     for s in specs:
-        parts = _parts(s.column, centres.get(s.column, 0.0))
-        if s.kind == "mean" and not any(o.kind == "variance" and o.column == s.column for o in specs):
-            parts.pop(f"_q_{s.column}")
-        out.update(parts)
+        x = F.col(s.column).cast("double")
+        out[f"_n_{s.column}"] = F.col(s.column).isNotNull().cast("long")
+        if s.kind == "mean":
+            out[f"_s_{s.column}"] = F.coalesce(x, F.lit(0.0))
+        else:
+            gap = x - F.lit(centres.get(s.column, 0.0))
+            out[f"_v_{s.column}"] = F.coalesce(gap, F.lit(0.0))
+            out[f"_q_{s.column}"] = F.coalesce(gap * gap, F.lit(0.0))
     return out
 
 
-def _rolling_in(blocks: Blocks, specs: list[Rolling], centres: dict[str, float]) -> DataFrame:
+def _zero(part: str) -> Column:
+    return F.lit(0).cast("long" if part.startswith("_n_") else "double")
+
+
+def _rolling_in(blocks: Blocks, specs: list[Rolling], centres: dict[str, float]) -> Blocks:
     parts = _needed(specs, centres)
     sums = blocks.with_columns({f"_p{n}": F.sum(c).over(blocks.running) for n, c in parts.items()})
-    shifts = {(n, s.width) for s in specs for n in parts if n.endswith(f"_{s.column}")
-              and n[3:] == s.column}
+    shifts = sorted({(n, s.width) for s in specs for n in _needed([s], centres)})
     sums = sums.with_columns({
-        f"_d{n}_{w}": F.col(f"_p{n}") - F.coalesce(F.lag(f"_p{n}", w).over(blocks.window),
-                                                  F.lit(0).cast("long" if n.startswith("_n_") else "double"))
-        for n, w in sorted(shifts)}).own_rows()
+        f"_d{n}_{w}": F.col(f"_p{n}") - F.coalesce(F.lag(f"_p{n}", w).over(blocks.window), _zero(n))
+        for n, w in shifts})
     out = sums.with_columns({
-        s.name: _statistic(s, F.col(f"_d_s_{s.column}_{s.width}"),
-                           F.col(f"_d_q_{s.column}_{s.width}") if s.kind == "variance" else None,
-                           F.col(f"_d_n_{s.column}_{s.width}"), centres.get(s.column, 0.0))
+        s.name: _statistic(s, lambda kind, s=s: F.col(f"_d_{kind}_{s.column}_{s.width}"))
         for s in specs})
-    return out.result(*[f"_p{n}" for n in parts], *[f"_d{n}_{w}" for n, w in shifts])
+    return Blocks(out.df.drop(*[f"_p{n}" for n in parts], *[f"_d{n}_{w}" for n, w in shifts]),
+                  out.by, out.index, out.length)
 
 
 def _rolling_whole(df, specs, rows, by, index, centres) -> DataFrame:
     parts = _needed(specs, centres)
     total = running_total(df, {f"_p{n}": c for n, c in parts.items()}, rows, by, index)
     out = total.withColumns({
-        s.name: _statistic(s, F.col(f"_p_s_{s.column}"),
-                           F.col(f"_p_q_{s.column}") if s.kind == "variance" else None,
-                           F.col(f"_p_n_{s.column}"), centres.get(s.column, 0.0))
-        for s in specs})
+        s.name: _statistic(s, lambda kind, s=s: F.col(f"_p_{kind}_{s.column}")) for s in specs})
     return out.drop(*[f"_p{n}" for n in parts])
 
 
@@ -308,17 +309,14 @@ def _rolling_joined(df, specs, rows, by, index, centres) -> DataFrame:
     names = [f"_p{n}" for n in parts]
     out = running_total(df, {f"_p{n}": c for n, c in parts.items()}, rows, by, index)
     for width in sorted({s.width for s in specs}):
-        mine = [s for s in specs if s.width == width]
         out = look_back(out, names, width, by, index)
 
-        def gap(n: str) -> Column:
-            return F.col(f"_p{n}") - F.coalesce(F.col(f"_p{n}_back"), F.lit(0))
+        def gap(kind: str, s: Rolling) -> Column:
+            n = f"_{kind}_{s.column}"
+            return F.col(f"_p{n}") - F.coalesce(F.col(f"_p{n}_back"), _zero(n))
 
-        out = out.withColumns({
-            s.name: _statistic(s, gap(f"_s_{s.column}"),
-                               gap(f"_q_{s.column}") if s.kind == "variance" else None,
-                               gap(f"_n_{s.column}"), centres.get(s.column, 0.0))
-            for s in mine}).drop(*[f"{n}_back" for n in names])
+        out = out.withColumns({s.name: _statistic(s, lambda kind, s=s: gap(kind, s))
+                               for s in specs if s.width == width}).drop(*[f"{n}_back" for n in names])
     return out.drop(*names)
 
 
@@ -327,8 +325,7 @@ def centred_mean(df: DataFrame, name: str, column: str, width: int, rows: int,
     """Mean over ``width`` rows around each row; NULL where the window is not full."""
     ahead = (width - 1) // 2
     blocks = in_blocks(df, rows, back=width, ahead=max(ahead, 1), by=by, index=index)
-    parts = _parts(column, 0.0)
-    parts.pop(f"_q_{column}")
+    parts = _needed([Rolling(name, column, width, width)], {})
     sums = blocks.with_columns({f"_p{n}": F.sum(c).over(blocks.running) for n, c in parts.items()})
     w, tail = sums.window, width - ahead
 

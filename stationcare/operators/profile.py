@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationcare import settings as S
@@ -28,8 +28,8 @@ def kind_counts(df: DataFrame) -> dict[str, int]:
 def class_share(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
     """Counts and percentages, most frequent first, names breaking ties; ``top`` folds the rest."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    shares = counts.withColumn("share_pct", 100.0 * F.col("n") / total)
+    total = df.agg(F.count(column))
+    shares = counts.withColumn("share_pct", 100.0 * F.col("n") / total.scalar())
     if top is None:
         return shares.orderBy(F.desc("n"), column)
     return shares.orderBy(F.desc("n"), column).limit(top)
@@ -114,21 +114,21 @@ def time_profile(df: DataFrame, timestamp: str, order_by: list[str],
     gaps = time_gaps(df, timestamp, order_by, rows)
     known = gaps.where(F.col("gap_seconds").isNotNull())
     counted = known.groupBy("gap_seconds").agg(F.count(F.lit(1)).alias("c"))
-    mode = counted.agg(F.max_by("gap_seconds", F.struct("c", -F.col("gap_seconds"))).alias("mode_seconds"))
-    median = quantiles(known, ["gap_seconds"], [0.5], rows=rows).select(F.col("q")[0].alias("median_seconds"))
-    over = counted.join(F.broadcast(mode), F.lit(True)).agg(
-        F.first("mode_seconds").alias("mode_seconds"),
-        F.coalesce(F.sum(F.when(F.col("gap_seconds") > 2 * F.col("mode_seconds"), F.col("c"))),
-                   F.lit(0)).alias("large_gaps"),
-        F.max(F.when(F.col("gap_seconds") > 2 * F.col("mode_seconds"), F.col("gap_seconds")))
-        .alias("max_gap_seconds"))
+    mode = counted.agg(F.max_by("gap_seconds", F.struct("c", -F.col("gap_seconds"))))
+    median = quantiles(known, ["gap_seconds"], [0.5], rows=rows).select(F.col("q")[0])
+    large = F.col("gap_seconds") > 2 * F.col("mode_seconds")
+    over = counted.withColumn("mode_seconds", mode.scalar()).agg(F.struct(
+        F.coalesce(F.sum(F.when(large, F.col("c"))), F.lit(0)).alias("large_gaps"),
+        F.max(F.when(large, F.col("gap_seconds"))).alias("max_gap_seconds")))
     us = F.unix_micros(F.col(timestamp).cast("timestamp"))
     span = df.agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"))
-    one = span.join(F.broadcast(median), F.lit(True), "left").join(F.broadcast(over), F.lit(True), "left")
+    one = span.withColumns({"median_seconds": median.scalar(), "mode_seconds": mode.scalar(),
+                            "_over": over.scalar()})
     return one.select(
         "first_us", "last_us", ((F.col("last_us") - F.col("first_us")) / 1e6).alias("span_seconds"),
-        "median_seconds", F.when(F.col("median_seconds") > 0, 1.0 / F.col("median_seconds")).otherwise(0.0)
-        .alias("frequency_hz"), "mode_seconds", "large_gaps", "max_gap_seconds")
+        "median_seconds",
+        F.when(F.col("median_seconds") > 0, 1.0 / F.col("median_seconds")).otherwise(0.0)
+        .alias("frequency_hz"), "mode_seconds", "_over.large_gaps", "_over.max_gap_seconds")
 
 
 def hourly_target(df: DataFrame, timestamp: str, target: str) -> DataFrame:
