@@ -10,7 +10,6 @@ from stationcare import settings as S
 from stationcare.functions.hashing import stable_hash, stable_uniform
 from stationcare.operators.ordered import with_index
 from stationcare.operators.split import cap_per_class
-from stationcare.operators.tables import settled
 
 TILE = 8_192
 
@@ -32,13 +31,13 @@ def neighbours(df: DataFrame, label: str, key: str, k: int = S.SMOTE_NEIGHBOURS,
     left = df.select(F.col(label).alias("l"), mine.alias("a"), F.explode(others).alias("b"),
                      F.col("position").alias("i"), "x")
     right = df.select(F.col(label).alias("l"), F.explode(others).alias("a"), mine.alias("b"),
-                      F.col("position").alias("j"), "x")
+                      F.col("position").alias("j"), F.col("x").alias("y"))
     names = ["l", "i", "distance", "j"]
 
     def nearest(rows: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or pool.empty:
             return pd.DataFrame(columns=names)
-        points, ids = np.vstack(pool["x"].to_numpy()), pool["j"].to_numpy()
+        points, ids = np.vstack(pool["y"].to_numpy()), pool["j"].to_numpy()
         found = []
         for start in range(0, len(rows), 512):
             part = rows.iloc[start:start + 512]
@@ -48,12 +47,16 @@ def neighbours(df: DataFrame, label: str, key: str, k: int = S.SMOTE_NEIGHBOURS,
                 gap += (x[:, d, None] - points[None, :, d]) ** 2
             gap[i[:, None] == ids[None, :]] = np.inf
             take = min(k, gap.shape[1])
+            reach = np.partition(gap, take - 1, axis=1)[:, take - 1]
+            row, at = np.nonzero(gap <= reach[:, None])
             # ties at the k-th distance resolve to the lower position
-            order = np.lexsort((np.broadcast_to(ids, gap.shape), gap), axis=1)[:, :take]
-            near = np.take_along_axis(gap, order, axis=1)
-            found.append(pd.DataFrame({
-                "l": part["l"].iloc[0], "i": np.repeat(i, take), "distance": near.ravel(),
-                "j": ids[order].ravel()}))
+            order = np.lexsort((ids[at], gap[row, at], row))
+            row, at = row[order], at[order]
+            first = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
+            place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+            row, at = row[place < take], at[place < take]
+            found.append(pd.DataFrame({"l": part["l"].iloc[0], "i": i[row], "distance": gap[row, at],
+                                       "j": ids[at]}))
         out = pd.concat(found)
         return out[np.isfinite(out["distance"])]
 

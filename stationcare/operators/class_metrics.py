@@ -110,36 +110,51 @@ def precision_at_k(df: DataFrame, classes: list[str], y_true: str = "y_true",
     return melted(wide, by, {f"precision_at_{k}_critical": F.col(f"k{k}") for k in ks})
 
 
-def detection_runs(df: DataFrame, order_by: list[str], y_true: str = "y_true", y_pred: str = "y_pred",
-                   critical: list[str] | None = None, keywords: bool = False,
-                   rows: int | None = None) -> DataFrame:
-    """One row per critical run: its length and the offset of the first critical prediction."""
+def _runs(df: DataFrame, order_by: list[str], y_true: str, y_pred: str, critical: list[str] | None,
+          keywords: bool, rows: int | None, by: list[str]) -> DataFrame:
+    """Critical and other runs in row order, each with the offset of its first critical prediction."""
     rows = df.count() if rows is None else rows
     numbered = with_index(df.select(
-        *order_by, is_critical(F.col(y_true), critical, keywords).alias("_t"),
-        is_critical(F.col(y_pred), critical, keywords).alias("_p")), order_by, rows=rows)
-    runs = change_runs(numbered, "_t", rows)
-    return (runs.where("_t").groupBy("run_id").agg(
+        *by, *order_by, is_critical(F.col(y_true), critical, keywords).alias("_t"),
+        is_critical(F.col(y_pred), critical, keywords).alias("_p")), order_by, by=by, rows=rows)
+    runs = change_runs(numbered, "_t", rows, by=by)
+    return (runs.groupBy(*by, "run_id", "_t").agg(
         F.min("row_index").alias("first_index"), F.count(F.lit(1)).alias("run_rows"),
         F.min(F.when(F.col("_p"), F.col("row_index"))).alias("_hit"))
-        .select("run_id", "first_index", "run_rows", (F.col("_hit") - F.col("first_index")).alias("delay")))
+        .select(*by, "run_id", "_t", "first_index", "run_rows",
+                (F.col("_hit") - F.col("first_index")).alias("delay")))
+
+
+def detection_runs(df: DataFrame, order_by: list[str], y_true: str = "y_true", y_pred: str = "y_pred",
+                   critical: list[str] | None = None, keywords: bool = False,
+                   rows: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """One row per critical run: its length and the offset of the first critical prediction."""
+    return _runs(df, order_by, y_true, y_pred, critical, keywords, rows, list(by or [])).where("_t").drop("_t")
 
 
 def time_to_detection(df: DataFrame, order_by: list[str], y_true: str = "y_true",
                       y_pred: str = "y_pred", critical: list[str] | None = None,
-                      keywords: bool = False, rows: int | None = None) -> DataFrame:
+                      keywords: bool = False, rows: int | None = None,
+                      by: list[str] | None = None) -> DataFrame:
     """Mean and median delay and share of detected critical runs.
 
     No critical run: 0, 0, 1. None detected: infinite delays.
     """
-    runs = detection_runs(df, order_by, y_true, y_pred, critical, keywords, rows)
-    facts = runs.agg(F.count(F.lit(1)).alias("runs"), F.count("delay").alias("found"),
-                     F.avg("delay").alias("mean_delay"))
-    median = quantiles(runs, ["delay"], [0.5], rows=rows).select(F.col("q")[0].alias("m"))
-    wide = facts.withColumn("median_delay", median.scalar())
+    by = list(by or [])
+    rows = df.count() if rows is None else rows
+    runs = _runs(df, order_by, y_true, y_pred, critical, keywords, rows, by)
+    late = F.when(F.col("_t"), F.col("delay"))
+    facts = runs.groupBy(*by).agg(F.count_if("_t").alias("runs"), F.count(late).alias("found"),
+                                  F.avg(late).alias("mean_delay"))
+    median = quantiles(runs.where("_t"), ["delay"], [0.5], by=by, rows=rows)
+    if by:
+        side = median.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("q")[0].alias("median_delay"))
+        wide = facts.join(side, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left")
+    else:
+        wide = facts.withColumn("median_delay", median.select(F.col("q")[0]).scalar())
     none, never = F.col("runs") == 0, F.lit(float("inf"))
     delay = {n: F.when(none, 0.0).otherwise(F.coalesce(F.col(n), never)) for n in ("mean_delay", "median_delay")}
-    return melted(wide, [], {
+    return melted(wide, by, {
         "avg_time_to_detection": delay["mean_delay"], "median_time_to_detection": delay["median_delay"],
         "detection_rate": F.when(none, 1.0).otherwise(F.try_divide(F.col("found"), F.col("runs")))})
 
@@ -147,18 +162,19 @@ def time_to_detection(df: DataFrame, order_by: list[str], y_true: str = "y_true"
 def classification_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
                            probabilities: str | None = None, classes: list[str] | None = None,
                            order_by: list[str] | None = None, critical: list[str] | None = None,
-                           threshold: float = S.CRITICAL_PROBABILITY) -> DataFrame:
-    """The full set as ``(metric, value)``; probabilities switch on the critical override and top-k."""
+                           threshold: float = S.CRITICAL_PROBABILITY,
+                           by: list[str] | None = None) -> DataFrame:
+    """The full set as ``(*by, metric, value)``; probabilities switch on the critical override and top-k."""
     critical = critical or S.CRITICAL_CLASSES
     if probabilities and classes and critical[0] in classes:
         chance = F.get(F.col(probabilities), F.lit(classes.index(critical[0])))
         df = df.withColumn(y_pred, critical_override(F.col(y_pred), chance, critical[0], threshold))
-    parts = [basic_metrics(df, y_true, y_pred), critical_class_metrics(df, y_true, y_pred, critical),
-             cost_metrics(df, y_true, y_pred, critical)]
+    parts = [basic_metrics(df, y_true, y_pred, by), critical_class_metrics(df, y_true, y_pred, critical, by),
+             cost_metrics(df, y_true, y_pred, critical, by=by)]
     if probabilities and classes:
-        parts.append(precision_at_k(df, classes, y_true, probabilities, critical=critical))
+        parts.append(precision_at_k(df, classes, y_true, probabilities, critical=critical, by=by))
     if order_by:
-        parts.append(time_to_detection(df, order_by, y_true, y_pred, critical))
+        parts.append(time_to_detection(df, order_by, y_true, y_pred, critical, by=by))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -55,23 +55,26 @@ def band_mae(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
 
 
 def directional_accuracy(df: DataFrame, order_by: list[str], y_true: str = "y_true",
-                         y_pred: str = "y_pred", rows: int | None = None) -> DataFrame:
+                         y_pred: str = "y_pred", rows: int | None = None,
+                         by: list[str] | None = None) -> DataFrame:
     """Share of steps on which truth and prediction both fall or both do not; 0 below two rows."""
+    by = list(by or [])
     rows = df.count() if rows is None else rows
-    numbered = with_index(df.select(*order_by, y_true, y_pred), order_by, rows=rows)
-    blocks = in_blocks(numbered, rows, back=1)
+    numbered = with_index(df.select(*by, *order_by, y_true, y_pred), order_by, by=by, rows=rows)
+    blocks = in_blocks(numbered, rows, back=1, by=by)
     down = {c: F.coalesce(F.col(c) - F.lag(c, 1).over(blocks.window) < 0, F.lit(False))
             for c in (y_true, y_pred)}
-    steps = blocks.with_columns({"_a": down[y_true], "_b": down[y_pred]}).result().where("row_index > 1")
-    return steps.agg(F.coalesce(_share(F.col("_a") == F.col("_b")), F.lit(0.0)).alias("value")).select(
-        F.lit("directional_accuracy").alias("metric"), "value")
+    steps = blocks.with_columns({"_a": down[y_true], "_b": down[y_pred]}).result()
+    agree = F.when(F.col("row_index") > 1, (F.col("_a") == F.col("_b")).cast("double"))
+    return steps.groupBy(*by).agg(F.coalesce(F.avg(agree), F.lit(0.0)).alias("value")).select(
+        *by, F.lit("directional_accuracy").alias("metric"), "value")
 
 
 def rul_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
-                order_by: list[str] | None = None) -> DataFrame:
-    out = error_metrics(df, y_true, y_pred).unionByName(band_mae(df, y_true, y_pred))
+                order_by: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    out = error_metrics(df, y_true, y_pred, by).unionByName(band_mae(df, y_true, y_pred, by))
     if order_by:
-        out = out.unionByName(directional_accuracy(df, order_by, y_true, y_pred))
+        out = out.unionByName(directional_accuracy(df, order_by, y_true, y_pred, by=by))
     return out
 
 
