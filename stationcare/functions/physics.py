@@ -46,7 +46,7 @@ def expected_sensor(base: float, hours: Column, health: Column, temperature: Col
 
 def rule_state(ruls: dict[str, Column], healths: list[Column], working: Column | None = None) -> Column:
     """State from the smallest RUL, then from mean health."""
-    smallest = F.least(*ruls.values())
+    smallest = F.array_min(F.array(*ruls.values()))
     health = sum(healths[1:], healths[0]) / float(len(healths))
     name = F.replace(F.initcap(F.replace(lowest(ruls), F.lit("_"), F.lit(" "))),
                      F.lit(" "), F.lit("_"))

@@ -69,7 +69,7 @@ def rul_by_week(df: DataFrame, week: str, rul: str, rows: int | None = None) ->
 
 
 def rul_extremes(df: DataFrame, ruls: list[str]) -> DataFrame:
-    return df.agg(F.min(F.least(*ruls)).alias("rul_min"), F.max(F.greatest(*ruls)).alias("rul_max"))
+    return df.agg(F.min(F.array_min(F.array(*ruls))).alias("rul_min"), F.max(F.array_max(F.array(*ruls))).alias("rul_max"))
 
 
 def prediction_summary(df: DataFrame, prediction: str) -> DataFrame:
