@@ -28,9 +28,11 @@ def clean_readings(df: DataFrame, roles: Roles | None = None, idle_as: str | Non
     """NaN to NULL, roles detected, states grouped, timestamps parsed."""
     df = nan_to_null(df)
     roles = roles or detect_roles(df)
-    if roles.target == S.RAW_STATE or (roles.target and S.GROUPED_STATE not in df.columns
-                                       and roles.target in df.columns):
-        df = group_states(df, roles.target, S.GROUPED_STATE, idle_as)
+    if S.GROUPED_STATE not in df.columns:
+        source = roles.target if roles.target in df.columns else S.RAW_STATE
+        if source in df.columns:
+            df = group_states(df, source, S.GROUPED_STATE, idle_as)
+    if S.GROUPED_STATE in df.columns:
         roles = roles.with_(target=S.GROUPED_STATE)
     return parse_timestamps(df, roles.timestamp), roles
 
