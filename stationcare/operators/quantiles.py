@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 5_000_000
-BRACKET_LIMIT = 1_000_000
+EXACT_LIMIT = 200_000
+BRACKET_LIMIT = 200_000
 ACCURACY = 10_000
 
 
@@ -28,18 +28,17 @@ def unpivot(df: DataFrame, columns: list[str], keep: list[str] | None = None,
 def quantiles(df: DataFrame, columns: list[str], probs: list[float],
               by: list[str] | None = None, rows: int | None = None,
               exact_limit: int = EXACT_LIMIT, bracket_limit: int = BRACKET_LIMIT) -> DataFrame:
-    """Rows ``(*by, column, n, q)`` with ``q`` an array in the order of ``probs``."""
+    """Rows ``(*by, column, n, q)`` with ``q`` an array in the order of ``probs``.
+
+    Columns without values have no row.
+    """
     by = list(by or [])
     rows = df.count() if rows is None else rows
+    long = unpivot(df, columns, by)
     if rows <= exact_limit:
-        wide = df.groupBy(*by).agg(*[a for c in columns for a in (
-            F.count(c).alias(f"_n_{c}"),
-            F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
-            .alias(f"_q_{c}"))])
-        out = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_n_{c}").alias("n"),
-                                           F.col(f"_q_{c}").alias("q")) for c in columns]))
-        return wide.select(*by, out.alias("_o")).select(*by, "_o.*")
-    return _bracketed(unpivot(df, columns, by), probs, by + ["column"], bracket_limit)
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        return long.groupBy(*by, "column").agg(F.count("x").alias("n"), F.percentile("x", wanted).alias("q"))
+    return _bracketed(long, probs, by + ["column"], bracket_limit)
 
 
 def _bracketed(long: DataFrame, probs: list[float], keys: list[str], limit: int) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationcare import settings as S
-from stationcare.operators.profile import _pair_correlation, correlations
-from stationcare.operators.quantiles import quantile_values
+from stationcare.operators.profile import correlations
+from stationcare.operators.quantiles import quantile_values, unpivot
 
 
 def medians(df: DataFrame, columns: list[str], rows: int | None = None) -> dict[str, float]:
@@ -24,11 +24,12 @@ def fill_medians(df: DataFrame, fitted: dict[str, float]) -> DataFrame:
 
 
 def variances(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Population variance per column."""
-    wide = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in columns])
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("variance"))
-                               for c in columns]))
-    return wide.select(rows.alias("_v")).select("_v.*")
+    """Population variance per column; columns without values have no row.
+
+    One row per value keeps the generated code small for any number of columns,
+    and the sums still combine before the shuffle.
+    """
+    return unpivot(df, columns, name="feature").groupBy("feature").agg(F.var_pop("x").alias("variance"))
 
 
 def keep_varying(df: DataFrame, columns: list[str],
@@ -47,13 +48,8 @@ def correlated_columns(df: DataFrame, columns: list[str],
 def anova_f(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """One-way ANOVA F per feature, from one aggregate per class."""
     known = df.where(F.col(target).isNotNull())
-    x = {c: F.col(c).cast("double") for c in columns}
-    per_class = known.groupBy(target).agg(*[a for c in columns for a in (
-        F.count(x[c]).alias(f"n_{c}"), F.avg(x[c]).alias(f"m_{c}"), F.var_pop(x[c]).alias(f"v_{c}"))])
-    rows = F.explode(F.array(*[F.struct(
-        F.lit(c).alias("feature"), F.col(f"n_{c}").cast("double").alias("n"),
-        F.col(f"m_{c}").alias("m"), F.col(f"v_{c}").alias("v")) for c in columns]))
-    stats = per_class.select(rows.alias("_s")).select("_s.*").where("n > 0")
+    stats = unpivot(known, columns, [target], name="feature").groupBy("feature", target).agg(
+        F.count("x").cast("double").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
     folded = stats.groupBy("feature").agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
         F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m")).alias("total"),
@@ -66,15 +62,12 @@ def anova_f(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 def regression_f(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """F of a one-variable regression per feature."""
-    y = F.col(target)
-    wide = df.agg(*[a for c in columns for a in (
-        _pair_correlation(c, target).alias(f"r_{c}"),
-        F.count_if(F.col(c).isNotNull() & y.isNotNull()).cast("double").alias(f"n_{c}"))])
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"r_{c}").alias("r"),
-                                        F.col(f"n_{c}").alias("n")) for c in columns]))
+    pairs = unpivot(df.withColumn("_y", F.col(target).cast("double")).where(F.col("_y").isNotNull()),
+                    columns, ["_y"], name="feature")
+    r = F.try_divide(F.covar_pop("x", "_y"), F.stddev_pop("x") * F.stddev_pop("_y"))
+    fitted = pairs.groupBy("feature").agg(r.alias("r"), F.count("x").cast("double").alias("n"))
     r2 = F.col("r") * F.col("r")
-    return wide.select(rows.alias("_s")).select("_s.*").select(
-        "feature", (F.try_divide(r2, 1.0 - r2) * (F.col("n") - 2)).alias("f_score"))
+    return fitted.select("feature", (F.try_divide(r2, 1.0 - r2) * (F.col("n") - 2)).alias("f_score"))
 
 
 def k_best(scores: DataFrame, columns: list[str], k: int = S.K_BEST) -> list[str]:
