@@ -61,17 +61,22 @@ def _cut_points(keyed: DataFrame, buckets: int, rows: int) -> str | None:
     return listed.select(F.to_json(cuts).alias("cuts")).first()["cuts"]
 
 
-def _bucket_of(key: Column, cuts_json: str | None, schema: T.StructType, buckets: int) -> Column:
-    """Number of cut points at or before the key, by binary search."""
+def _with_bucket(df: DataFrame, key: Column, cuts_json: str | None, schema: T.StructType,
+                 buckets: int) -> DataFrame:
+    """``_bucket``: how many cut points lie at or before the key.
+
+    Binary search as one projection per halving, all inside generated code.
+    """
     if not cuts_json or cuts_json == "[]":
-        return F.lit(0)
+        return df.withColumn("_bucket", F.lit(0))
     cuts = F.from_json(F.lit(cuts_json), T.ArrayType(schema))
-    size = F.size(cuts)
-    steps = F.array(*[F.lit(1 << p) for p in range(buckets.bit_length(), -1, -1)])
-    return F.aggregate(
-        steps, F.lit(0),
-        lambda low, step: F.when((low + step <= size) & (F.get(cuts, low + step - 1) <= key),
-                                 low + step).otherwise(low))
+    size, low = F.size(cuts), F.col("_bucket")
+    out = df.withColumns({"_key": key, "_bucket": F.lit(0)})
+    for power in range(buckets.bit_length(), -1, -1):
+        step = 1 << power
+        right = (low + step <= size) & (F.get(cuts, low + (step - 1)) <= F.col("_key"))
+        out = out.withColumn("_bucket", F.when(right, low + step).otherwise(low))
+    return out.drop("_key")
 
 
 def bucketed(df: DataFrame, order_by: list[str], by: list[str] | None = None,
@@ -85,7 +90,7 @@ def bucketed(df: DataFrame, order_by: list[str], by: list[str] | None = None,
     key = F.struct(*[sort_value(df, c).alias(f"k{i}") for i, c in enumerate(by + list(order_by))])
     keyed = df.select(key.alias("_k"))
     cuts = _cut_points(keyed, buckets, rows) if buckets > 1 else None
-    return df.withColumn("_bucket", _bucket_of(key, cuts, keyed.schema["_k"].dataType, buckets))
+    return _with_bucket(df, key, cuts, keyed.schema["_k"].dataType, buckets)
 
 
 def with_index(df: DataFrame, order_by: list[str], by: list[str] | None = None,
