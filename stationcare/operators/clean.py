@@ -13,6 +13,8 @@ from stationcare.functions.clock import parse_timestamp
 from stationcare.functions.hashing import stable_hash
 from stationcare.functions.rows import clean_double
 from stationcare.functions.states import grouped_state
+from stationcare.operators.ordered import with_index
+from stationcare.operators.tables import settled
 from stationcare.roles import is_numeric
 
 
@@ -70,17 +72,17 @@ def floor_zero(prediction: Column) -> Column:
 def sample_machines(df: DataFrame, machine_id: str = S.MACHINE_ID, share: float = 0.1,
                     seed: int = S.SEED) -> DataFrame:
     """All rows of a seeded share of the machines, at least one machine."""
-    from stationcare.operators.ordered import with_index
     ids = df.select(machine_id).where(F.col(machine_id).isNotNull()).distinct()
     total = ids.count()
     wanted = max(1, int(total * share))
     hashed = ids.withColumn("_h", stable_hash(F.col(machine_id), seed=seed))
     ranked = with_index(hashed, ["_h", machine_id], rows=total, index="_rank")
-    return df.join(ranked.where(F.col("_rank") <= wanted).select(machine_id), machine_id, "left_semi")
+    chosen = settled(ranked.where(F.col("_rank") <= wanted).select(machine_id))
+    return df.join(chosen, machine_id, "left_semi")
 
 
 def rows_with_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    return df.join(ids.select(on).distinct(), on, "left_semi")
+    return df.join(settled(ids.select(on).distinct()), on, "left_semi")
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = S.SEED,

@@ -39,13 +39,19 @@ def sort_value(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
+def _grouped(df: DataFrame, by: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """Group columns packed in one never-NULL key, so that a NULL group joins like any other."""
+    return (df.withColumn("_by", F.struct(*by)), ["_by"]) if by else (df, [])
+
+
 def join_summary(df: DataFrame, summary: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
-    """Left join of a per-bucket summary; broadcast only where its row count has a fixed bound."""
-    renamed = summary.select([F.col(k).alias(f"_r_{k}") if k in keys else F.col(k)
-                              for k in summary.columns])
-    on = reduce(lambda a, b: a & b, [
-        df[k] == renamed[f"_r_{k}"] if k in ("_bucket", "_block")
-        else df[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
+    """Left join of a per-bucket summary; broadcast only where its row count has a fixed bound.
+
+    Otherwise the rows are already partitioned by the same keys and only the
+    summary moves.
+    """
+    renamed = summary.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [df[k] == renamed[f"_r_{k}"] for k in keys])
     side = F.broadcast(renamed) if bounded else renamed
     return df.join(side, on, "left").drop(*[f"_r_{k}" for k in keys])
 
@@ -97,16 +103,15 @@ def with_index(df: DataFrame, order_by: list[str], by: list[str] | None = None,
                rows: int | None = None, buckets: int | None = None,
                index: str = INDEX) -> DataFrame:
     """Number rows 1..n in sort order, per ``by`` group or over the whole table."""
-    by = list(by or [])
-    split = bucketed(df, order_by, by, rows, buckets)
-    keys = by + ["_bucket"]
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    split, group = _grouped(bucketed(df, order_by, by, rows, buckets), by)
+    keys = group + ["_bucket"]
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (split.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
                .select(*keys, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")))
     inside = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
     numbered = split.withColumn("_rn", F.row_number().over(inside))
     joined = join_summary(numbered, offsets, keys, bounded=not by)
-    return joined.withColumn(index, F.col("_rn") + F.col("_off")).drop("_rn", "_off", "_bucket")
+    return joined.withColumn(index, F.col("_rn") + F.col("_off")).drop("_rn", "_off", "_bucket", "_by")
 
 
 @dataclass(frozen=True)
@@ -142,7 +147,7 @@ class Blocks:
         return Blocks(self.df.where(~F.col("_halo")), self.by, self.index, self.length)
 
     def result(self, *scratch: str) -> DataFrame:
-        return self.df.where(~F.col("_halo")).drop("_block", "_halo", *scratch)
+        return self.df.where(~F.col("_halo")).drop("_block", "_halo", "_by", *scratch)
 
     def summarise(self, *aggs: Column) -> DataFrame:
         return self.df.where(~F.col("_halo")).groupBy(*self.keys).agg(*aggs)
@@ -166,7 +171,7 @@ def in_blocks(df: DataFrame, rows: int, back: int = 0, ahead: int = 0,
               by: list[str] | None = None, index: str = INDEX,
               length: int | None = None) -> Blocks:
     """Blocks of consecutive rows, each with ``back`` / ``ahead`` rows of its neighbours."""
-    by = list(by or [])
+    df, group = _grouped(df, by)
     if max(back, ahead) > HALO_LIMIT:
         raise ValueError("look-back too long for halo blocks; use look_back")
     if length is None:
@@ -178,7 +183,7 @@ def in_blocks(df: DataFrame, rows: int, back: int = 0, ahead: int = 0,
     place = F.pmod(at, F.lit(length))
     if back == 0 and ahead == 0:
         return Blocks(df.withColumns({"_block": own, "_halo": F.lit(False)}),
-                      tuple(by), index, length)
+                      tuple(group), index, length)
     homes = [own]
     if back:
         homes.append(F.when(place >= length - back, own + 1))
@@ -187,20 +192,19 @@ def in_blocks(df: DataFrame, rows: int, back: int = 0, ahead: int = 0,
     spread = (df.withColumn("_own", own)
               .withColumn("_block", F.explode(F.array_compact(F.array(*homes))))
               .withColumn("_halo", F.col("_block") != F.col("_own")).drop("_own"))
-    return Blocks(spread, tuple(by), index, length)
+    return Blocks(spread, tuple(group), index, length)
 
 
 def look_back(df: DataFrame, columns: list[str], k: int, by: list[str] | None = None,
               index: str = INDEX, suffix: str = "_back") -> DataFrame:
     """Values ``k`` rows earlier, by an equi-join on row position (for very long look-backs)."""
-    by = list(by or [])
-    shifted = df.select(*[F.col(c).alias(f"_r_{c}") for c in by],
+    df, group = _grouped(df, by)
+    shifted = df.select(*[F.col(c).alias(f"_r_{c}") for c in group],
                         (F.col(index) + k).alias("_r_index"),
                         *[F.col(c).alias(c + suffix) for c in columns])
-    on = reduce(lambda a, b: a & b,
-                [df[index] == shifted["_r_index"]]
-                + [df[c].eqNullSafe(shifted[f"_r_{c}"]) for c in by])
-    return df.join(shifted, on, "left").drop("_r_index", *[f"_r_{c}" for c in by])
+    on = reduce(lambda a, b: a & b, [df[index] == shifted["_r_index"]]
+                + [df[c] == shifted[f"_r_{c}"] for c in group])
+    return df.join(shifted, on, "left").drop("_by", "_r_index", "_r__by")
 
 
 def running_total(df: DataFrame, columns: dict[str, Column], rows: int,

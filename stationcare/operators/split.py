@@ -117,7 +117,13 @@ def stratified_group_folds(df: DataFrame, group: str, target: str, k: int = S.FO
     totals = counts.groupBy("c").agg(F.sum("n").alias("n")).collect()
     by_class = np.array([max(1, sum(r["n"] for r in totals if r["c"] == c)) for c in classes], float)
     mix = {r["g"]: np.array([r[f"c{i}"] for i in range(len(classes))], float) for r in largest[:heads]}
-    turn = sorted(largest[:heads], key=lambda r: (-float(np.std(mix[r["g"]])), r["h"]))
+
+    def imbalance(row) -> int:
+        """Orders groups as the spread of their class counts does, in whole numbers."""
+        parts = [row[f"c{i}"] for i in range(len(classes))]
+        return len(parts) * sum(p * p for p in parts) - sum(parts) ** 2
+
+    turn = sorted(largest[:heads], key=lambda r: (-imbalance(r), r["h"]))
     held, loads, placed = np.zeros((k, len(classes))), [0] * k, {}
     for row in turn:
         best = None

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import QuantileDiscretizer, RobustScaler, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationcare import settings as S
+from stationcare.operators.quantiles import quantile_values
 
 LABEL, FEATURES, WEIGHT, VALIDATION = "_label", "_features", "_weight", "_validation"
 
@@ -80,17 +81,25 @@ def class_probabilities(scored: DataFrame) -> Column:
     return F.transform(chances, lambda p: F.try_divide(p, total))
 
 
-def robust_scaled(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """Centre by median and scale by the 5-95 % range."""
-    ready = df.withColumn("_v", array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
-    fitted = RobustScaler(inputCol="_v", outputCol="_s", lower=low, upper=high, withCentering=True,
-                          withScaling=True).fit(ready)
-    out = fitted.transform(ready).withColumn("_a", vector_to_array("_s"))
-    return out.withColumns({f"{c}_escalado": F.col("_a")[i] for i, c in enumerate(columns)}).drop("_v", "_s", "_a")
-
-
-def quantile_bins(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
-    """Ordinal quantile bins."""
-    fitted = QuantileDiscretizer(numBuckets=bins, inputCols=columns, outputCols=[f"{c}_bin" for c in columns],
-                                 handleInvalid="keep").fit(df)
-    return fitted.transform(df)
+def robust_scaled(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95,
+                  rows: int | None = None) -> DataFrame:
+    """Centre by the median and scale by the 5-95 % range, from exact quantiles."""
+    found = quantile_values(df, columns, [low, 0.5, high], rows=rows)
+    out = {}
+    for c, (bottom, middle, top) in found.items():
+        width = (top - bottom) if top is not None and top > bottom else 1.0
+        out[f"{c}_escalado"] = (F.col(c).cast("double") - F.lit(middle).cast("double")) / F.lit(width)
+    return df.withColumns(out)
+
+
+def quantile_bins(df: DataFrame, columns: list[str], bins: int = 10, rows: int | None = None) -> DataFrame:
+    """Ordinal bins between exact quantiles; equal edges merge, values at an edge go up."""
+    found = quantile_values(df, columns, [i / bins for i in range(1, bins)], rows=rows)
+    out = {}
+    for c, edges in found.items():
+        cuts = sorted({e for e in edges if e is not None})
+        spot = F.lit(0)
+        for i, edge in enumerate(cuts, 1):
+            spot = F.when(F.col(c) >= F.lit(edge), i).otherwise(spot)
+        out[f"{c}_bin"] = F.when(F.col(c).isNotNull(), spot)
+    return df.withColumns(out)

@@ -116,6 +116,19 @@ def test_group_equal_to_global_when_there_is_one(spark, frame):
     assert a.exceptAll(b).count() == 0
 
 
+def test_null_group_is_a_group(spark, frame):
+    df = distributed(spark, frame).withColumn("g", F.when(F.col("g") != 0, F.col("g")))  # the hot group is NULL
+    got = o.with_index(df, ["t", "id"], by=["g"], rows=N, buckets=16)
+    last = {r["g"]: (r["n"], r["m"]) for r in got.groupBy("g").agg(
+        F.countDistinct("row_index").alias("n"), F.max("row_index").alias("m")).collect()}
+    assert all(n == m for n, m in last.values()) and last[None][0] == int((frame["g"] == 0).sum())
+    halo = o.rolling(got, [o.Rolling("m", "x", 13, 3)], N, by=["g"])
+    joined = o.rolling(got, [o.Rolling("m", "x", 13, 3)], N, by=["g"], halo_limit=1)
+    assert halo.columns == joined.columns
+    gap = halo.select("id", "m").join(joined.select("id", F.col("m").alias("k")), "id")
+    assert gap.where("abs(m - k) > 1e-8 or (m is null) != (k is null)").count() == 0
+
+
 def test_look_back_join(numbered):
     got = o.look_back(numbered, ["id"], 5).where("row_index > 5").select("row_index", "id_back").orderBy("row_index")
     ids = [r["id"] for r in numbered.orderBy("row_index").select("id").collect()]

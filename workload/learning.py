@@ -149,12 +149,17 @@ def linear_attribution(spark, d):
     return train.linear_attribution(regressor, df)
 
 
-@query("robust_scaling")
+@query("robust_scaling", f"WITH {STATES}, q AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, 0.05) AS lo_{c}, quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.95) AS hi_{c}"
+    for c in SENSORS) + " FROM states) SELECT id, " + ", ".join(
+    f"round(({c} - m_{c}) / (hi_{c} - lo_{c}), 6) + 0.0 AS {c}_escalado" for c in SENSORS) + " FROM states, q")
 def robust_scaling(spark, d):
-    return models.robust_scaled(views.readings(spark, d), SENSORS).select("id", *[f"{c}_escalado" for c in SENSORS])
+    out = models.robust_scaled(views.readings(spark, d), SENSORS)
+    return plain(out.select("id", *[f"{c}_escalado" for c in SENSORS]))
 
 
-@query("quantile_binning")
+@query("quantile_binning", f"""WITH {STATES}, q AS (
+  SELECT quantile_cont(sensor_1, [{", ".join(str(i / 10) for i in range(1, 10))}]) AS edges FROM states)
+SELECT id, CAST(len(list_filter(edges, lambda e: e <= sensor_1)) AS BIGINT) AS sensor_1_bin FROM states, q""")
 def quantile_binning(spark, d):
-    return models.quantile_bins(views.readings(spark, d), ["sensor_1"]).groupBy("sensor_1_bin").agg(
-        F.count(F.lit(1)).alias("n"))
+    return plain(models.quantile_bins(views.readings(spark, d), ["sensor_1"]).select("id", "sensor_1_bin"))
