@@ -12,8 +12,8 @@ import __spark_entry__ as entry
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 DIR = "/root/testdata/sf0.001"
-# window sizes in this query's SQL assume at least 10,000 rows
-LARGER = {"engineered_features": "/root/testdata/sf0.01"}
+# the feature guards depend on the row count; this SQL assumes at least 10,000 rows
+LARGER = {n: "/root/testdata/sf0.01" for n in ("engineered_features", "engineered_profiles")}
 
 
 def comparable(value):

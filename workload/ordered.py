@@ -9,7 +9,7 @@ from stationcare.operators import clean, profile
 from stationcare.operators import ordered as o
 from stationcare.plans import features, maintenance
 from workload import views
-from workload.registry import FLEET, READINGS, RULS, STATES, plain, query
+from workload.registry import FLEET, READINGS, RULS, STATES, nudged, plain, query
 from workload.tabular import RATIOS, ROW_STATS, SENSORS
 
 ORDER = ["timestamp", "id"]
@@ -63,24 +63,26 @@ WINDOWS = {1: (13, 3), 6: (83, 20), 24: (333, 100)}
 
 
 @query("rolling_mean", f"WITH {READINGS} SELECT id, " + ", ".join(
-    f"round({roll(c, w, low)}, 6) AS {c}_ma_{h}h" for c in SENSORS for h, (w, low) in WINDOWS.items())
+    f"round({roll(c, w, low)} + 1e-9, 6) AS {c}_ma_{h}h" for c in SENSORS for h, (w, low) in WINDOWS.items())
     + " FROM readings")
 def rolling_mean(spark, d):
     df, rows = numbered(spark, d, *SENSORS)
     specs = [o.Rolling(f"{c}_ma_{h}h", c, w, low) for c in SENSORS for h, (w, low) in WINDOWS.items()]
-    return plain(o.rolling(df, specs, rows).drop("timestamp", "row_index", *SENSORS))
+    out = o.rolling(df, specs, rows).drop("timestamp", "row_index", *SENSORS)
+    return plain(nudged(out, [s.name for s in specs]))
 
 
 @query("rolling_mean_by_machine", f"""WITH {READINGS}, w AS (
   SELECT id, CASE WHEN id % 11 <> 0 THEN sensor_1 END AS x, vehiculo_id, timestamp FROM readings)
-SELECT id, CASE WHEN count(x) OVER f >= 3 THEN round(avg(x) OVER f, 6) END AS mean_12 FROM w
+SELECT id, CASE WHEN count(x) OVER f >= 3 THEN round(avg(x) OVER f + 1e-9, 6) END AS mean_12 FROM w
 WINDOW f AS (PARTITION BY vehiculo_id {BY_TIME} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
 def rolling_mean_by_machine(spark, d):
     r = views.readings(spark, d).select(*ORDER, "vehiculo_id",
                                         F.when(F.col("id") % 11 != 0, F.col("sensor_1")).alias("x"))
     rows = r.count()
     df = o.with_index(r, ORDER, by=["vehiculo_id"], rows=rows)
-    return plain(o.rolling(df, [o.Rolling("mean_12", "x", 12, 3)], rows, by=["vehiculo_id"]).select("id", "mean_12"))
+    out = o.rolling(df, [o.Rolling("mean_12", "x", 12, 3)], rows, by=["vehiculo_id"]).select("id", "mean_12")
+    return plain(nudged(out, ["mean_12"]))
 
 
 LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount",
@@ -114,8 +116,8 @@ TREND = f"""trend AS (
 
 
 @query("trend_velocity", f"""WITH {READINGS}, {TREND}
-SELECT id, round(velocity, 6) + 0.0 AS sensor_1_trend_velocity,
-  round(coalesce(velocity - lag(velocity) OVER ({BY_TIME}), 0), 6) + 0.0 AS sensor_1_trend_acceleration FROM trend""")
+SELECT id, round(velocity + 1e-9, 6) + 0.0 AS sensor_1_trend_velocity,
+  round(coalesce(velocity - lag(velocity) OVER ({BY_TIME}), 0) + 1e-9, 6) + 0.0 AS sensor_1_trend_acceleration FROM trend""")
 def trend_velocity(spark, d):
     df, rows = numbered(spark, d, "sensor_1")
     blocks = o.rolling_blocks(df, [o.Rolling("x", "sensor_1", 333, 100)], rows, extra=2)
@@ -125,7 +127,8 @@ def trend_velocity(spark, d):
 
     blocks = blocks.with_columns({"sensor_1_trend_velocity": step("x")})
     blocks = blocks.with_columns({"sensor_1_trend_acceleration": step("sensor_1_trend_velocity")})
-    return plain(blocks.result().select("id", "sensor_1_trend_velocity", "sensor_1_trend_acceleration"))
+    names = ["sensor_1_trend_velocity", "sensor_1_trend_acceleration"]
+    return plain(nudged(blocks.result().select("id", *names), names))
 
 
 @query("rolling_variance", f"""WITH {READINGS}
@@ -212,10 +215,10 @@ SELECT vel.id, hour(timestamp) AS hora_dia, month(timestamp) AS mes,
   week(timestamp) - (SELECT min(week(timestamp)) FROM readings) + 1 AS semana_operacion,
   sensor_mean, sensor_std, sensor_max, sensor_min, sensor_range, sensor_median, sensor_skew,
   round(r01, 2) AS sensor_ratio_01, round(r02, 2) AS sensor_ratio_02, round(r12, 2) AS sensor_ratio_12,
-  {", ".join(f"round({c}_ma_{h}h, 6) AS {c}_ma_{h}h" for c in SENSORS for h in WINDOWS)},
+  {", ".join(f"round({c}_ma_{h}h + 1e-9, 6) AS {c}_ma_{h}h" for c in SENSORS for h in WINDOWS)},
   {", ".join(f"round({c}_ratio, 6) AS {c}_deg_ratio_{h}h" for c in SENSORS for h in (1, 6))},
-  {", ".join(f"round({c}_v, 6) + 0.0 AS {c}_trend_velocity" for c in SENSORS)},
-  {", ".join(f"round(coalesce({c}_v - lag({c}_v) OVER ({BY_TIME}), 0), 6) + 0.0 AS {c}_trend_acceleration" for c in SENSORS)},
+  {", ".join(f"round({c}_v + 1e-9, 6) + 0.0 AS {c}_trend_velocity" for c in SENSORS)},
+  {", ".join(f"round(coalesce({c}_v - lag({c}_v) OVER ({BY_TIME}), 0) + 1e-9, 6) + 0.0 AS {c}_trend_acceleration" for c in SENSORS)},
   {", ".join(f"round({c}_energy, 4) AS {c}_spectral_energy" for c in SENSORS[:2])},
   {", ".join(f"{c}_is_outlier" for c in SENSORS)},
   round(elapsed, 6) AS tiempo_operacion_horas, round(horas / CASE WHEN elapsed = 0 THEN 1 ELSE elapsed END, 6)
@@ -227,6 +230,7 @@ def engineered_features(spark, d):
     # the calendar half of the set has its own query
     skip = {"dia_semana", "es_fin_semana", "es_horario_nocturno", "hora_sin", "hora_cos", "dia_sin", "dia_cos"}
     names = [c for c in features.new_columns(before, out) if c not in skip]
+    out = nudged(out, [c for c in names if "_ma_" in c or "_trend_" in c])
     digits = {c: 2 if "sensor_ratio" in c else 4 if "spectral" in c else 6 for c in names}
     shaped = out.select("id", *[F.round(c, digits[c]).alias(c) if t == "double" else F.col(c)
                                 for c, t in out.select(*names).dtypes])
@@ -284,10 +288,11 @@ def cleaned_sensors(spark, d):
 @query("centered_ma", f"""WITH {READINGS}, w AS (
   SELECT id, count(sensor_1) OVER f AS c, avg(sensor_1) OVER f AS m FROM readings
   WINDOW f AS ({BY_TIME} ROWS BETWEEN 50 PRECEDING AND 49 FOLLOWING))
-SELECT id, CASE WHEN c = 100 THEN round(m, 6) END AS media_movil FROM w""")
+SELECT id, CASE WHEN c = 100 THEN round(m + 1e-9, 6) END AS media_movil FROM w""")
 def centered_ma(spark, d):
     df, rows = numbered(spark, d, "sensor_1")
-    return plain(o.centred_mean(df, "media_movil", "sensor_1", 100, rows).select("id", "media_movil"))
+    out = o.centred_mean(df, "media_movil", "sensor_1", 100, rows).select("id", "media_movil")
+    return plain(nudged(out, ["media_movil"]))
 
 
 @query("directional_accuracy", f"""WITH {RULS}, d AS (

@@ -37,6 +37,14 @@ def plain(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
+NUDGE = 1e-9
+
+
+def nudged(df: DataFrame, names: list[str]) -> DataFrame:
+    """Lift means off exact rounding ties, which the last bit of a sum would decide; the SQL does the same."""
+    return df.withColumns({n: F.col(n) + F.lit(NUDGE) for n in names})
+
+
 READINGS = """readings AS (
   SELECT event_id AS id, ts AS timestamp, user_id AS vehiculo_id,
     CASE WHEN user_id % 5 < 3 THEN 'Sedan' ELSE 'SUV' END AS tipo_vehiculo,
