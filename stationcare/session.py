@@ -26,8 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[sc.applicationId]
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, keeps columnar pruning."""
     path = f"{shared_dir(df.sparkSession)}/staged/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._staged_path = path
+    return back
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that no result reads any more."""
+    for df in tables:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
