@@ -189,7 +189,7 @@ def _compare_tiles(threshold: float):
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_WORDS,
-                    recall: float = RECALL, tile: int = TILE) -> DataFrame:
+                    recall: float = RECALL, tile: int = TILE, plan: Bands | None = None) -> DataFrame:
     """One row per document: ``doc_id, class_id, n_links``.
 
     ``class_id`` is the smallest doc_id among the documents joined by links of at least ``threshold``;
@@ -198,7 +198,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     document, whose links are those of its texts. A null doc_id names no document: such a row comes back
     with null class and no links. An empty table gives an empty table; other columns are not read.
     """
-    plan = bands_for(threshold, recall)
+    plan = plan or bands_for(threshold, recall)
     known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = staged(set_signatures(known, plan, words), "signatures")
     classes = signed.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))

@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stationcare.llm.chunk_dedup import removal_digest
+from stationcare.llm.decontaminate import contamination
+from stationcare.llm.fingerprint import edited_fingerprints
 from stationcare.llm.jaccard_join import jaccard_classes
+from stationcare.llm.licenses import scan_licenses
+from stationcare.llm.packing import pack
+from stationcare.llm.quality import held_out, judge
+from stationcare.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +23,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _ = judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(_table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_packing": op2_packing,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_decontamination": op4_decontamination,
+    "op6_license_scan": op6_license_scan,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op9_warc": op9_warc,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
