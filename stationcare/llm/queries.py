@@ -11,9 +11,11 @@ from stationcare.llm.chunk_dedup import removal_digest
 from stationcare.llm.decontaminate import contamination
 from stationcare.llm.fingerprint import edited_fingerprints
 from stationcare.llm.jaccard_join import jaccard_classes
+from stationcare.llm.language import fit, predict
 from stationcare.llm.licenses import scan_licenses
 from stationcare.llm.packing import pack
 from stationcare.llm.quality import held_out, judge
+from stationcare.llm.suffix_dedup import without_repeated_bytes
 from stationcare.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +42,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeated_bytes(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +55,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    return predict(docs, fit(docs.filter(~out))).select("doc_id", out.alias("held_out"), "lang_pred", "score",
+                                                       "margin", "rejected")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"))
 
@@ -61,8 +75,10 @@ QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
