@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stationcare.llm.text import BYTE_VALUES, buffers, pieces
 
@@ -23,6 +24,8 @@ MAX_CHUNK = 1024
 SPACE_BITS = 3
 OTHER_BITS = 9
 MIN_RUN = 100
+ADDED = ("_removed", "_gone")
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
 
 _GEAR = (BYTE_VALUES >> np.uint64(32)).astype(np.uint32)
 _SPACE = np.zeros(256, bool)
@@ -121,11 +124,10 @@ def _cut(min_run: int):
                 kept.append(text if not gone else b"".join([*parts, raw[last:]]).decode(errors="replace"))
                 removed.append(sum(b - a for a, b in gone))
                 spans.append([{"start": a, "length": b - a} for a, b in gone])
-            names = [n for n in batch.schema.names if n not in ("text", "_spans")]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names], pa.array(kept, pa.string()), pa.array(removed, pa.int64()),
+                [batch.column("_row"), pa.array(kept, pa.string()), pa.array(removed, pa.int64()),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))],
-                [*names, "text", "_removed", "_gone"])
+                ["_row", "text", *ADDED])
 
     return run
 
@@ -136,7 +138,8 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     All copies but the first (smallest doc_id, then start) of a chunk go where the run of such chunks has at
     least ``min_run`` bytes; a later copy of a whole text becomes empty. Chunks that repeat inside one text
     count too. Rows that share a doc_id are one owner: equal places of equal texts keep their chunk. Null and
-    empty texts have no chunks; rows without a doc_id keep their text and own nothing. All other columns stay.
+    empty texts have no chunks; rows without a doc_id keep their text and own nothing. All other columns stay,
+    but for columns named as the two added ones, which are replaced.
     """
     known = docs.filter(F.col("doc_id").isNotNull())
     repeated = (chunks(known).groupBy("hi", "lo")
@@ -146,12 +149,16 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
              .filter((F.col("doc_id") != F.col("_first.doc_id")) | (F.col("start") != F.col("_first.start")))
              .groupBy(F.col("doc_id").alias("_id"))
              .agg(F.collect_list(F.struct("start", "length")).alias("_spans")))
-    joined = docs.join(later, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    cut = joined.select(*[f"`{f.name}`" for f in rest], "text", "_spans").mapInArrow(
-        _cut(min_run), f"{schema}, text string, _removed long, _gone array<struct<start: long, length: long>>")
-    return cut.select(*[f"`{c}`" for c in docs.columns], "_removed", "_gone")
+    # other columns travel in one struct, so that no name can clash
+    rest = [c for c in docs.columns if c not in ("text", *ADDED)]
+    rows = docs.select(F.struct(*[f"`{c}`" for c in rest]).alias("_row"), "text",
+                       F.col("doc_id").cast("long").alias("_doc"))
+    joined = rows.join(later, F.col("_doc") == F.col("_id"), "left").select("_row", "text", "_spans")
+    kinds = T.StructType([joined.schema["_row"], T.StructField("text", T.StringType()),
+                          T.StructField(ADDED[0], T.LongType()), T.StructField(ADDED[1], SPANS)])
+    cut = joined.mapInArrow(_cut(min_run), kinds)
+    order = [c for c in docs.columns if c not in ADDED]
+    return cut.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in order], *ADDED)
 
 
 def removal_digest(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:

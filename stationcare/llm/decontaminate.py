@@ -48,7 +48,7 @@ def shingle_places(docs: DataFrame, shingles: DataFrame, grams: int, small: bool
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+    """One row per document: ``doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     ``n_hit`` counts the words inside any occurrence of a window, ``n_items`` the items with such windows,
     ``items_sha256`` digests their ids, sorted as text and joined by commas. Null or wordless texts and items have
@@ -68,7 +68,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORD
     listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                          F.size(words(F.col("text"))).cast("long").alias("n_words"))
     if places is None:
-        return listed.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"),
+        return listed.select("doc_id", "text_hash", "n_words", F.lit(0).cast("long").alias("n_hit"),
                              F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"),
                              F.lit(False).alias("contaminated"))
     places = staged(places.distinct(), "places")  # repeated rows have the same places
@@ -103,7 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORD
              .select("_h", "n_hit", "items"))
     out = listed.withColumn("_k", F.struct(*text)).join(facts, F.col("_k") == F.col("_h"), "left")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    return out.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
                       F.sha2(F.concat_ws(",", F.coalesce("items", none)), 256).alias("items_sha256"),
                       (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))

@@ -86,17 +86,18 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id, stats array<double>`` of every whole text; null texts count as empty."""
+    """``doc_id, text_hash, stats array<double>`` of every whole text; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             x = statistics(*buffers(piece.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)),
                                              pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), lists], ["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_hash"), lists],
+                                             ["doc_id", "text_hash", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, stats array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
+                       "text").mapInArrow(run, "doc_id long, text_hash long, stats array<double>")
 
 
 @dataclass(frozen=True)
@@ -183,7 +184,7 @@ def fit(labelled: DataFrame, pooled: float = SHRINK_POOLED, diagonal: float = SH
 
 
 def score(stats: DataFrame, model: Discriminant | None, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, score, predicted`` for every row of statistics; without a model every score is 0.5."""
+    """``doc_id, text_hash, score, predicted`` for every row of statistics; without a model every score is 0.5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,15 +193,17 @@ def score(stats: DataFrame, model: Discriminant | None, threshold: float = THRES
             x = batch.column("stats").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             s = model.scores(x) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
-                ["doc_id", "score", "predicted"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(s),
+                 pa.array((s >= threshold).astype(np.int32))],
+                ["doc_id", "text_hash", "score", "predicted"])
 
-    return stats.mapInArrow(run, "doc_id long, score double, predicted int")
+    return stats.mapInArrow(run, "doc_id long, text_hash long, score double, predicted int")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
           fold: int | None = 5) -> tuple[DataFrame, Discriminant | None]:
-    """Fit on ``labels`` (doc_id, quality) and score all of ``docs``: ``doc_id, score, predicted``, and the model.
+    """Fit on ``labels`` (doc_id, quality) and score all of ``docs``: ``doc_id, text_hash, score, predicted``, and the
+    model.
 
     With ``fold``, rows whose crc32(doc_id as text) is divisible by it are held out of the fit. Only the text
     enters a score. Null texts score as empty ones; labels other than 0 and 1 and labels without a document are
