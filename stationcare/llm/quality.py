@@ -72,6 +72,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     upper = kinds == 0
     both = upper.copy()
     both[1:] &= upper[:-1]
+    both[cut] = False
 
     def share(part: np.ndarray, whole: np.ndarray, add: float) -> np.ndarray:
         return np.log((part + add) / (np.maximum(whole - part, 0) + 20 * add))

@@ -107,7 +107,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray,
     ends = np.repeat(at[1:], counts)
     place = np.arange(total, dtype=np.int64)
     out = np.zeros(total, np.uint64)
-    for j in range(words):
+    for j in range(min(words, total)):
         ahead = np.zeros(total, np.uint64)
         ahead[:total - j] = hashes[j:]
         ahead *= WORD_WEIGHTS[j]
