@@ -14,6 +14,7 @@ from stationcare.llm.fingerprint import edited_fingerprints
 from stationcare.llm.jaccard_join import jaccard_classes
 from stationcare.llm.language import fit, predict
 from stationcare.llm.licenses import scan_licenses
+from stationcare.llm.oracles import ORACLES as ORACLES
 from stationcare.llm.packing import pack
 from stationcare.llm.quality import held_out, judge
 from stationcare.llm.suffix_dedup import without_repeated_bytes
@@ -85,5 +86,3 @@ QUERIES: dict[str, Query] = {
 }
 
 QUERIES["pipeline"] = corpus_pipeline.run
-
-ORACLES: dict[str, str] = {}
