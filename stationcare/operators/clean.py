@@ -87,9 +87,15 @@ def rows_with_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = S.SEED,
                 order_by: list[str] | None = None) -> DataFrame:
-    """A seeded random sample of ``n`` rows, optionally in order."""
-    taken = (df.withColumn("_h", stable_hash(F.col(key), seed=seed))
-             .orderBy("_h", key).limit(n).drop("_h"))
+    """Exactly ``n`` seeded-random rows (all of a smaller table), optionally in order; ``key`` must be unique.
+
+    Counts per hash bucket find where the sample ends, so no task gathers it.
+    """
+    from stationcare.operators.split import take_first
+
+    marked = take_first(df.withColumn("_all", F.lit(1)), "_all", key, lambda rows: F.least(rows, F.lit(n)), seed,
+                        taken="_taken")
+    taken = marked.where("_taken").drop("_all", "_taken")
     return taken.orderBy(*order_by) if order_by else taken
 
 
@@ -127,16 +133,21 @@ def split_inputs(df: DataFrame, target: str, timestamp: str = S.TIMESTAMP,
     return df.select([c for c in df.columns if c not in gone]), df.select(target), times
 
 
-def prioritise_by_domain(columns: list[str]) -> list[str]:
-    """Above 80 columns, keep a quota of each kind of name."""
-    if len(columns) <= S.DOMAIN_LIMIT:
+def prioritise_by_domain(columns: list[str], limit: int | None = None,
+                         quotas: dict[str, int] | None = None) -> list[str]:
+    """Above ``limit`` columns, keep a quota of each kind of name; without a limit keep all.
+
+    The original's numbers are ``settings.DOMAIN_LIMIT`` and ``settings.DOMAIN_QUOTAS``.
+    """
+    if limit is None or len(columns) <= limit:
         return list(columns)
-    kinds: dict[str, list[str]] = {k: [] for k in S.DOMAIN_QUOTAS}
+    quotas = quotas or S.DOMAIN_QUOTAS
+    kinds: dict[str, list[str]] = {k: [] for k in quotas}
     for c in columns:
         kind = next((k for k, parts in S.DOMAIN_PARTS.items()
                      if any(p in c.lower() for p in parts)), "other")
         kinds[kind].append(c)
-    return [c for k, quota in S.DOMAIN_QUOTAS.items() for c in kinds[k][:quota]]
+    return [c for k, quota in quotas.items() for c in kinds[k][:quota]]
 
 
 def downcast(df: DataFrame) -> DataFrame:

@@ -233,100 +233,120 @@ class Rolling:
     kind: str = "mean"  # or "variance" (sample variance)
 
 
-def _statistic(spec: Rolling, value) -> Column:
-    """The statistic from window totals; ``value(kind)`` gives the total of one part."""
-    count = value("n")
-    if spec.kind == "mean":
-        mean = F.try_divide(value("s"), count)
-        return F.when(count >= F.greatest(F.lit(spec.min_periods), F.lit(1)), mean)
-    total, square = value("v"), value("q")
-    spread = F.try_divide(square - F.try_divide(total * total, count), count - 1)
-    return F.when((count >= spec.min_periods) & (count > 1), F.greatest(F.lit(0.0), spread))
+def _finite(column: str) -> Column:
+    """Value as double; an infinity counts as missing."""
+    x = F.col(column).cast("double")
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
-def rolling(df: DataFrame, specs: list[Rolling], rows: int, by: list[str] | None = None,
-            index: str = INDEX, centres: dict[str, float] | None = None,
-            halo_limit: int = HALO_LIMIT) -> DataFrame:
-    """Rolling means and variances of any width from prefix sums.
+def _parts(specs: list[Rolling]) -> dict[str, Column]:
+    """Aggregates per column: count and sum for means; count, mean and variance for variances."""
+    out: dict[str, Column] = {}
+    for s in specs:
+        x = _finite(s.column)
+        out[f"_n_{s.column}"] = F.count(x)
+        if s.kind == "mean":
+            out[f"_s_{s.column}"] = F.sum(x)
+        else:
+            out |= {f"_m_{s.column}": F.avg(x), f"_v_{s.column}": F.var_pop(x)}
+    return out
 
-    A window as long as the table needs no look-back at all. Windows longer than
-    ``halo_limit`` take the position join instead of a halo.
+
+def _statistic(s: Rolling, head: str, tail: str) -> Column:
+    """The statistic of a window cut in two, from the aggregates of its parts (``tail`` may be NULL)."""
+    def part(kind: str, side: str) -> Column:
+        return F.coalesce(F.col(f"{side}_{kind}_{s.column}"), F.lit(0.0))
+
+    n, k = part("n", head), part("n", tail)
+    count = n + k
+    if s.kind == "mean":
+        mean = F.try_divide(part("s", head) + part("s", tail), count)
+        return F.when(count >= F.greatest(F.lit(s.min_periods), F.lit(1)), mean)
+    apart = F.when((n > 0) & (k > 0), part("m", head) - part("m", tail)).otherwise(F.lit(0.0))
+    moment = n * part("v", head) + k * part("v", tail) + apart * apart * F.try_divide(n * k, count)
+    return F.when((count >= s.min_periods) & (count > 1), F.try_divide(moment, count - 1))
+
+
+def rolling(df: DataFrame, specs: list[Rolling], rows: int, by: list[str] | None = None,
+            index: str = INDEX, halo_limit: int = HALO_LIMIT) -> DataFrame:
+    """Rolling means and variances of any width, from values inside each window only.
+
+    The order is cut every ``width`` rows. A window is the end of one such stretch and the
+    beginning of the next, so it is a running aggregate from the cut back plus one from the
+    cut on: nothing is subtracted, and no value outside the window has a part in it. Infinities
+    count as missing. A window as long as the table needs no look-back at all. Windows longer
+    than ``halo_limit`` take the position join instead of a halo.
     """
-    return rolling_blocks(df, specs, rows, by, index, centres, halo_limit).result()
+    return rolling_blocks(df, specs, rows, by, index, halo_limit).result()
 
 
 def rolling_blocks(df: DataFrame, specs: list[Rolling], rows: int, by: list[str] | None = None,
-                   index: str = INDEX, centres: dict[str, float] | None = None,
-                   halo_limit: int = HALO_LIMIT, extra: int = 0) -> Blocks:
+                   index: str = INDEX, halo_limit: int = HALO_LIMIT, extra: int = 0) -> Blocks:
     """``rolling`` kept in blocks with ``extra`` valid halo rows, for further look-backs."""
-    centres = centres or {}
-    whole = [s for s in specs if s.width >= rows]
-    short = [s for s in specs if s.width < rows and s.width + extra <= halo_limit]
+    whole = [s for s in specs if s.width >= rows and s.kind == "mean"]
+    short = [s for s in specs if s not in whole and (s.width + extra <= halo_limit or s.kind != "mean")]
     long = [s for s in specs if s not in whole and s not in short]
     if whole:
-        df = _rolling_whole(df, whole, rows, by, index, centres)
-    if long:
-        df = _rolling_joined(df, long, rows, by, index, centres)
-    halo = max([s.width for s in short], default=0) + extra
+        df = _rolling_whole(df, whole, rows, by, index)
+    for width in sorted({s.width for s in long}):
+        df = _rolling_joined(df, [s for s in long if s.width == width], rows, by, index)
+    halo = max([min(s.width, rows) for s in short], default=0) + extra
     blocks = in_blocks(df, rows, back=halo, by=by, index=index)
-    return _rolling_in(blocks, short, centres) if short else blocks
+    for width in sorted({s.width for s in short}):
+        blocks = _rolling_in(blocks, [s for s in short if s.width == width])
+    return blocks
+
+
+def _rolling_in(blocks: Blocks, specs: list[Rolling]) -> Blocks:
+    width, at, parts = specs[0].width, F.col(blocks.index), _parts(specs)
+    cut = blocks.with_columns({"_stretch": F.floor((at - 1) / F.lit(width))})
+    inside = Window.partitionBy(*blocks.keys, "_stretch")
+    on = inside.orderBy(blocks.index).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = inside.orderBy(at.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = cut.with_columns({f"_a{n}": c.over(on) for n, c in parts.items()})
+    if width > 1:
+        cut = cut.with_columns({f"_z{n}": c.over(back) for n, c in parts.items()})
+        # the last row of a stretch has the whole stretch for its window
+        cut = cut.with_columns({f"_t{n}": F.when(F.pmod(at, F.lit(width)) != 0, F.lag(f"_z{n}", width - 1).over(
+            cut.window)) for n in parts})
+    else:
+        cut = cut.with_columns({f"_t{n}": F.lit(None).cast("double") for n in parts})
+    out = cut.with_columns({s.name: _statistic(s, "_a", "_t") for s in specs})
+    return Blocks(out.df.drop("_stretch", *[f"{p}{n}" for n in parts for p in ("_a", "_z", "_t")]),
+                  out.by, out.index, out.length)
 
 
-def _needed(specs: list[Rolling], centres: dict[str, float]) -> dict[str, Column]:
-    """Addends per column: count, value, and for variances the centred value and its square."""
+def _addends(specs: list[Rolling]) -> dict[str, Column]:
     out: dict[str, Column] = {}
     for s in specs:
-        x = F.col(s.column).cast("double")
-        out[f"_n_{s.column}"] = F.col(s.column).isNotNull().cast("long")
-        if s.kind == "mean":
-            out[f"_s_{s.column}"] = F.coalesce(x, F.lit(0.0))
-        else:
-            gap = x - F.lit(centres.get(s.column, 0.0))
-            out[f"_v_{s.column}"] = F.coalesce(gap, F.lit(0.0))
-            out[f"_q_{s.column}"] = F.coalesce(gap * gap, F.lit(0.0))
+        x = _finite(s.column)
+        out |= {f"_n_{s.column}": x.isNotNull().cast("long"), f"_s_{s.column}": F.coalesce(x, F.lit(0.0))}
     return out
 
 
-def _zero(part: str) -> Column:
-    return F.lit(0).cast("long" if part.startswith("_n_") else "double")
-
-
-def _rolling_in(blocks: Blocks, specs: list[Rolling], centres: dict[str, float]) -> Blocks:
-    parts = _needed(specs, centres)
-    sums = blocks.with_columns({f"_p{n}": F.sum(c).over(blocks.running) for n, c in parts.items()})
-    shifts = sorted({(n, s.width) for s in specs for n in _needed([s], centres)})
-    sums = sums.with_columns({
-        f"_d{n}_{w}": F.col(f"_p{n}") - F.coalesce(F.lag(f"_p{n}", w).over(blocks.window), _zero(n))
-        for n, w in shifts})
-    out = sums.with_columns({
-        s.name: _statistic(s, lambda kind, s=s: F.col(f"_d_{kind}_{s.column}_{s.width}"))
-        for s in specs})
-    return Blocks(out.df.drop(*[f"_p{n}" for n in parts], *[f"_d{n}_{w}" for n, w in shifts]),
-                  out.by, out.index, out.length)
-
-
-def _rolling_whole(df, specs, rows, by, index, centres) -> DataFrame:
-    parts = _needed(specs, centres)
-    total = running_total(df, {f"_p{n}": c for n, c in parts.items()}, rows, by, index)
-    out = total.withColumns({
-        s.name: _statistic(s, lambda kind, s=s: F.col(f"_p_{kind}_{s.column}")) for s in specs})
-    return out.drop(*[f"_p{n}" for n in parts])
-
-
-def _rolling_joined(df, specs, rows, by, index, centres) -> DataFrame:
-    parts = _needed(specs, centres)
-    names = [f"_p{n}" for n in parts]
-    out = running_total(df, {f"_p{n}": c for n, c in parts.items()}, rows, by, index)
-    for width in sorted({s.width for s in specs}):
-        out = look_back(out, names, width, by, index)
+def _rolling_whole(df, specs, rows, by, index) -> DataFrame:
+    parts = _addends(specs)
+    total = running_total(df, {f"_a{n}": c for n, c in parts.items()}, rows, by, index)
+    empty = total.withColumns({f"_t{n}": F.lit(None).cast("double") for n in parts})
+    out = empty.withColumns({s.name: _statistic(s, "_a", "_t") for s in specs})
+    return out.drop(*[f"{p}{n}" for n in parts for p in ("_a", "_t")])
 
-        def gap(kind: str, s: Rolling) -> Column:
-            n = f"_{kind}_{s.column}"
-            return F.col(f"_p{n}") - F.coalesce(F.col(f"_p{n}_back"), _zero(n))
 
-        out = out.withColumns({s.name: _statistic(s, lambda kind, s=s: gap(kind, s))
-                               for s in specs if s.width == width}).drop(*[f"{n}_back" for n in names])
-    return out.drop(*names)
+def _rolling_joined(df, specs, rows, by, index) -> DataFrame:
+    """Means of one width, with running totals per stretch in both directions and one join on position."""
+    width, parts = specs[0].width, _addends(specs)
+    cut = df.withColumns({"_stretch": F.floor((F.col(index) - 1) / F.lit(width)),
+                          "_reverse": F.lit(rows + 1) - F.col(index)})
+    keys = [*(by or []), "_stretch"]
+    both = running_total(cut, {f"_a{n}": c for n, c in parts.items()}, rows, keys, index)
+    both = running_total(both, {f"_z{n}": c for n, c in parts.items()}, rows, keys, "_reverse")
+    ends = [f"_z{n}" for n in parts]
+    seen = look_back(both, ends, width - 1, by, index)
+    seen = seen.withColumns({f"_t{n}": F.when(F.pmod(F.col(index), F.lit(width)) != 0, F.col(f"_z{n}_back"))
+                             for n in parts})
+    out = seen.withColumns({s.name: _statistic(s, "_a", "_t") for s in specs})
+    return out.drop("_stretch", "_reverse", *[f"{c}_back" for c in ends],
+                    *[f"{p}{n}" for n in parts for p in ("_a", "_z", "_t")])
 
 
 def centred_mean(df: DataFrame, name: str, column: str, width: int, rows: int,
@@ -334,19 +354,11 @@ def centred_mean(df: DataFrame, name: str, column: str, width: int, rows: int,
     """Mean over ``width`` rows around each row; NULL where the window is not full."""
     ahead = (width - 1) // 2
     blocks = in_blocks(df, rows, back=width, ahead=max(ahead, 1), by=by, index=index)
-    parts = _needed([Rolling(name, column, width, width)], {})
-    sums = blocks.with_columns({f"_p{n}": F.sum(c).over(blocks.running) for n, c in parts.items()})
-    w, tail = sums.window, width - ahead
-
-    def span(n: str, zero: Column) -> Column:
-        # prefix at the window's last row minus prefix just before its first row
-        return F.lead(n, ahead).over(w) - F.coalesce(F.lag(n, tail).over(w), zero)
-
-    done = sums.with_columns({"_total": span(f"_p_s_{column}", F.lit(0.0)),
-                              "_count": span(f"_p_n_{column}", F.lit(0).cast("long"))})
-    done = done.with_columns({name: F.when(
-        (F.col("_count") == width) & (F.col(index) >= tail), F.col("_total") / F.lit(float(width)))})
-    return done.result("_total", "_count", *[f"_p{n}" for n in parts])
+    # the window around a row is the trailing window of the row that ends it
+    trailing = _rolling_in(blocks, [Rolling("_mean", column, width, width)])
+    done = trailing.with_columns({name: F.when(
+        F.col(index) >= width - ahead, F.lead("_mean", ahead).over(trailing.window))})
+    return done.result("_mean")
 
 
 def previous(df: DataFrame, columns: dict[str, str], rows: int, by: list[str] | None = None,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +12,9 @@ from stationcare.operators.quantiles import quantiles, unpivot
 from stationcare.roles import columns_of_kind, is_numeric
 
 
+REST = "(rest)"
+
+
 def schema_report(df: DataFrame) -> DataFrame:
     """One row per column: name, type, kind."""
     kinds = {c: k for k, names in columns_of_kind(df).items() for c in names}
@@ -26,13 +27,21 @@ def kind_counts(df: DataFrame) -> dict[str, int]:
 
 
 def class_share(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
-    """Counts and percentages, most frequent first, names breaking ties; ``top`` folds the rest."""
+    """Counts and percentages, most frequent first, names breaking ties; ``top`` folds the rest into one last row."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(column))
     shares = counts.withColumn("share_pct", 100.0 * F.col("n") / total.scalar())
     if top is None:
         return shares.orderBy(F.desc("n"), column)
-    return shares.orderBy(F.desc("n"), column).limit(top)
+    first = shares.orderBy(F.desc("n"), column).limit(top)
+    seen = first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("seen"))
+    rest = (df.agg(F.count(column).alias("_all")).withColumn("_seen", seen.scalar())
+            .where(F.col("_all") > F.col("_seen"))
+            .select(F.lit(REST).alias(column), (F.col("_all") - F.col("_seen")).alias("n"),
+                    (100.0 * (F.col("_all") - F.col("_seen")) / F.col("_all")).alias("share_pct")))
+    named = first.withColumn(column, F.col(column).cast("string"))
+    return (named.withColumn("_last", F.lit(0)).unionByName(rest.withColumn("_last", F.lit(1)))
+            .orderBy("_last", F.desc("n"), column).drop("_last"))
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -141,30 +150,11 @@ def daily_target(df: DataFrame, timestamp: str, target: str) -> DataFrame:
         day_name(F.col(timestamp)).alias("dia_semana"), target).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pair_correlation(a: str, b: str) -> Column:
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson r of every column pair ``a`` before ``b``; NULL if either is constant.
 
-    Few columns go in one built-in aggregate; many go through per-partition
-    matrices of sums, added up per pair.
+    Per-partition matrices of sums, added up per pair: one way for any number of columns.
     """
-    if len(columns) > 12:
-        return _correlations_by_matrix(df, columns)
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(*[_pair_correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                 F.lit(columns.index(a)).alias("a_pos"), F.lit(columns.index(b)).alias("b_pos"),
-                 F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]))
-    return wide.select(rows.alias("_r")).select("_r.*")
-
-
-def _correlations_by_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     import numpy as np
 
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()

@@ -1,8 +1,9 @@
 """Exact quantiles (linear interpolation) of any number of rows.
 
-Up to ``EXACT_LIMIT`` rows one ``percentile`` aggregate does it. Beyond that its
-buffer of distinct values would outgrow a task, so a rank-bounded sketch first
-brackets each wanted rank and only values inside the bracket are ordered.
+Groups of up to ``EXACT_LIMIT`` rows take one ``percentile`` aggregate. Beyond that
+its buffer of distinct values would outgrow a task, so a rank-bounded sketch first
+brackets each wanted rank and only values inside the bracket are ordered. Both give
+the same numbers; the limit only says which way they are found.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stationcare.operators.tables import settled
+
 EXACT_LIMIT = 200_000
 BRACKET_LIMIT = 200_000
 ACCURACY = 10_000
@@ -36,9 +39,22 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
     rows = df.count() if rows is None else rows
     long = unpivot(df, columns, by)
     if rows <= exact_limit:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return long.groupBy(*by, "column").agg(F.count("x").alias("n"), F.percentile("x", wanted).alias("q"))
-    return _bracketed(long, probs, by + ["column"], bracket_limit)
+        return _aggregated(long, probs, by + ["column"])
+    if not by:
+        return _bracketed(long, probs, ["column"], bracket_limit)
+    # only groups that are large themselves take the long way
+    keys = by + ["column"]
+    large = (long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > exact_limit)
+             .select(*[F.col(k).alias(f"_l_{k}") for k in keys]))
+    large = settled(large)
+    same = [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys]
+    return _bracketed(long.join(large, same, "left_semi"), probs, keys, bracket_limit).unionByName(
+        _aggregated(long.join(large, same, "left_anti"), probs, keys))
+
+
+def _aggregated(long: DataFrame, probs: list[float], keys: list[str]) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    return long.groupBy(*keys).agg(F.count("x").alias("n"), F.percentile("x", wanted).alias("q"))
 
 
 def _bracketed(long: DataFrame, probs: list[float], keys: list[str], limit: int) -> DataFrame:
@@ -50,7 +66,10 @@ def _bracketed(long: DataFrame, probs: list[float], keys: list[str], limit: int)
     targets = facts.select(*keys, "n", "lo", "hi", ranks.alias("_r")).select(
         *keys, "n", "lo", "hi", "_r.pi", "_r.p")
     schema = targets.schema
-    wanted = targets.collect()  # groups x columns x probabilities
+    wanted = targets.collect()  # large groups x columns x probabilities
+    if not wanted:
+        return long.limit(0).select(*keys, F.lit(0).cast("long").alias("n"),
+                                    F.array().cast("array<double>").alias("q"))
     while True:
         current = spark.createDataFrame(wanted, schema)
         inside = _inside(long, current, keys)

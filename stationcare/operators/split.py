@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationcare import settings as S
-from stationcare.functions.hashing import stable_hash, stable_uniform
+from stationcare.functions.hashing import stable_hash
+from stationcare.operators.ordered import with_index
 from stationcare.operators.tables import settled
 
 COARSE_BITS = 40  # hash bits below the coarse bucket: 2**20 buckets per class
-HEAD_GROUPS = 1_000
 
 
 def take_first(df: DataFrame, by: str, key: str, wanted: Callable[[Column], Column],
@@ -55,89 +55,89 @@ def stratified_split(df: DataFrame, target: str, key: str, test_share: float = S
 def cap_per_class(df: DataFrame, target: str, key: str, cap: int | None = None,
                   total: int | None = None, seed: int | str = S.SEED) -> DataFrame:
     """At most ``cap`` rows of each class, or ``total`` shared evenly between the classes."""
+    if (cap is None) == (total is None):
+        raise ValueError("give cap or total")
     if cap is None:
         classes = df.where(F.col(target).isNotNull()).select(target).distinct().count()
-        cap = (total or S.IMPORTANCE_SAMPLE) // max(classes, 1)
+        cap = total // max(classes, 1)
     marked = take_first(df, target, key, lambda n: F.least(n, F.lit(cap)), seed)
     return marked.where("taken").drop("taken")
 
 
-def _quota_fold(group: Column, loads: list[int], total: int, seed: int | str) -> Column:
-    """Fold of a small group: its hash falls into shares that even out the folds."""
-    gaps = [max(0.0, total / len(loads) - load) for load in loads]
-    room = sum(gaps) or 1.0
-    spot, fold, reached = stable_uniform(group, seed=seed), None, 0.0
-    for i, gap in enumerate(gaps[:-1]):
-        reached += gap / room
-        fold = F.when(spot < reached, i) if fold is None else fold.when(spot < reached, i)
-    return F.lit(0) if fold is None else fold.otherwise(len(loads) - 1)
+def fold_runs(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """Folds of groups that go one by one, largest first, to the lightest fold (ties: lowest number).
 
+    ``sizes``: (group size, number of such groups), falling. Returns (group size, first group, groups, folds in
+    turn): equal groups go round in turn once their folds are level, so the answer is as short as the list.
+    """
+    loads, out, at = [0] * k, [], 0
+    for size, count in sizes:
+        while count:
+            low = min(loads)
+            turn = sorted((f for f in range(k) if loads[f] < low + size), key=lambda f: (loads[f], f))
+            others = [loads[f] for f in range(k) if loads[f] >= low + size]
+            # whole rounds while every fold of the turn stays lighter than the rest
+            rounds = count // len(turn)
+            if others:
+                rounds = min(rounds, max(0, (min(others) - loads[turn[-1]]) // size))
+            taken = rounds * len(turn) or 1
+            turn = turn if rounds else turn[:1]
+            for f in turn:
+                loads[f] += (rounds or 1) * size
+            out.append((size, at, taken, turn))
+            at, count = at + taken, count - taken
+    return out
+
+
+def _with_folds(df: DataFrame, group: str, sized: DataFrame, k: int) -> DataFrame:
+    """Place the groups of ``sized (_s, _g, _n)`` stratum by stratum and attach ``fold`` to the rows.
+
+    The driver sees how many groups there are of each size, never the groups: there are at most about
+    sqrt(2 * rows) different sizes.
+    """
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in sized.groupBy("_s", "_n").agg(F.count(F.lit(1)).alias("c")).orderBy("_s", F.desc("_n")).collect():
+        counts.setdefault(r["_s"], []).append((r["_n"], r["c"]))
+    runs, start = [], 1
+    for stratum, sizes in counts.items():
+        runs += [(stratum, size, start + at, start + at + n, folds) for size, at, n, folds in fold_runs(sizes, k)]
+        start += sum(c for _, c in sizes)
+    ranked = with_index(sized.withColumn("_turn", -F.col("_n")), ["_s", "_turn", "_g"], rows=start - 1, index="_at")
+    stretches = settled(df.sparkSession.createDataFrame(
+        runs, "_rs string, _rn long, _from long, _to long, _folds array<int>"))
+    placed = ranked.join(stretches, (F.col("_s") == F.col("_rs")) & (F.col("_n") == F.col("_rn"))
+                         & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
+    folds = placed.select(F.col("_g").alias("_fg"), F.get(
+        "_folds", F.pmod(F.col("_at") - F.col("_from"), F.size("_folds")).cast("int")).alias("fold"))
+    return df.join(settled(folds), F.col(group).eqNullSafe(F.col("_fg")), "left").drop("_fg")
+
+
+def group_folds(df: DataFrame, group: str, k: int = S.FOLDS) -> DataFrame:
+    """Add ``fold``; all rows of a group share it and the folds are of like size.
 
-def _with_folds(df: DataFrame, group: str, heads: dict, loads: list[int], total: int,
-                all_heads: bool, seed: int | str) -> DataFrame:
-    spark = df.sparkSession
-    kind = df.schema[group].dataType.simpleString()
-    table = spark.createDataFrame(list(heads.items()), f"_g {kind}, _fold int")
-    joined = df.join(F.broadcast(table), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
-    rest = F.lit(None).cast("int") if all_heads else _quota_fold(F.col(group), loads, total, seed)
-    return joined.withColumn("fold", F.coalesce("_fold", rest)).drop("_fold")
+    The groups go by falling size, then by name, to the lightest fold: one rule for any number of groups.
+    """
+    sized = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.lit(""))
+    return _with_folds(df, group, sized, k)
 
 
-def group_folds(df: DataFrame, group: str, k: int = S.FOLDS, heads: int = HEAD_GROUPS,
-                seed: int | str = S.SEED) -> DataFrame:
-    """Add ``fold``; all rows of a group share it and the folds are of like size.
+def stratified_group_folds(df: DataFrame, group: str, target: str, k: int = S.FOLDS) -> DataFrame:
+    """Like ``group_folds``, keeping the class mix of the folds alike as well.
 
-    The largest groups go one by one to the lightest fold; the many small ones
-    follow by hash into shares that level the folds. No shuffle of the rows.
+    A group belongs to the class of which it holds the largest share (ties: first by name); the groups of each
+    class are spread over the folds as ``group_folds`` spreads all. Groups without a class are spread last.
     """
-    sizes = df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.orderBy(F.desc("n"), "g").limit(heads + 1).collect()
-    loads, placed = [0] * k, {}
-    for row in largest[:heads]:
-        fold = loads.index(min(loads))
-        loads[fold] += row["n"]
-        placed[row["g"]] = fold
-    few = len(largest) <= heads
-    total = sum(loads) if few else df.count()
-    return _with_folds(df, group, placed, loads, total, few, seed)
-
-
-def stratified_group_folds(df: DataFrame, group: str, target: str, k: int = S.FOLDS,
-                           heads: int = HEAD_GROUPS, seed: int | str = S.SEED) -> DataFrame:
-    """Like ``group_folds``, keeping the class mix of the folds alike as well."""
-    import numpy as np
-
-    counts = df.groupBy(F.col(group).alias("g"), F.col(target).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    classes = sorted({r["c"] for r in counts.select("c").distinct().collect() if r["c"] is not None})
-    wide = counts.groupBy("g").agg(
-        *[F.coalesce(F.sum(F.when(F.col("c") == c, F.col("n"))), F.lit(0)).alias(f"c{i}")
-          for i, c in enumerate(classes)], F.sum("n").alias("n"),
-        F.first(stable_hash(F.col("g"), seed=seed)).alias("h"))
-    largest = wide.orderBy(F.desc("n"), "h", "g").limit(heads + 1).collect()
-    totals = counts.groupBy("c").agg(F.sum("n").alias("n")).collect()
-    by_class = np.array([max(1, sum(r["n"] for r in totals if r["c"] == c)) for c in classes], float)
-    mix = {r["g"]: np.array([r[f"c{i}"] for i in range(len(classes))], float) for r in largest[:heads]}
-
-    def imbalance(row) -> int:
-        """Orders groups as the spread of their class counts does, in whole numbers."""
-        parts = [row[f"c{i}"] for i in range(len(classes))]
-        return len(parts) * sum(p * p for p in parts) - sum(parts) ** 2
-
-    turn = sorted(largest[:heads], key=lambda r: (-imbalance(r), r["h"]))
-    held, loads, placed = np.zeros((k, len(classes))), [0] * k, {}
-    for row in turn:
-        best = None
-        for fold in range(k):
-            held[fold] += mix[row["g"]]
-            uneven = float(np.mean(np.std(held / by_class, axis=0)))
-            held[fold] -= mix[row["g"]]
-            if best is None or (round(uneven, 12), loads[fold]) < best[:2]:
-                best = (round(uneven, 12), loads[fold], fold)
-        held[best[2]] += mix[row["g"]]
-        loads[best[2]] += row["n"]
-        placed[row["g"]] = best[2]
-    few = len(largest) <= heads
-    return _with_folds(df, group, placed, loads, sum(r["n"] for r in totals), few, seed)
+    counts = df.groupBy(F.col(group).alias("_g"), F.col(target).alias("_c")).agg(F.count(F.lit(1)).alias("_m"))
+    totals = settled(counts.where(F.col("_c").isNotNull()).groupBy(F.col("_c").alias("_tc"))
+                     .agg(F.sum("_m").alias("_t")))
+    shares = counts.join(totals, F.col("_c") == F.col("_tc"), "left").withColumn("_share", F.col("_m") / F.col("_t"))
+    known = F.col("_c").isNotNull()
+    sized = shares.groupBy("_g").agg(
+        F.sum("_m").alias("_n"),
+        F.min(F.when(known, F.struct((-F.col("_share")).alias("a"), F.col("_c").cast("string").alias("c"))))
+        .alias("_best"))
+    last = F.when(F.col("_best").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("_best.c")))
+    return _with_folds(df, group, sized.select("_g", "_n", last.alias("_s")), k)
 
 
 def leaking_groups(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:

@@ -35,7 +35,6 @@ class FeatureState:
     first_week: int | None = None
     start_us: int | None = None
     baselines: dict[str, float | None] = field(default_factory=dict)
-    centres: dict[str, float] = field(default_factory=dict)
     fences: dict[str, list[float]] = field(default_factory=dict)
     cycles: int = 0
     cycle_baseline: float | None = None
@@ -84,7 +83,6 @@ def fit_features(ordered: DataFrame, roles: Roles, sampling_hz: float = S.SAMPLI
     seen = ordered.agg(
         F.min(F.weekofyear(ts)).alias("week"), F.min(F.when(F.col(INDEX) == 1, _micros(ts))).alias("start"),
         *[F.avg(F.when(early, F.col(c).cast("double"))).alias(f"b_{c}") for c in sensors],
-        *[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in sensors],
         F.max("ciclo_id").alias("cycles") if "ciclo_id" in ordered.columns else F.lit(0).alias("cycles")).first()
     fences = {r["column"]: [r["low"], r["high"], r["far_low"], r["far_high"]]
               for r in iqr_bounds(ordered, sensors, rows=rows).collect()} if sensors else {}
@@ -93,7 +91,7 @@ def fit_features(ordered: DataFrame, roles: Roles, sampling_hz: float = S.SAMPLI
         pace = quantiles(cycle_table(ordered, ts), ["duracion_segundos"], [0.1], rows=cycles).first()["q"][0]
     return FeatureState(rows, sampling_hz, seen["week"], seen["start"],
                         {c: seen[f"b_{c}"] for c in sensors},
-                        {c: seen[f"m_{c}"] or 0.0 for c in sensors}, fences, cycles, pace)
+                        fences, cycles, pace)
 
 
 def cycle_table(ordered: DataFrame, timestamp: str) -> DataFrame:
@@ -132,7 +130,7 @@ def engineer(df: DataFrame, roles: Roles, profile: str = "full", state: FeatureS
         state = fit_features(ordered, roles, sampling_hz, rows)
     ts, sensors = roles.timestamp, list(roles.sensors)
     specs = rolling_plan(state, roles, parts, rows)
-    blocks = rolling_blocks(ordered, specs, rows, centres=state.centres, extra=2)
+    blocks = rolling_blocks(ordered, specs, rows, extra=2)
     blocks = _differences(blocks, roles, parts)
     out = _cycles(blocks, ordered, ts, state) if "ciclo_id" in ordered.columns else blocks.result()
     new: dict[str, Column] = {}
@@ -226,6 +224,6 @@ def preview(df: DataFrame, roles: Roles, profile: str = "full", sampling_hz: flo
     sample = df.limit(0)
     unit = [0.0] * 4
     state = FeatureState(rows, sampling_hz, 1, 0, {s: 1.0 for s in roles.sensors},
-                         {s: 0.0 for s in roles.sensors}, {s: unit for s in roles.sensors}, 11, 1.0)
+                         {s: unit for s in roles.sensors}, 11, 1.0)
     out, _ = engineer(sample, roles, profile, state, sampling_hz, rows, stage=False)
     return new_columns(df, out)

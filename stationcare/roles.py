@@ -54,18 +54,14 @@ def _by_name(columns: list[str], names: list[str], parts: list[str]) -> str | No
 
 
 def detect_timestamp(df: DataFrame) -> str | None:
-    """By exact name, then by part of the name, then the first text column whose sample parses."""
+    """By exact name, then by part of the name, then the first text column whose values all parse."""
     found = _by_name(df.columns, S.TIMESTAMP_NAMES, S.TIMESTAMP_PARTS)
     texts = columns_of_kind(df)["categorical"]
     if found or not texts:
         return found
-    for name in texts:
-        head = df.select(name).where(F.col(name).isNotNull()).limit(100)
-        seen = head.agg(F.count(name).alias("n"),
-                        F.count(parse_timestamp(F.col(name))).alias("ok")).first()
-        if seen["n"] and seen["n"] == seen["ok"]:
-            return name
-    return None
+    seen = df.agg(*[a for i, name in enumerate(texts) for a in (
+        F.count(name).alias(f"n{i}"), F.count(parse_timestamp(F.col(name))).alias(f"ok{i}"))]).first()
+    return next((name for i, name in enumerate(texts) if seen[f"n{i}"] and seen[f"n{i}"] == seen[f"ok{i}"]), None)
 
 
 def detect_target(df: DataFrame, timestamp: str | None = None) -> str | None:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stationcare import settings as S
-from stationcare.functions.hashing import stable_hash
 from stationcare.operators.clean import nan_to_null
 
 _COMPONENTS = list(S.RUL_TARGETS)
@@ -39,8 +41,12 @@ def source_format(path: str) -> str:
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
                schema: T.StructType | None = None, table: str = "datos_estacion",
-               **jdbc) -> DataFrame:
-    """Lazy scan of Parquet, CSV or a database table, NaN read as NULL."""
+               where: Column | None = None, **jdbc) -> DataFrame:
+    """Lazy scan of Parquet, CSV or a database table, NaN read as NULL.
+
+    ``where`` goes to the scan itself (pushed down, on the raw columns) and is asked
+    again once NaN is NULL, so that a NaN passes no comparison.
+    """
     fmt = fmt or source_format(path)
     if fmt == "jdbc":
         return read_database(spark, f"jdbc:sqlite:{path}", table, **jdbc)
@@ -51,7 +57,8 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
         reader = reader.option("header", True)
         if schema is None:
             reader = reader.option("inferSchema", True)
-    return nan_to_null(reader.load(path))
+    raw = reader.load(path)
+    return nan_to_null(raw) if where is None else nan_to_null(raw.where(where)).where(where)
 
 
 def read_database(spark: SparkSession, url: str, table: str, column: str | None = "id",
@@ -78,12 +85,6 @@ def check_table(spark: SparkSession, name: str, columns: list[str] | None = None
     return require_columns(spark.table(name), columns or []).count()
 
 
-def random_rows(df: DataFrame, key: str, n: int = 100_000, seed: int = S.SEED) -> DataFrame:
-    """``n`` rows in seeded random order."""
-    return (df.withColumn("_h", stable_hash(F.col(key), seed=seed))
-            .orderBy("_h", key).limit(n).drop("_h"))
-
-
 def sensor_data(df: DataFrame, sensors: list[str] | None = None, epoch: str = "timestamp_unix",
                 limit: int | None = None) -> DataFrame:
     """Sensor columns in time order, with the epoch seconds as a timestamp."""
@@ -96,13 +97,19 @@ def state_data(df: DataFrame, state: str | None = None, rul_range: tuple[float,
                limit: int | None = None, state_column: str = S.RAW_STATE,
                rul_column: str = "rul_dias_aceite", order_by: tuple[str, ...] = ("timestamp_unix",)) -> DataFrame:
     """Rows in one state and/or a RUL range, in time order."""
-    out = df
+    out = df.where(in_state(state, rul_range, state_column, rul_column)).orderBy(*order_by)
+    return out if limit is None else out.limit(limit)
+
+
+def in_state(state: str | None = None, rul_range: tuple[float, float] | None = None,
+             state_column: str = S.RAW_STATE, rul_column: str = "rul_dias_aceite") -> Column:
+    """Condition for ``read_table(where=)``: one state and/or a RUL range."""
+    out = F.lit(True)
     if state is not None:
-        out = out.where(F.col(state_column) == state)
+        out = out & (F.col(state_column) == state)
     if rul_range is not None:
-        out = out.where(F.col(rul_column).between(*rul_range))
-    out = out.orderBy(*order_by)
-    return out if limit is None else out.limit(limit)
+        out = out & F.col(rul_column).between(*rul_range)
+    return out
 
 
 def date_range(df: DataFrame, start: str | None = None, end: str | None = None,
@@ -131,15 +138,21 @@ def table_names(spark: SparkSession) -> DataFrame:
     return spark.sql("show tables").select("tableName")
 
 
-def numeric_text(df: DataFrame, column: str, probe: int = 10) -> bool:
-    """Do the first known values of a column read as numbers?"""
-    head = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull()).limit(probe)
-    found = head.agg(F.bool_and(F.col("v").cast("string").try_cast("double").isNotNull())).first()[0]
+def numeric_text(df: DataFrame, column: str) -> bool:
+    """Do all known values of a column read as numbers? False where none is known."""
+    value = F.col(column)
+    found = df.where(value.isNotNull()).agg(
+        F.bool_and(value.cast("string").try_cast("double").isNotNull())).first()[0]
     return bool(found)
 
 
 def run_query(df: DataFrame, query: str, args: dict | list | None = None,
               name: str = "datos_estacion") -> DataFrame:
-    """SQL with bound parameters over the readings, under the name ``datos_estacion``."""
-    df.createOrReplaceTempView(name)
-    return df.sparkSession.sql(query, args=args) if args else df.sparkSession.sql(query)
+    """SQL with bound parameters over the readings, under the name ``datos_estacion``.
+
+    The view has a private name, so that two users of one session do not meet.
+    """
+    private = f"{name}_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(private)
+    text = re.sub(rf"(?i)\b{re.escape(name)}\b", private, query)
+    return df.sparkSession.sql(text, args=args) if args else df.sparkSession.sql(text)

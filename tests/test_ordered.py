@@ -57,7 +57,7 @@ def numbered(spark, frame):
 def test_rolling_equals_pandas(numbered, frame, limit):
     specs = [o.Rolling("m13", "x", 13, 3), o.Rolling("m500", "x", 500, 125),
              o.Rolling("v50", "x", 50, 25, "variance"), o.Rolling("whole", "x", 9000, 100)]
-    got = o.rolling(numbered, specs, N, halo_limit=limit, centres={"x": 1.0}).orderBy("row_index").toPandas()
+    got = o.rolling(numbered, specs, N, halo_limit=limit).orderBy("row_index").toPandas()
     for s in specs:
         w = frame["x"].rolling(s.width, min_periods=s.min_periods)
         want = w.mean() if s.kind == "mean" else w.var()
@@ -141,3 +141,30 @@ def test_empty_and_single_row(spark):
     one = spark.createDataFrame([(1, 1, 2.0)], "t long, id long, x double")
     got = o.rolling(o.with_index(one, ["t", "id"]), [o.Rolling("m", "x", 3, 1)], 1).collect()
     assert got[0]["m"] == 2.0
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 4])
+def test_rolling_forgets_spikes_and_infinities(spark, limit):
+    import math
+
+    rng = np.random.default_rng(12)
+    x = list(2.75 + rng.normal(0, .05, 700))
+    x[100], x[300], x[301], x[500], x[620] = math.inf, 1e12, -1e15, None, -math.inf
+    df = spark.createDataFrame([(i + 1, None if v is None else float(v)) for i, v in enumerate(x)],
+                               "row_index long, x double")
+    kinds = ["mean", "variance"] if limit > 10 else ["mean"]
+    specs = [o.Rolling(f"{k}_{w}", "x", w, 2, k) for k in kinds for w in (1, 5, 64, 699)]
+    got = o.rolling(df.repartition(3), specs, 700, halo_limit=limit).orderBy("row_index").toPandas()
+    for s in specs:
+        for i in range(700):
+            seen = [v for v in x[max(0, i - s.width + 1):i + 1] if v is not None and math.isfinite(v)]
+            want = None
+            if len(seen) >= 2:
+                want = mean = math.fsum(seen) / len(seen)
+                if s.kind == "variance":
+                    want = math.fsum((v - mean) ** 2 for v in seen) / (len(seen) - 1)
+            have = got[s.name][i]
+            assert (want is None) == bool(np.isnan(have))
+            if want is not None:
+                scale = max([1.0, *map(abs, seen)])
+                assert abs(have - want) <= 1e-9 * (scale if s.kind == "mean" else scale * scale)

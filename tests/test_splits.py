@@ -31,17 +31,59 @@ def test_cap_keeps_small_classes_whole(rows):
     assert got == {c: min(n, 500) for c, n in sizes.items()}
 
 
-@pytest.mark.parametrize("heads", [1000, 5])
-def test_group_folds(rows, heads):
-    got = split.group_folds(rows, "g", 3, heads=heads)
+def _one_by_one(sizes, k):
+    loads, out = [0] * k, []
+    for n in sizes:
+        f = loads.index(min(loads))
+        loads[f] += n
+        out.append(f)
+    return out
+
+
+def test_fold_runs_equal_one_by_one():
+    rng = np.random.default_rng(8)
+    for k in (1, 2, 3, 7):
+        for _ in range(40):
+            sizes = sorted(((int(n), int(rng.integers(1, 30))) for n in set(rng.integers(1, 300, 12).tolist())),
+                           reverse=True)
+            want = _one_by_one([n for n, c in sizes for _ in range(c)], k)
+            got = [folds[i % len(folds)] for _, _, n, folds in split.fold_runs(sizes, k) for i in range(n)]
+            assert got == want
+
+
+def test_group_folds_of_many_groups(spark):
+    """One rule for any number of groups, a null group and a group with half of the rows included."""
+    rng = np.random.default_rng(9)
+    groups = [None] * 7 + [0] * 6000 + [int(g) for g in rng.integers(1, 2500, 6000)]
+    df = spark.createDataFrame([(g,) for g in groups], "g long")
+    got = split.group_folds(df, "g", 3)
+    sizes = {}
+    for g in groups:
+        sizes[g] = sizes.get(g, 0) + 1
+    order = sorted(sizes, key=lambda g: (-sizes[g], g is not None, g or 0))
+    want = dict(zip(order, _one_by_one([sizes[g] for g in order], 3), strict=True))
+    assert {r["g"]: r["fold"] for r in got.distinct().collect()} == want and got.count() == len(groups)
+
+
+def test_folds_of_an_empty_table(rows):
+    assert split.group_folds(rows.limit(0), "g", 3).count() == 0
+    assert split.stratified_group_folds(rows.limit(0), "g", "c", 3).count() == 0
+
+
+def test_cap_needs_a_size(rows):
+    with pytest.raises(ValueError):
+        split.cap_per_class(rows, "c", "id")
+
+
+def test_group_folds(rows):
+    got = split.group_folds(rows, "g", 3)
     assert split.leaking_groups(got, "g").count() == 0
     sizes = [r["count"] for r in got.groupBy("fold").count().collect()]
     assert len(sizes) == 3 and max(sizes) <= 1.15 * rows.where("g = 0").count()
 
 
-@pytest.mark.parametrize("heads", [1000, 5])
-def test_stratified_group_folds(rows, heads):
-    got = split.stratified_group_folds(rows, "g", "c", 2, heads=heads)
+def test_stratified_group_folds(rows):
+    got = split.stratified_group_folds(rows, "g", "c", 2)
     assert split.leaking_groups(got, "g").count() == 0
     shares = got.groupBy("fold").agg(F.avg((F.col("c") == "N").cast("double")).alias("p")).collect()
     assert len(shares) == 2 and abs(shares[0]["p"] - shares[1]["p"]) < .06

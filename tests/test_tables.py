@@ -84,8 +84,9 @@ def test_leaky_names(fleet):
 
 def test_domain_quotas():
     names = [f"s{i}_deg_x" for i in range(60)] + [f"q{i}" for i in range(40)]
-    assert len(clean.prioritise_by_domain(names)) == 55
-    assert clean.prioritise_by_domain(names[:80]) == names[:80]
+    assert len(clean.prioritise_by_domain(names, S.DOMAIN_LIMIT)) == 55
+    assert clean.prioritise_by_domain(names[:80], S.DOMAIN_LIMIT) == names[:80]
+    assert clean.prioritise_by_domain(names) == names
 
 
 def test_profile_of_the_fleet(fleet):
@@ -96,7 +97,7 @@ def test_profile_of_the_fleet(fleet):
     assert got["median_seconds"] == pytest.approx(.05) and got["frequency_hz"] == pytest.approx(20)
     assert got["large_gaps"] == 0 and got["max_gap_seconds"] is None
     assert profile.duplicate_rows(df.union(df.limit(5))).first()[0] == 5
-    assert profile.class_share(df, roles.target, top=1).count() == 1
+    assert profile.class_share(df, roles.target, top=1).count() == 2
     assert profile.schema_report(df).count() == len(df.columns)
 
 
@@ -129,7 +130,7 @@ def test_sources(spark, fleet, tmp_path):
     got = tables.run_query(fleet, "SELECT count(*) AS n FROM datos_estacion WHERE id <= ?", [10])
     assert got.first()["n"] == 10
     assert tables.sensor_data(fleet, limit=7).count() == 7
-    assert tables.random_rows(fleet, "id", 50).count() == 50
+    assert clean.sample_rows(fleet, "id", 50).count() == 50 and clean.sample_rows(fleet, "id", 9999).count() == 3000
     with pytest.raises(ValueError):
         tables.require_columns(fleet, ["zzz"])
 

@@ -255,32 +255,16 @@ def group_folds(spark, d):
     return plain(split.group_folds(views.readings(spark, d), "vehiculo_id").select("id", "vehiculo_id", "fold"))
 
 
-def _uneven(fold: int) -> str:
-    """Mean over the classes of the spread between two folds, were the next group put in ``fold``."""
-    sign = "+" if fold == 0 else "-"
-    return "round((" + " + ".join(f"abs({c}0 - {c}1 {sign} g.{c}) / t{c}" for c in "acn") + ") / 6, 12)"
-
-
-_FIRST = f"({_uneven(0)} < {_uneven(1)} OR ({_uneven(0)} = {_uneven(1)} AND l0 <= l1))"
-
-
-@query("stratified_group_folds", f"""WITH RECURSIVE {STATES}, m AS (
-  SELECT vehiculo_id AS v, count(*) FILTER (estado_agrupado = 'Advertencia') AS a,
-    count(*) FILTER (estado_agrupado = 'Critico') AS c, count(*) FILTER (estado_agrupado = 'Normal') AS n,
-    {hash_sql('vehiculo_id')} AS h FROM states GROUP BY vehiculo_id),
-g AS (SELECT *, CAST((SELECT sum(a) FROM m) AS DOUBLE) AS ta, CAST((SELECT sum(c) FROM m) AS DOUBLE) AS tc,
-    CAST((SELECT sum(n) FROM m) AS DOUBLE) AS tn,
-    row_number() OVER (ORDER BY 3 * (a * a + c * c + n * n) - (a + c + n) * (a + c + n) DESC, h) AS k FROM m),
-place AS (SELECT CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS v, 0 AS fold, CAST(0 AS BIGINT) AS a0, CAST(0 AS BIGINT) AS a1,
-    CAST(0 AS BIGINT) AS c0, CAST(0 AS BIGINT) AS c1, CAST(0 AS BIGINT) AS n0, CAST(0 AS BIGINT) AS n1,
-    CAST(0 AS BIGINT) AS l0, CAST(0 AS BIGINT) AS l1
-  UNION ALL SELECT k, v, CASE WHEN first THEN 0 ELSE 1 END, CASE WHEN first THEN a0 + a ELSE a0 END,
-    CASE WHEN first THEN a1 ELSE a1 + a END, CASE WHEN first THEN c0 + c ELSE c0 END,
-    CASE WHEN first THEN c1 ELSE c1 + c END, CASE WHEN first THEN n0 + n ELSE n0 END,
-    CASE WHEN first THEN n1 ELSE n1 + n END, CASE WHEN first THEN l0 + a + c + n ELSE l0 END,
-    CASE WHEN first THEN l1 ELSE l1 + a + c + n END
-  FROM (SELECT g.k, g.v, g.a, g.c, g.n, a0, a1, c0, c1, n0, n1, l0, l1, {_FIRST} AS first
-    FROM place JOIN g ON g.k = place.k + 1))
+@query("stratified_group_folds", f"""WITH RECURSIVE {STATES}, c AS (
+  SELECT vehiculo_id AS v, estado_agrupado AS c, count(*) AS m FROM states GROUP BY ALL),
+t AS (SELECT c AS tc, sum(m) AS t FROM c WHERE c IS NOT NULL GROUP BY 1),
+s AS (SELECT v, CAST(sum(m) AS BIGINT) AS n,
+    coalesce('0' || first(c ORDER BY CAST(m AS DOUBLE) / t DESC, c) FILTER (c IS NOT NULL), '1') AS s
+  FROM c LEFT JOIN t ON c = tc GROUP BY v),
+g AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, v) AS k FROM s),
+place AS (SELECT s, k, v, 0 AS fold, n AS l0, CAST(0 AS BIGINT) AS l1 FROM g WHERE k = 1 UNION ALL
+  SELECT g.s, g.k, g.v, CASE WHEN l0 <= l1 THEN 0 ELSE 1 END, CASE WHEN l0 <= l1 THEN l0 + g.n ELSE l0 END,
+    CASE WHEN l0 <= l1 THEN l1 ELSE l1 + g.n END FROM place JOIN g ON g.s = place.s AND g.k = place.k + 1)
 SELECT id, vehiculo_id, estado_agrupado, CAST(fold AS BIGINT) AS fold FROM states JOIN place ON vehiculo_id = v""")
 def stratified_group_folds(spark, d):
     r = clean.group_states(views.readings(spark, d))

@@ -91,12 +91,12 @@ LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppke
 
 @query("rolling_mean_long", f"""WITH w AS (
   SELECT date_trunc('month', l_shipdate) AS m, avg(l_quantity) OVER (ORDER BY {", ".join(LINE_ORDER)}
-    ROWS BETWEEN 4999 PRECEDING AND CURRENT ROW) AS ma FROM lineitem)
+    ROWS BETWEEN 71999 PRECEDING AND CURRENT ROW) AS ma FROM lineitem)
 SELECT year(m) AS anio, month(m) AS mes, count(*) AS n, round(sum(ma), 3) AS total_ma FROM w GROUP BY m""")
 def rolling_mean_long(spark, d):
     li = views.load(spark, d, "lineitem").select(*LINE_ORDER, "l_quantity")
     rows = li.count()
-    df = o.rolling(o.with_index(li, LINE_ORDER, rows=rows), [o.Rolling("ma", "l_quantity", 5000, 1)], rows)
+    df = o.rolling(o.with_index(li, LINE_ORDER, rows=rows), [o.Rolling("ma", "l_quantity", 72_000, 1)], rows)
     return plain(df.groupBy(F.year("l_shipdate").alias("anio"), F.month("l_shipdate").alias("mes")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("ma").alias("total_ma")), 3)
 
@@ -137,8 +137,7 @@ SELECT id, round(coalesce(CASE WHEN count(sensor_1) OVER f >= 250 THEN var_samp(
 WINDOW f AS ({BY_TIME} ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)""")
 def rolling_variance(spark, d):
     df, rows = numbered(spark, d, "sensor_1")
-    centre = df.agg(F.avg("sensor_1")).first()[0]
-    out = o.rolling(df, [o.Rolling("v", "sensor_1", 500, 250, "variance")], rows, centres={"sensor_1": centre})
+    out = o.rolling(df, [o.Rolling("v", "sensor_1", 500, 250, "variance")], rows)
     return plain(out.select("id", F.coalesce("v", F.lit(0.0)).alias("sensor_1_spectral_energy")), 4)
 
 
