@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from stationcare.llm.jaccard_join import Bands, jaccard_classes
 from stationcare.llm.text import SHINGLE_WORDS, Permutations, buffers, pieces, shingle_hashes
-from stationcare.operators.ordered import bucketed
+from stationcare.operators.ordered import MAX_BUCKETS, bucketed
 
 HASHES = 128
 BAND_ROWS = 4
 THRESHOLD = 0.8
+ROWS_PER_BUCKET = 4_000
 
 
 def hexed(sig: np.ndarray) -> list[str]:
@@ -118,7 +119,11 @@ def edited_fingerprints(docs: DataFrame, hashes: int = HASHES, words: int = SHIN
     """
     spark = docs.sparkSession
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = bucketed(named, ["doc_id"], buckets=buckets).withColumn("_hash", F.xxhash64("text"))
+    rows = named.count()
+    if buckets is None:
+        parallel = 4 * spark.sparkContext.defaultParallelism
+        buckets = int(min(MAX_BUCKETS, max(parallel, rows // ROWS_PER_BUCKET), max(1, rows // 500)))
+    placed = bucketed(named, ["doc_id"], rows=rows, buckets=buckets).withColumn("_hash", F.xxhash64("text"))
     # the bucket's first row in descending order; nulls are smallest
     heads = (placed.groupBy("_bucket").agg(F.max(F.struct("doc_id", "_hash")).alias("_head"))
              .select("_bucket", "_head.doc_id", "_head._hash").orderBy("_bucket").collect())
