@@ -294,7 +294,10 @@ def rolling_blocks(df: DataFrame, specs: list[Rolling], rows: int, by: list[str]
     blocks = in_blocks(df, rows, back=halo, by=by, index=index)
     for width in sorted({s.width for s in short}):
         blocks = _rolling_in(blocks, [s for s in short if s.width == width])
-    return blocks
+    # columns in the order of the specs, whichever way each one was made
+    names = [s.name for s in specs]
+    return Blocks(blocks.df.select(*[c for c in blocks.df.columns if c not in names], *names),
+                  blocks.by, blocks.index, blocks.length)
 
 
 def _rolling_in(blocks: Blocks, specs: list[Rolling]) -> Blocks:

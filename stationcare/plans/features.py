@@ -102,8 +102,9 @@ def cycle_table(ordered: DataFrame, timestamp: str) -> DataFrame:
         F.min(INDEX).alias("_first"), F.max(INDEX).alias("_last"))
 
 
-def rolling_plan(state: FeatureState, roles: Roles, profile: dict, rows: int) -> list[Rolling]:
-    specs: list[Rolling] = []
+def rolling_plan(state: FeatureState, roles: Roles, profile: dict) -> list[Rolling]:
+    """Windows and their widths follow the training rows, whatever table they are used on."""
+    specs, rows = [], state.rows
     for sensor in roles.sensors:
         for hours in profile["windows"]:
             w = window_rows(hours, state.sampling_hz, rows)
@@ -129,7 +130,7 @@ def engineer(df: DataFrame, roles: Roles, profile: str = "full", state: FeatureS
     if state is None:
         state = fit_features(ordered, roles, sampling_hz, rows)
     ts, sensors = roles.timestamp, list(roles.sensors)
-    specs = rolling_plan(state, roles, parts, rows)
+    specs = rolling_plan(state, roles, parts)
     blocks = rolling_blocks(ordered, specs, rows, extra=2)
     blocks = _differences(blocks, roles, parts)
     out = _cycles(blocks, ordered, ts, state) if "ciclo_id" in ordered.columns else blocks.result()

@@ -18,6 +18,7 @@ from stationcare.plans.features import FeatureState
 from stationcare.plans.maintenance import action_plan
 from stationcare.plans.train import Trained
 from stationcare.sources.sinks import path_exists
+from stationcare.sources.tables import require_columns
 
 BUNDLE = ("session string, task string, component string, model string, columns string, medians string, "
           "classes string")
@@ -98,12 +99,11 @@ def score(df: DataFrame, classifier: Trained | None, regressors: dict[str, Train
 
 
 def _apply(trained: Trained, df: DataFrame) -> DataFrame:
-    """Inputs go under private names: filled and aligned, the original columns untouched."""
+    """Inputs go under private names: NULLs filled, the original columns untouched; a missing input is an error."""
     columns, medians = trained.selection.columns, trained.selection.medians
-    saved = df.withColumns({f"_own_{c}": F.col(c) for c in columns if c in df.columns})
-    ready = saved.withColumns({
-        c: F.coalesce(F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double"),
-                      F.lit(medians[c])) for c in columns})
+    require_columns(df, columns)
+    saved = df.withColumns({f"_own_{c}": F.col(c) for c in columns})
+    ready = saved.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in columns})
     return trained.model.transform(ready)
 
 

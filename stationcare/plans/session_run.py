@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,12 @@ from stationcare import settings as S
 from stationcare.plans.features import engineer
 from stationcare.plans.preprocess import clean_readings, preprocess
 from stationcare.plans.report import best_models
-from stationcare.plans.scoring import (holdout_metrics, load_features, load_model, save_features,
+from stationcare.plans.scoring import (holdout_metrics, load_features, load_model, model_choice, save_features,
                                        save_model, score_fleet)
 from stationcare.plans.train import train_classifiers, train_rul
 from stationcare.roles import Roles
-from stationcare.sources.sinks import Checkpoints, append_rows, metrics_table, path_exists, save_predictions, write_scores
+from stationcare.sources.sinks import (METRICS, STAGES, Checkpoints, metrics_table, path_exists, save_predictions,
+                                       write_scores)
 
 
 def train_session(df: DataFrame, root: str, session: str, sampling_hz: float = S.SAMPLING_HZ,
@@ -23,23 +26,45 @@ def train_session(df: DataFrame, root: str, session: str, sampling_hz: float = S
                   k_best: int = S.K_BEST) -> DataFrame:
     """Clean, engineer, train, choose and save; returns the best model per task.
 
-    Stage outputs are tables under ``root``; a finished stage is reused unless forced.
+    Stage outputs are tables under ``root``; a finished stage is reused unless ``force`` names it (``features``,
+    ``classification``, ``rul``) or is ``all``. New features retrain everything. What a stage needs later is
+    written before its own table, so a run that broke off is not taken for a finished one; a stage made with
+    another profile, rate or number of rows is refused. Metrics are those of the last training only.
     """
+    if force not in (None, "all", *STAGES):
+        raise ValueError(f"force is one of {['all', *STAGES]}")
     spark = df.sparkSession
     checkpoints = Checkpoints(spark, f"{root}/checkpoints", session)
     cleaned, roles = clean_readings(df, roles)
-    if force in ("all", "features") or not checkpoints.has("features"):
+    made = {"profile": profile, "sampling_hz": float(sampling_hz), "rows": df.count()}
+    fresh = force in ("all", "features") or not checkpoints.has("features")
+    if fresh:
         prepared = preprocess(df, profile, sampling_hz, roles)
-        checkpoints.save("features", prepared.df)
         save_features(prepared.state, f"{root}/models", session)
+        spark.createDataFrame([(json.dumps(made, sort_keys=True),)], "made string").coalesce(1).write.mode(
+            "overwrite").json(checkpoints.path("features-made"))
+        checkpoints.save("features", prepared.df)
+    else:
+        before = json.loads(spark.read.schema("made string").json(checkpoints.path("features-made")).first()["made"])
+        if before != made:
+            raise ValueError(f"session {session} has features made with {before}, not {made}; force them anew")
     table = checkpoints.load("features")
     inputs = [c for c, t in table.dtypes if t not in ("string", "timestamp", "boolean")
               and c not in (roles.timestamp, roles.target)]
     inputs = [c for c in inputs if c not in roles.rul_targets.values()]
     order = list(roles.order_key)
-    outcomes = [train_classifiers(table, inputs, roles.target, roles.machine_id, names=classifiers,
-                                  order_by=order, options=(options or {}).get("classification"), k_best=k_best)]
+
+    def stale(task: str, component: str = "-") -> bool:
+        return fresh or force in ("all", task) or not path_exists(spark, _metrics_path(root, session, task, component))
+
+    outcomes = []
+    if stale("classification"):
+        outcomes.append(train_classifiers(
+            table, inputs, roles.target, roles.machine_id, names=classifiers, order_by=order,
+            options=(options or {}).get("classification"), k_best=k_best))
     for component, target in roles.rul_targets.items():
+        if not stale("rul", component):
+            continue
         done = train_rul(table, inputs, target, component, roles.machine_id, names=regressors, order_by=order,
                          options=(options or {}).get("rul"), k_best=k_best,
                          rul_targets=list(roles.rul_targets.values()))
@@ -51,27 +76,40 @@ def train_session(df: DataFrame, root: str, session: str, sampling_hz: float = S
             save_predictions(outcome.predictions.where(F.col("model") == trained.name).drop("model"),
                              f"{root}/predictions", f"{trained.task}-{trained.component}", trained.name, session)
         first = next(iter(outcome.models.values()))
-        append_rows(metrics_table(outcome.metrics, session, first.task, first.component), f"{root}/metrics")
-    everything = spark.read.parquet(f"{root}/metrics").where(F.col("session") == session)
+        # the last write of a stage: with it the stage is finished
+        _replace_metrics(metrics_table(outcome.metrics, session, first.task, first.component), root, session,
+                         first.task, first.component)
+    everything = spark.read.schema(METRICS).parquet(f"{root}/metrics").where(F.col("session") == session)
     best = best_models(everything)
     best.coalesce(1).write.mode("overwrite").parquet(f"{root}/models/session={session}/best")
     if test is not None:
-        append_rows(metrics_table(_evaluate(test, root, session, roles, profile), session, "holdout"),
-                    f"{root}/holdout")
+        metrics_table(_evaluate(test, root, session, roles, profile), session, "holdout").drop("session").write.mode(
+            "overwrite").parquet(f"{root}/holdout/session={session}")
     return spark.read.parquet(f"{root}/models/session={session}/best")
 
 
+def _metrics_path(root: str, session: str, task: str, component: str) -> str:
+    return f"{root}/metrics/session={session}/task={task}/component={component}"
+
+
+def _replace_metrics(metrics: DataFrame, root: str, session: str, task: str, component: str) -> None:
+    metrics.drop("session", "task", "component").write.mode("overwrite").parquet(
+        _metrics_path(root, session, task, component))
+
+
 def _load(spark, root: str, session: str, roles: Roles):
     models = f"{root}/models"
     saved = f"{models}/session={session}/best"
     best = spark.read.parquet(saved) if path_exists(spark, saved) else None
-    names = {r["task"]: r["model"] for r in best.collect()} if best is not None else {}
+    parts = {"classification": ["-"], "rul": list(roles.rul_targets)}
+    offered = {r["task"]: [r["model"]] for r in best.collect()} if best is not None else {}
+    offered = {task: [*offered.get(task, []), S.FALLBACK_MODELS[task]] for task in parts}
+    names = model_choice(best, offered)
 
     def found(task: str, component: str):
-        name = names.get(task) or S.FALLBACK_MODELS[task]
-        return load_model(spark, models, session, task, component, name)
+        return load_model(spark, models, session, task, component, names[task])
 
-    return found("classification", "-"), {c: found("rul", c) for c in roles.rul_targets}
+    return found("classification", "-"), {c: found("rul", c) for c in parts["rul"]}
 
 
 def _features(df: DataFrame, root: str, session: str, roles: Roles | None, profile: str, refit: bool):

@@ -126,6 +126,41 @@ def test_training_session(spark, session):
     assert held.where("metric in ('MAE', 'accuracy')").count() == 4
 
 
+def test_session_reuse_and_force(spark, fleet, session):
+    root, best = session
+    args = dict(classifiers=["random_forest"], regressors=["linear_regression", "boosted_trees"], options=SMALL, k_best=8)
+
+    def written(what):
+        return {r["f"] for r in spark.read.parquet(f"{root}/{what}").selectExpr("_metadata.file_path AS f").distinct().collect()}
+
+    before = {w: written(f"metrics/session=s1/task={w}") for w in ("classification", "rul")}
+    rows = spark.read.parquet(f"{root}/metrics").count()
+    again = session_run.train_session(fleet, root, "s1", HZ, force="classification", **args)
+    assert {r["task"]: r["model"] for r in again.collect()}["rul"] == best["rul"]
+    assert written("metrics/session=s1/task=classification") != before["classification"]
+    assert written("metrics/session=s1/task=rul") == before["rul"]
+    assert spark.read.parquet(f"{root}/metrics").count() == rows, "metrics of one training only"
+    with pytest.raises(ValueError):
+        session_run.train_session(fleet, root, "s1", HZ / 2, **args)
+    with pytest.raises(ValueError):
+        session_run.train_session(fleet, root, "s1", HZ, force="nothing", **args)
+
+
+@pytest.mark.parametrize("slice_", ["id = 3000", "id > 2700", "id > 1500"])
+def test_frozen_features_do_not_follow_the_table(fleet, slice_):
+    cleaned, roles = session_run.clean_readings(fleet, None)
+    whole, state = features.engineer(cleaned, roles, "full", None, HZ)
+    part, _ = features.engineer(cleaned.where(slice_), roles, "full", state)
+    assert part.columns == whole.columns and part.dtypes == whole.dtypes
+    if slice_ == "id > 1500":
+        names = [c for c in whole.columns if "_ma_" in c or "spectral" in c]
+        names = [c for c in names if "24h" not in c]  # looks back over the whole slice
+        late = "id > 2400"
+        a = whole.where(late).select("id", *[F.round(c, 9).alias(c) for c in names])
+        b = part.where(late).select("id", *[F.round(c, 9).alias(c) for c in names])
+        assert a.exceptAll(b).count() == 0
+
+
 def test_scoring_session(spark, fleet, session):
     root, _ = session
     plan = session_run.score_session(fleet.where("id <= 800"), root, "s1")
