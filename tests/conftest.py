@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,6 +14,7 @@ def spark():
     session = (SparkSession.builder.master("local[4]").appName("stationcare-tests")
                .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
                .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g")
+               .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="stationcare-shared-"))
                .config("spark.sql.warehouse.dir", "/tmp/stationcare-warehouse").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session

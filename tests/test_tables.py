@@ -139,7 +139,8 @@ def test_filters_reach_the_scan(spark, fleet, tmp_path):
     path = str(tmp_path / "r.parquet")
     sinks.export_parquet(fleet, path)
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
-    df = tables.state_data(spark.read.parquet(path), "RUL_Critico", (1.0, 2.0)).select("id")
+    df = tables.read_table(spark, path, schema=tables.READINGS,
+                           where=tables.in_state("RUL_Critico", (1.0, 2.0))).select("id")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(estado_sistema,RUL_Critico)" in plan and "GreaterThanOrEqual(rul_dias_aceite,1.0)" in plan
     assert "sensor_presion" not in plan.split("ReadSchema")[1]

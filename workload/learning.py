@@ -90,6 +90,35 @@ def linear_rul_weights(spark, d):
                        F.lit(float(line.intercept) - slope * float(scaler.mean[0])).alias("intercept")))
 
 
+def _kept_back():
+    """One reading in five is never seen in training."""
+    return F.col("id") % 5 == 0
+
+
+@query("linear_holdout", """WITH r AS (
+  SELECT event_id AS id, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS x, (event_id % 251) / 10 AS y FROM events),
+w AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM r WHERE id % 5 <> 0)
+SELECT count(*) AS n, round(avg(abs(a * x + b - y)), 6) AS mae, round(avg(a * x + b), 6) AS mean_prediction
+FROM r, w WHERE id % 5 = 0""")
+def linear_holdout(spark, d):
+    """A model of one input, trained on four readings in five and judged on the others."""
+    r = views.readings(spark, d).withColumn(models.LABEL, F.col("rul_refrigerante"))
+    fitted = models.pipeline(models.regressor("linear_regression"), ["sensor_2"], scale=True).fit(r.where(~_kept_back()))
+    seen = fitted.transform(r.where(_kept_back()))
+    return plain(seen.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("prediction") - F.col(models.LABEL))).alias("mae"),
+                          F.avg("prediction").alias("mean_prediction")))
+
+
+@query("tree_truth", """
+SELECT event_id AS id, CASE WHEN CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) >= 50 THEN 1 ELSE 0 END AS said
+FROM events WHERE event_id % 5 = 0""")
+def tree_truth(spark, d):
+    """Where the class follows from one sensor, a decision tree must find it on readings it has not seen."""
+    r = views.readings(spark, d).withColumn(models.LABEL, (F.col("sensor_2") >= 50).cast("double"))
+    fitted = models.pipeline(models.classifier("decision_tree"), ["sensor_1", "sensor_2"]).fit(r.where(~_kept_back()))
+    return plain(fitted.transform(r.where(_kept_back())).select("id", F.col("prediction").cast("long").alias("said")))
+
+
 @query("train_classifiers")
 def train_classifiers(spark, d):
     df = table(spark, d)
@@ -105,30 +134,34 @@ def train_rul(spark, d):
     return out.summary()
 
 
-def _one(spark, d, task):
+def _one(spark, d, task, component="aceite", where=None):
     df = table(spark, d)
+    known = df if where is None else df.where(where)
     if task == "rul":
-        out = train.train_rul(df, inputs(df), "rul_aceite", "aceite", k_best=6, names=["linear_regression"],
+        out = train.train_rul(known, inputs(df), f"rul_{component}", component, k_best=6, names=["linear_regression"],
                               rul_targets=RULS)
         return df, out.models["linear_regression"]
-    out = train.train_classifiers(df, inputs(df), k_best=6, names=["random_forest"], balanced=False, options=SMALL)
+    out = train.train_classifiers(known, inputs(df), k_best=6, names=["random_forest"], balanced=False, options=SMALL)
     return df, out.models["random_forest"]
 
 
 @query("scored_fleet")
 def scored_fleet(spark, d):
     df, classifier = _one(spark, d, "classification")
-    _, regressor = _one(spark, d, "rul")
-    plan = scoring.score_fleet(df, classifier, {"aceite": regressor, "frenos": None, "refrigerante": None})
+    regressors = {c: _one(spark, d, "rul", c)[1] for c in ("aceite", "frenos", "refrigerante")}
+    plan = scoring.score_fleet(df, classifier, regressors)
     return maintenance.latest_per_machine(plan.select(
         "id", "timestamp", "vehiculo_id", "predicted_estado", "predicted_rul_aceite", "predicted_rul_frenos",
-        "prioridad", "accion_recomendada"), "vehiculo_id", ["timestamp", "id"]).drop("timestamp")
+        "predicted_rul_refrigerante", "prioridad", "accion_recomendada"), "vehiculo_id", ["timestamp", "id"]).drop("timestamp")
 
 
 @query("holdout_metrics")
 def holdout_metrics(spark, d):
-    df, classifier = _one(spark, d, "classification")
-    return scoring.holdout_metrics(df, classifier, {}, order_by=["timestamp", "id"])
+    """Trained on four readings in five, judged on the others, which no model has seen."""
+    df, classifier = _one(spark, d, "classification", where=~_kept_back())
+    _, regressor = _one(spark, d, "rul", where=~_kept_back())
+    return scoring.holdout_metrics(df.where(_kept_back()), classifier, {"aceite": regressor},
+                                   rul_targets={"aceite": "rul_aceite"}, order_by=["timestamp", "id"])
 
 
 @query("feature_importances")

@@ -85,6 +85,45 @@ def rolling_mean_by_machine(spark, d):
     return plain(nudged(out, ["mean_12"]))
 
 
+SPIKED = "CASE WHEN id % 700 = 3 THEN 1e15 WHEN id % 700 = 400 THEN CAST('Infinity' AS DOUBLE) ELSE sensor_1 END"
+
+
+@query("rolling_after_spikes", f"""WITH {READINGS}, w AS (
+  SELECT id, timestamp, CASE WHEN id % 700 <> 400 THEN {SPIKED} END AS x FROM readings), m AS (
+  SELECT id, count(x) OVER f AS n, max(x) OVER f AS top, avg(x) OVER f AS mean, var_samp(x) OVER f AS spread FROM w
+  WINDOW f AS ({BY_TIME} ROWS BETWEEN 12 PRECEDING AND CURRENT ROW))
+SELECT id, CASE WHEN n >= 2 AND top < 1e9 THEN round(mean + 1e-9, 6) END AS mean_13,
+  CASE WHEN n >= 2 AND top < 1e9 THEN round(spread + 1e-9, 6) END AS variance_13 FROM m""")
+def rolling_after_spikes(spark, d):
+    """Windows without a spike are as if no spike had ever been; an infinity is a missing value."""
+    r = views.readings(spark, d).select(*ORDER, F.when(F.col("id") % 700 == 3, 1e15).when(
+        F.col("id") % 700 == 400, float("inf")).otherwise(F.col("sensor_1")).alias("x"))
+    rows = r.count()
+    specs = [o.Rolling("mean_13", "x", 13, 2), o.Rolling("variance_13", "x", 13, 2, "variance")]
+    blocks = o.rolling_blocks(o.with_index(r, ORDER, rows=rows), specs, rows)
+    last = blocks.window.rowsBetween(-12, 0)
+    quiet = blocks.with_columns({"_top": F.max(F.when(F.col("x") < float("inf"), F.col("x"))).over(last)})
+    out = quiet.result().select("id", *[F.when(F.col("_top") < 1e9, F.col(s.name)).alias(s.name) for s in specs])
+    return plain(nudged(out, [s.name for s in specs]))
+
+
+@query("frozen_features", f"""WITH {READINGS}, w AS (
+  SELECT id, row_number() OVER ({BY_TIME}) AS i, {roll("sensor_1", 13, 3)} AS a, {roll("sensor_1", 83, 20)} AS b
+  FROM readings)
+SELECT id, round(a + 1e-9, 6) AS sensor_1_ma_1h, round(b + 1e-9, 6) AS sensor_1_ma_6h FROM w
+WHERE i > (SELECT count(*) // 2 + 83 FROM readings)""")
+def frozen_features(spark, d):
+    """The later half of the readings with the windows learnt from all of them."""
+    r = views.readings(spark, d)
+    rows = r.count()
+    numbers = o.with_index(r.select(*ORDER), ORDER, rows=rows, index="_i")
+    half = numbers.where(F.col("_i") > rows // 2).select("id", "_i")
+    _, state = features.engineer(r, views.ROLES, "balanced", None, views.EVENTS_HZ)
+    late, _ = features.engineer(r.join(half, "id"), views.ROLES, "balanced", state)
+    out = late.where(F.col("_i") > rows // 2 + 83).select("id", "sensor_1_ma_1h", "sensor_1_ma_6h")
+    return plain(nudged(out, ["sensor_1_ma_1h", "sensor_1_ma_6h"]))
+
+
 LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount",
               "l_tax"]
 

@@ -47,6 +47,23 @@ def state_rul_filter(spark, d):
         "id", "estado_sistema", "rul_aceite")
 
 
+@query("state_value_scan", """
+SELECT event_id, event_type, value FROM events WHERE event_type = 'purchase' AND value BETWEEN 20 AND 80""")
+def state_value_scan(spark, d):
+    """The same filters on raw columns, so that they reach the Parquet scan."""
+    where = tables.in_state("purchase", (20.0, 80.0), state_column="event_type", rul_column="value")
+    return views.load(spark, d, "events", where).select("event_id", "event_type", "value")
+
+
+@query("class_share_top", """
+WITH c AS (SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS k
+  FROM events WHERE event_type IS NOT NULL GROUP BY 1), t AS (SELECT sum(n) AS t FROM c)
+SELECT CASE WHEN k <= 2 THEN event_type ELSE '(rest)' END AS event_type, CAST(sum(n) AS BIGINT) AS n,
+  round(100.0 * sum(n) / any_value(t), 6) AS share_pct FROM c, t GROUP BY 1""")
+def class_share_top(spark, d):
+    return plain(profile.class_share(views.load(spark, d, "events"), "event_type", top=2))
+
+
 @query("date_range", f"""WITH {READINGS}
 SELECT id, vehiculo_id, sensor_1 FROM readings
 WHERE timestamp >= TIMESTAMP '2024-01-10 00:00:00' AND timestamp <= TIMESTAMP '2024-01-20 00:00:00'""")
@@ -151,9 +168,15 @@ def missing_report(spark, d):
 
 
 @query("duplicate_rows", """
+SELECT (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicates""")
+def duplicate_rows(spark, d):
+    return profile.duplicate_rows(views.load(spark, d, "lineitem"))
+
+
+@query("duplicate_projections", """
 SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (
   SELECT count(*) AS n FROM lineitem GROUP BY l_quantity, l_discount, l_tax, l_returnflag, l_shipdate)""")
-def duplicate_rows(spark, d):
+def duplicate_projections(spark, d):
     return profile.duplicate_rows(views.load(spark, d, "lineitem").select(
         "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_shipdate"))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationcare.operators.clean import nan_to_null
 from stationcare.roles import Roles
+from stationcare.sources.tables import read_table
 
 # events arrive about once in 259 s at sf0.01; this rate gives windows of 13 / 83 / 333 rows
 EVENTS_HZ = 0.00386
@@ -15,11 +15,11 @@ ROLES = Roles(sensors=("sensor_1", "sensor_2", "sensor_3"), hours="horas",
               rul_targets={"aceite": "rul_aceite", "frenos": "rul_frenos", "refrigerante": "rul_refrigerante"})
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, name: str, where: Column | None = None) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = read_table(spark, f"{sf_dir}/{name}.parquet", where=where)
     times = [c for c, t in df.dtypes if t == "timestamp_ntz"]
-    return nan_to_null(df.withColumns({c: F.col(c).cast("timestamp") for c in times}) if times else df)
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in times}) if times else df
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
