@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stationcare.llm.text import BYTE_VALUES, buffers, pieces
+from stationcare.session import staged
 
 MIN_CHUNK = 16
 MAX_CHUNK = 1024
-SPACE_BITS = 3
+SPACE_BITS = 2
 OTHER_BITS = 9
 MIN_RUN = 100
 ADDED = ("_removed", "_gone")
@@ -142,10 +143,13 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     but for columns named as the two added ones, which are replaced.
     """
     known = docs.filter(F.col("doc_id").isNotNull())
-    repeated = (chunks(known).groupBy("hi", "lo")
+    # half a digest, counted map-side, leaves the few chunks that may repeat; whole digests decide
+    often = chunks(known).groupBy("hi").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("hi")
+    some = staged(chunks(known).join(often, "hi"), "chunks")
+    repeated = (some.groupBy("hi", "lo")
                 .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "start")).alias("_first"))
                 .filter("_n > 1").select("hi", "lo", "_first"))
-    later = (chunks(known).join(repeated, ["hi", "lo"])
+    later = (some.join(repeated, ["hi", "lo"])
              .filter((F.col("doc_id") != F.col("_first.doc_id")) | (F.col("start") != F.col("_first.start")))
              .groupBy(F.col("doc_id").alias("_id"))
              .agg(F.collect_list(F.struct("start", "length")).alias("_spans")))
