@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationcare.llm.text import BASE, BYTE_VALUES, buffers, mix, pieces, powers
+from stationcare.operators.tables import settled
 from stationcare.session import staged, unstage
 
 MATCH = 200
@@ -77,51 +78,72 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, grams[at], picked
 
 
+def _reach(at: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest and smallest offset of the windows that picked each place."""
+    return SPAN - 1 - np.argmax(picked[::-1], axis=0), np.argmax(picked, axis=0)
+
+
+def _grams(docs: DataFrame) -> DataFrame:
+    """``gram`` of every picked place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            _, grams, _ = anchors(*buffers(piece.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
+
+    return docs.select("text").mapInArrow(run, "gram long")
+
+
+_PLACE = "doc_id long, text_hash long, at int, gram long, far int, near int, hi long, lo long"
+
+
 def _places(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, at, gram`` of every picked place."""
+    """Every picked place with its gram, its reach and a digest of all bytes its windows touch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             data, offsets = buffers(piece.column("text"))
-            at, grams, _ = anchors(data, offsets)
+            at, grams, picked = anchors(data, offsets)
+            far, near = _reach(at, picked)
             row = np.searchsorted(offsets, at, side="right") - 1
-            take = pa.array(row)
+            raw, take = data.tobytes(), pa.array(row)
+            digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(
+                (at - far).tolist(), (at - near + MATCH).tolist(), strict=True)]), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id").take(take), piece.column("text_hash").take(take),
-                 pa.array((at - offsets[row]).astype(np.int32)), pa.array(grams.view(np.int64))],
-                ["doc_id", "text_hash", "at", "gram"])
+                 pa.array((at - offsets[row]).astype(np.int32)), pa.array(grams.view(np.int64)),
+                 pa.array(far.astype(np.int32)), pa.array(near.astype(np.int32)),
+                 pa.array(digest[:, 0]), pa.array(digest[:, 1])],
+                ["doc_id", "text_hash", "at", "gram", "far", "near", "hi", "lo"])
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, at int, gram long")
+    return docs.mapInArrow(run, _PLACE)
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """Of the places listed in ``ats``: gram, reach to the left, and all bytes that its windows touch."""
+    """Bytes of the places listed in ``ats`` (place, count of its class), one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             data, offsets = buffers(piece.column("text"))
             at, grams, picked = anchors(data, offsets)
             lists = piece.column("ats")
-            wanted = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            wanted = flat.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
             wanted = wanted + np.repeat(offsets[:-1], np.diff(lists.offsets.to_numpy()))
-            kept = np.isin(at, wanted)
+            order = np.argsort(wanted)
+            number = flat.field("n").to_numpy(zero_copy_only=False)[order]
+            kept = np.searchsorted(at, wanted[order])
             at, grams, picked = at[kept], grams[kept], picked[:, kept]
-            far = SPAN - 1 - np.argmax(picked[::-1], axis=0)
-            near = np.argmax(picked, axis=0)
-            row = np.searchsorted(offsets, at, side="right") - 1
+            far, near = _reach(at, picked)
             raw = data.tobytes()
             context = [raw[a:b] for a, b in zip((at - far).tolist(), (at - near + MATCH).tolist(), strict=True)]
             digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, context)), ">i8").astype(np.int64).reshape(-1, 2)
-            take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id").take(take), piece.column("text_hash").take(take),
-                 pa.array((at - offsets[row]).astype(np.int32)), pa.array(grams.view(np.int64)),
-                 pa.array(far.astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-                 pa.array(context, pa.binary())],
-                ["doc_id", "text_hash", "at", "gram", "far", "hi", "lo", "context"])
+                [pa.array(grams.view(np.int64)), pa.array(far.astype(np.int32)), pa.array(digest[:, 0]),
+                 pa.array(digest[:, 1]), pa.array(context, pa.binary()), pa.array(number, pa.int64())],
+                ["gram", "far", "hi", "lo", "context", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, at int, gram long, far int, hi long, lo long, "
-                                "context binary")
+    return docs.mapInArrow(run, "gram long, far int, hi long, lo long, context binary, n long")
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -190,6 +212,8 @@ class BlindTrie:
 
 def deep_shallow_order(strings: list[bytes], shallow: int = SHALLOW) -> list[int]:
     """Sorted order of strings: multikey quicksort to ``shallow`` bytes, then blind tries."""
+    if len(strings) == 2:  # one comparison orders a pair
+        return [0, 1] if strings[0] <= strings[1] else [1, 0]
     out: list[int] = []
     stack = [(list(range(len(strings))), 0)]
     while stack:
@@ -305,6 +329,10 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def _key(doc_id: str = "doc_id", text_hash: str = "text_hash") -> Column:
+    return F.struct(F.col(doc_id).alias("i"), F.col(text_hash).alias("h"))
+
+
 _CLASS = ["gram", "far", "hi", "lo"]
 _FOUND = "gram long, far int, hi long, lo long, low int, high int"
 
@@ -322,8 +350,12 @@ def _counted_windows(classes: DataFrame) -> DataFrame:
     return hit.groupBy(*_CLASS).agg(F.min("d").alias("low"), F.max("d").alias("high"))
 
 
-def _key(doc_id: str = "doc_id", text_hash: str = "text_hash") -> Column:
-    return F.struct(F.col(doc_id).alias("i"), F.col(text_hash).alias("h"))
+def _on(left: list[str]) -> Column:
+    """Equality of these columns with the ones of the same name behind an underscore."""
+    out = F.lit(True)
+    for c in left:
+        out &= F.col(c) == F.col(f"_{c}")
+    return out
 
 
 def repeated_spans(docs: DataFrame, max_classes: int = MAX_CLASSES) -> DataFrame:
@@ -331,26 +363,34 @@ def repeated_spans(docs: DataFrame, max_classes: int = MAX_CLASSES) -> DataFrame
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                       F.col("text"))
     long_enough = own.filter(F.octet_length("text") >= MATCH)
-    twice = (_places(long_enough).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = (_grams(long_enough).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
              .select(F.col("gram").alias("_gram")))
-    lists = (_places(long_enough).join(twice, F.col("gram") == F.col("_gram")).withColumn("key", _key())
-             .groupBy("key").agg(F.collect_set("at").alias("ats")))
-    texts = long_enough.withColumn("_key", _key())
-    found = staged(_contexts(texts.join(lists, F.col("_key") == F.col("key"))
-                             .select("doc_id", "text_hash", "text", "ats")), "contexts")
-    classes = staged(found.groupBy(*_CLASS, "context").agg(F.count(F.lit(1)).alias("n")), "classes")
-    crowds = (classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).filter(F.col("classes") > max_classes)
-              .select(F.col("gram").alias("_gram")))
-    apart = classes.join(crowds, F.col("gram") == F.col("_gram"), "left")
-    quiet = apart.filter(F.col("_gram").isNull())
-    ordered = (quiet.select(*_CLASS, "context", "n").repartition("gram").sortWithinPartitions("gram", *_CLASS[1:])
-               .mapInArrow(_ordered_groups, _FOUND))
-    crowded = _counted_windows(apart.filter(F.col("_gram").isNotNull()).select(*_CLASS, "context", "n"))
-    solved = ordered.unionByName(crowded).select(*[F.col(c).alias(f"_{c}") for c in _CLASS], "low", "high")
-    same = None
-    for c in _CLASS:
-        same = (F.col(c) == F.col(f"_{c}")) if same is None else same & (F.col(c) == F.col(f"_{c}"))
-    spans = (found.drop("context").join(solved, same)
+    found = staged(_places(long_enough).join(twice, _on(["gram"])).drop("_gram"), "places")
+    classes = staged(found.groupBy(*_CLASS, "near").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "at")).alias("first")), "classes")
+    sizes = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"))
+    several = sizes.filter("classes > 1").select(F.col("gram").alias("_gram"))
+    # a gram whose places all look alike needs no order: it has one class, and every window of it is shared
+    alike = classes.join(sizes.filter("classes = 1").select(F.col("gram").alias("_gram")), _on(["gram"])).filter(
+        "n > 1").select(*_CLASS, F.col("near").alias("low"), F.col("far").alias("high"))
+    lists = (classes.join(several, _on(["gram"])).select(
+        _key("first.doc_id", "first.text_hash").alias("key"), F.struct("first.at", "n").alias("place"))
+        .groupBy("key").agg(F.collect_set("place").alias("ats")))
+    # rows that repeat give a text once
+    texts = long_enough.withColumn("_key", _key()).join(lists, F.col("_key") == F.col("key")).select("text", "ats")
+    contexts = _contexts(texts)
+    crowds = settled(sizes.filter(F.col("classes") > max_classes).select(F.col("gram").alias("_gram")))
+    if crowds.isEmpty():
+        quiet, crowded = contexts, None
+    else:
+        kept = staged(contexts, "contexts")
+        quiet, crowded = kept.join(crowds, _on(["gram"]), "left_anti"), kept.join(crowds, _on(["gram"]), "left_semi")
+    solved = (quiet.repartition("gram").sortWithinPartitions("gram", *_CLASS[1:])
+              .mapInArrow(_ordered_groups, _FOUND).unionByName(alike))
+    if crowded is not None:
+        solved = solved.unionByName(_counted_windows(crowded.distinct()))
+    solved = solved.select(*[F.col(c).alias(f"_{c}") for c in _CLASS], "low", "high")
+    spans = (found.join(solved, _on(_CLASS))
              .select(_key().alias("key"), (F.col("at") - F.col("high")).alias("from"),
                      (F.col("at") - F.col("low") + MATCH).alias("to"))
              .groupBy("key").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
