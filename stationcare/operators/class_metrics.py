@@ -10,6 +10,7 @@ from stationcare.functions.states import critical_override, is_critical
 from stationcare.operators.ordered import change_runs, with_index
 from stationcare.operators.tables import melted
 from stationcare.operators.quantiles import quantiles
+from stationcare.session import staged
 
 
 def confusion(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
@@ -142,11 +143,12 @@ def time_to_detection(df: DataFrame, order_by: list[str], y_true: str = "y_true"
     """
     by = list(by or [])
     rows = df.count() if rows is None else rows
-    runs = _runs(df, order_by, y_true, y_pred, critical, keywords, rows, by)
+    # one row per run; the sort behind it is done once
+    runs = staged(_runs(df, order_by, y_true, y_pred, critical, keywords, rows, by), "runs")
     late = F.when(F.col("_t"), F.col("delay"))
     facts = runs.groupBy(*by).agg(F.count_if("_t").alias("runs"), F.count(late).alias("found"),
                                   F.avg(late).alias("mean_delay"))
-    median = quantiles(runs.where("_t"), ["delay"], [0.5], by=by, rows=rows)
+    median = quantiles(runs.where("_t"), ["delay"], [0.5], by=by)
     if by:
         side = median.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("q")[0].alias("median_delay"))
         wide = facts.join(side, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left")

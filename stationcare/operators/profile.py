@@ -10,6 +10,7 @@ from stationcare.functions.clock import day_name
 from stationcare.operators.ordered import in_blocks, with_index
 from stationcare.operators.quantiles import quantiles, unpivot
 from stationcare.roles import columns_of_kind, is_numeric
+from stationcare.session import staged
 
 
 REST = "(rest)"
@@ -121,7 +122,8 @@ def time_profile(df: DataFrame, timestamp: str, order_by: list[str],
     """Span, median interval, frequency, modal interval, gaps over twice the mode, largest gap."""
     rows = df.count() if rows is None else rows
     gaps = time_gaps(df, timestamp, order_by, rows)
-    known = gaps.where(F.col("gap_seconds").isNotNull())
+    # one global sort; everything else reads the gaps it left
+    known = staged(gaps.select("gap_seconds").where(F.col("gap_seconds").isNotNull()), "gaps")
     counted = known.groupBy("gap_seconds").agg(F.count(F.lit(1)).alias("c"))
     mode = counted.agg(F.max_by("gap_seconds", F.struct("c", -F.col("gap_seconds"))))
     median = quantiles(known, ["gap_seconds"], [0.5], rows=rows).select(F.col("q")[0])

@@ -112,3 +112,28 @@ def test_empty_predictions(spark):
     assert values(rm.error_metrics(empty))["MAE"] is None
     none = spark.createDataFrame([], "i long, y_true string, y_pred string")
     assert values(cm.time_to_detection(none, ["i"]))["detection_rate"] == 1.0
+
+
+def test_detection_without_critical_runs_on_both_paths(spark, monkeypatch):
+    """The way of large tables answers like the way of small ones where there is nothing to rank."""
+    from stationcare.operators import class_metrics, quantiles
+
+    df = spark.createDataFrame([(i, "Normal", "Normal") for i in range(20)], "id long, y_true string, y_pred string")
+    want = {"avg_time_to_detection": 0.0, "median_time_to_detection": 0.0, "detection_rate": 1.0}
+    for limit in (200_000, 0):
+        monkeypatch.setattr(quantiles.quantiles, "__defaults__", (None, None, limit, 200_000))
+        got = {r["metric"]: r["value"] for r in class_metrics.time_to_detection(df, ["id"]).collect()}
+        assert got == want
+
+
+def test_quantiles_of_nothing_and_of_groups(spark):
+    from stationcare.operators.quantiles import quantiles
+
+    none = spark.createDataFrame([(None, "a")] * 9, "x double, g string")
+    assert quantiles(none, ["x"], [0.5], exact_limit=0).collect() == []
+    assert quantiles(none.limit(0), ["x"], [0.5], by=["g"], exact_limit=0).collect() == []
+    rows = [(float(i % 37), "a" if i < 300 else "b" if i < 330 else None) for i in range(360)]
+    df = spark.createDataFrame(rows, "x double, g string")
+    small = {r["g"]: (r["n"], r["q"]) for r in quantiles(df, ["x"], [0.1, 0.5], by=["g"]).collect()}
+    mixed = {r["g"]: (r["n"], r["q"]) for r in quantiles(df, ["x"], [0.1, 0.5], by=["g"], exact_limit=100).collect()}
+    assert small == mixed and len(small) == 3
