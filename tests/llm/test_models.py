@@ -87,7 +87,7 @@ def test_language_of_odd_texts(spark):
                                    (None, "", "fr")], "doc_id long, text string, lang string")
     model = language.fit(train)
     assert sorted(model.texts) == ["de", "en"]
-    odd = [(1, None), (2, ""), (3, "123 !!!"), (4, "The lazy dog and the quick fox"),
+    odd = [(1, None), (2, ""), (3, "123 ² Ⅷ !!!"), (4, "The lazy dog and the quick fox"),
            (None, "der faule Hund und der braune Fuchs"), (4, "日本語"), (5, "the dog " * 40_000)]
     got = language.predict(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()
     said = [r["lang_pred"] for r in sorted(got, key=lambda r: str(r["doc_id"]))]
