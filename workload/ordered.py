@@ -249,7 +249,11 @@ q{c} AS (SELECT quantile_cont({c}, 0.25) AS q1{c}, quantile_cont({c}, 0.75) AS q
   FROM readings, {", ".join(f"b{c}, q{c}" for c in SENSORS)}
   WINDOW f AS ({BY_TIME} ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)), vel AS (
   SELECT *, {", ".join(f"coalesce({c}_ma_24h - lag({c}_ma_24h) OVER ({BY_TIME}), 0) AS {c}_v" for c in SENSORS)} FROM base)
-SELECT vel.id, hour(timestamp) AS hora_dia, month(timestamp) AS mes,
+SELECT vel.id, hour(timestamp) AS hora_dia, month(timestamp) AS mes, isodow(timestamp) - 1 AS dia_semana,
+  CAST(isodow(timestamp) >= 6 AS BIGINT) AS es_fin_semana,
+  CAST(hour(timestamp) >= 22 OR hour(timestamp) <= 6 AS BIGINT) AS es_horario_nocturno,
+  {", ".join(f"round({f}(2 * pi() * {part}), 6) + 0.0 AS {name}_{f}" for name, part in
+             (("hora", "hour(timestamp) / 24"), ("dia", "(isodow(timestamp) - 1) / 7")) for f in ("sin", "cos"))},
   week(timestamp) - (SELECT min(week(timestamp)) FROM readings) + 1 AS semana_operacion,
   sensor_mean, sensor_std, sensor_max, sensor_min, sensor_range, sensor_median, sensor_skew,
   round(r01, 2) AS sensor_ratio_01, round(r02, 2) AS sensor_ratio_02, round(r12, 2) AS sensor_ratio_12,
@@ -265,9 +269,7 @@ SELECT vel.id, hour(timestamp) AS hora_dia, month(timestamp) AS mes,
 FROM vel JOIN cycles USING (id) JOIN ratios USING (id)""")
 def engineered_features(spark, d):
     before, out = engineered(spark, d)
-    # the calendar half of the set has its own query
-    skip = {"dia_semana", "es_fin_semana", "es_horario_nocturno", "hora_sin", "hora_cos", "dia_sin", "dia_cos"}
-    names = [c for c in features.new_columns(before, out) if c not in skip]
+    names = features.new_columns(before, out)
     out = nudged(out, [c for c in names if "_ma_" in c or "_trend_" in c])
     digits = {c: 2 if "sensor_ratio" in c else 4 if "spectral" in c else 6 for c in names}
     shaped = out.select("id", *[F.round(c, digits[c]).alias(c) if t == "double" else F.col(c)
@@ -275,6 +277,26 @@ def engineered_features(spark, d):
     return plain(shaped)
 
 
+@query("profile_windows", f"""WITH {READINGS}, m AS (
+  SELECT id, {roll("sensor_1", 13, 3)} AS a, count(sensor_1) OVER l AS n, var_samp(sensor_1) OVER l AS b,
+    count(sensor_1) OVER s AS k, var_samp(sensor_1) OVER s AS c1, var_samp(sensor_2) OVER s AS c2 FROM readings
+  WINDOW l AS ({BY_TIME} ROWS BETWEEN 999 PRECEDING AND CURRENT ROW),
+    s AS ({BY_TIME} ROWS BETWEEN 499 PRECEDING AND CURRENT ROW))
+SELECT id, round(a + 1e-9, 6) AS optimized_ma_1h, round(CASE WHEN n >= 500 THEN b ELSE 0 END, 4) AS balanced_energy,
+  round(CASE WHEN k >= 250 THEN c1 ELSE 0 END, 4) AS complete_energy_1,
+  round(CASE WHEN k >= 250 THEN c2 ELSE 0 END, 4) AS complete_energy_2 FROM m""")
+def profile_windows(spark, d):
+    """Windows of the smaller feature sets, row by row; their sizes hold from 10,000 readings on."""
+    _, o1 = engineered(spark, d, "optimized")
+    _, o2 = engineered(spark, d, "balanced")
+    _, o3 = engineered(spark, d, "complete")
+    out = (nudged(o1.select("id", F.col("sensor_1_ma_1h").alias("optimized_ma_1h")), ["optimized_ma_1h"])
+           .join(o2.select("id", F.round("sensor_1_spectral_energy", 4).alias("balanced_energy")), "id")
+           .join(o3.select("id", F.round("sensor_1_spectral_energy", 4).alias("complete_energy_1"),
+                           F.round("sensor_2_spectral_energy", 4).alias("complete_energy_2")), "id"))
+    return plain(out)
+
+
 @query("engineered_profiles", f"""WITH {READINGS}, s AS (
   SELECT count(*) AS n, avg(sqrt(((sensor_1 - m) ** 2 + (sensor_2 - m) ** 2 + (sensor_3 - m) ** 2) / 3)) AS mean_std
   FROM (SELECT *, (sensor_1 + sensor_2 + sensor_3) / 3 AS m FROM readings))
