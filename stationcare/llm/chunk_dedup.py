@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from stationcare.llm.text import BYTE_VALUES, buffers, pieces
 from stationcare.session import staged
 
+HASH_BYTES = 32
 MIN_CHUNK = 16
 MAX_CHUNK = 1024
 SPACE_BITS = 2
@@ -65,7 +66,9 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
                     forced -= 1
                 ends.append(forced - start)
                 last = forced
-            if c - last >= MIN_CHUNK or c == end and c > last:
+            # the hash of the first bytes reaches into the text before: no cut there
+            least = MIN_CHUNK if last > start else max(MIN_CHUNK, HASH_BYTES)
+            if c - last >= least or c == end and c > last:
                 ends.append(c - start)
                 last = c
         out.append(ends)

@@ -93,6 +93,14 @@ def test_chunks_cover_the_text_and_resist_shifts(rows):
     assert len(before & after) > 0.95 * len(before)
 
 
+def test_chunks_do_not_depend_on_the_batch(rows):
+    texts = [t for _, t in rows if t]
+    data, offsets = buffers(pa.array(texts))
+    for text, ends in zip(texts, chunk_dedup.chunk_ends(data, offsets), strict=True):
+        alone, own = buffers(pa.array([text]))
+        assert chunk_dedup.chunk_ends(alone, own)[0] == ends
+
+
 def test_later_passages_go_first_ones_stay(docs, rows):
     got = {r["doc_id"]: r for r in chunk_dedup.without_repeats(docs).collect()}
     assert set(got) == {i for i, _ in rows}
