@@ -240,6 +240,41 @@ def deep_shallow_order(strings: list[bytes], shallow: int = SHALLOW) -> list[int
     return out
 
 
+def _among(order: list[int], step: list[int], kept: set[int]) -> tuple[list[int], list[int]]:
+    """An order and the common prefixes of its neighbours, for some of its members only."""
+    some, between, low = [], [], 1 << 30
+    for place, item in enumerate(order):
+        if place:
+            low = min(low, step[place - 1])
+        if item in kept:
+            if some:
+                between.append(low)
+            some.append(item)
+            low = 1 << 30
+    return some, between
+
+
+def _bounds(order: list[int], step: list[int]) -> dict[int, int]:
+    """Longest common prefix of each member with any other one of the order."""
+    out = dict.fromkeys(order, 0)
+    for place, length in enumerate(step):
+        out[order[place]] = max(out[order[place]], length)
+        out[order[place + 1]] = length
+    return out
+
+
+def _nearest(order: list[int], step: list[int], place: int, length: int, most: int = 4) -> Iterator[int]:
+    """Some of the members that share ``length`` bytes with the one at this place."""
+    for way in (-1, 1):
+        at = place
+        for _ in range(most):
+            edge = at - 1 if way < 0 else at
+            if not 0 <= edge < len(step) or step[edge] < length:
+                break
+            at += way
+            yield order[at]
+
+
 def shared_windows(rights: list[bytes], lefts: list[bytes], counts: list[int],
                    near: list[int]) -> list[tuple[int, int] | None]:
     """For each class of one gram the smallest and largest window offset that another place shares, or None.
@@ -250,50 +285,82 @@ def shared_windows(rights: list[bytes], lefts: list[bytes], counts: list[int],
     out: list[tuple[int, int] | None] = [(near[c], len(lefts[c])) if counts[c] > 1 else None for c in range(m)]
     if m == 1:
         return out
-    rank, step = [], []
+    rank, step, reach = [], [], []
     for strings in (rights, lefts):
         order = deep_shallow_order(strings)
+        shared = [common_prefix(strings[a], strings[b]) for a, b in zip(order[:-1], order[1:], strict=True)]
+        # neighbours in the order have the longest common prefixes that any other member has
+        most = [0] * m
+        for place, length in enumerate(shared):
+            most[order[place]] = max(most[order[place]], length)
+            most[order[place + 1]] = length
         rank.append(order)
-        step.append([common_prefix(strings[a], strings[b]) for a, b in zip(order[:-1], order[1:], strict=True)])
-    if m <= PAIRWISE:
-        common = [[[0] * m for _ in range(m)] for _ in range(2)]
+        step.append(shared)
+        reach.append(most)
+    # both members of a pair that shares a window reach far enough on both sides
+    kept = {c for c in range(m) if reach[0][c] + reach[1][c] >= MATCH}
+    if all(counts[c] > 1 for c in kept):
+        return out
+    for k in range(2):
+        rank[k], step[k] = _among(rank[k], step[k], kept)
+    if len(kept) <= PAIRWISE:
+        common = [{}, {}]
         for k in range(2):
-            for i in range(m):
+            for i in range(len(kept)):
                 low = 1 << 30
-                for j in range(i + 1, m):
+                for j in range(i + 1, len(kept)):
                     low = min(low, step[k][j - 1])
                     a, b = rank[k][i], rank[k][j]
-                    common[k][a][b] = common[k][b][a] = low
-        for a in range(m):
+                    common[k][a, b] = common[k][b, a] = low
+        for a in kept:
             if counts[a] > 1:
                 continue
             low, high = SPAN, -1
-            for b in range(m):
-                if a != b and common[0][a][b] + common[1][a][b] >= MATCH:
-                    low = min(low, MATCH - common[0][a][b])
-                    high = max(high, common[1][a][b])
+            for b in kept:
+                if a != b and common[0][a, b] + common[1][a, b] >= MATCH:
+                    low = min(low, MATCH - common[0][a, b])
+                    high = max(high, common[1][a, b])
             if high >= 0:
                 out[a] = (max(low, near[a]), min(high, len(lefts[a])))
         return out
+    # the longest match on one side bounds the offset; mostly a neighbour that has it matches far enough on the other
+    bound = [_bounds(rank[k], step[k]) for k in range(2)]
+    ends: list[dict[int, int]] = [{}, {}]
+    for k, other in ((0, lefts), (1, rights)):
+        spot = {c: i for i, c in enumerate(rank[k])}
+        for c in kept:
+            if counts[c] <= 1 and any(
+                    bound[k][c] + common_prefix(other[c], other[b]) >= MATCH
+                    for b in _nearest(rank[k], step[k], spot[c], bound[k][c])):
+                ends[k][c] = MATCH - bound[0][c] if k == 0 else bound[1][c]
+    open_ = {c for c in kept if counts[c] <= 1 and not (c in ends[0] and c in ends[1])}
+    for c in kept - open_:
+        if counts[c] <= 1:
+            out[c] = (ends[0][c], ends[1][c])
+    if not open_:
+        return out
+    names = np.array(sorted(kept))
     place = np.empty((2, m), np.int64)
     steps = [np.array(s) for s in step]
     for k in range(2):
-        place[k, rank[k]] = np.arange(m)
-    reach = np.array([len(s) for s in lefts])
-    least = np.array(near)
-    low, high = np.full(m, SPAN), np.full(m, -1)
-    for d in range(SPAN):
+        place[k, rank[k]] = np.arange(len(names))
+    place = place[:, names]
+    far, least = np.array([len(lefts[c]) for c in names]), np.array([near[c] for c in names])
+    right, left = np.array([bound[0][c] for c in names]), np.array([bound[1][c] for c in names])
+    low, high = np.full(len(names), SPAN), np.full(len(names), -1)
+    asked = np.array([c in open_ for c in names.tolist()])
+    for d in range(max(0, MATCH - int(right[asked].max())), min(SPAN - 1, int(left[asked].max())) + 1):
         group = [np.concatenate([[0], np.cumsum(s < depth)])[place[k]]
                  for k, (s, depth) in enumerate(zip(steps, (MATCH - d, d), strict=True))]
-        key = group[0] * m + group[1]
-        live = np.flatnonzero((reach >= d) & (least <= d))
+        key = group[0] * len(names) + group[1]
+        live = np.flatnonzero((far >= d) & (least <= d) & (left >= d) & (right >= MATCH - d))
         values, inverse, number = np.unique(key[live], return_inverse=True, return_counts=True)
         hit = live[number[inverse] > 1]
         low[hit] = np.minimum(low[hit], d)
         high[hit] = np.maximum(high[hit], d)
-    for a in range(m):
-        if counts[a] <= 1 and high[a] >= 0:
-            out[a] = (int(low[a]), int(high[a]))
+    for i, c in enumerate(names.tolist()):
+        if c in open_ and high[i] >= 0:
+            out[c] = (int(low[i]), int(high[i]))
     return out
 
 
