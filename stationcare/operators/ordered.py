@@ -12,7 +12,7 @@ a halo copied from its neighbours, so bounded look-back windows run per block.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -122,6 +122,7 @@ class Blocks:
     by: tuple[str, ...]
     index: str
     length: int
+    count: int
 
     @property
     def keys(self) -> list[str]:
@@ -141,10 +142,10 @@ class Blocks:
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
     def with_columns(self, columns: dict[str, Column]) -> "Blocks":
-        return Blocks(self.df.withColumns(columns), self.by, self.index, self.length)
+        return replace(self, df=self.df.withColumns(columns))
 
     def own_rows(self) -> "Blocks":
-        return Blocks(self.df.where(~F.col("_halo")), self.by, self.index, self.length)
+        return replace(self, df=self.df.where(~F.col("_halo")))
 
     def result(self, *scratch: str) -> DataFrame:
         return self.df.where(~F.col("_halo")).drop("_block", "_halo", "_by", *scratch)
@@ -153,9 +154,9 @@ class Blocks:
         return self.df.where(~F.col("_halo")).groupBy(*self.keys).agg(*aggs)
 
     def attach(self, summary: DataFrame) -> "Blocks":
-        """Join one summary row per block; blocks are few unless split by group."""
-        joined = join_summary(self.df, summary, self.keys, bounded=not self.by)
-        return Blocks(joined, self.by, self.index, self.length)
+        """Join one summary row per block; broadcast while the blocks are known to be few."""
+        joined = join_summary(self.df, summary, self.keys, bounded=not self.by and self.count <= MAX_BUCKETS)
+        return replace(self, df=joined)
 
     def before(self) -> WindowSpec:
         """Over a summary: all earlier blocks."""
@@ -178,12 +179,13 @@ def in_blocks(df: DataFrame, rows: int, back: int = 0, ahead: int = 0,
         parallel = 4 * df.sparkSession.sparkContext.defaultParallelism
         length = max(2 * max(back, ahead), min(MAX_BLOCK, -(-rows // parallel)), 500)
     length = max(length, back, ahead, 1)
+    count = -(-rows // length)
     at = F.col(index) - 1
     own = F.floor(at / F.lit(length)).cast("long")
     place = F.pmod(at, F.lit(length))
     if back == 0 and ahead == 0:
         return Blocks(df.withColumns({"_block": own, "_halo": F.lit(False)}),
-                      tuple(group), index, length)
+                      tuple(group), index, length, count)
     homes = [own]
     if back:
         homes.append(F.when(place >= length - back, own + 1))
@@ -192,7 +194,7 @@ def in_blocks(df: DataFrame, rows: int, back: int = 0, ahead: int = 0,
     spread = (df.withColumn("_own", own)
               .withColumn("_block", F.explode(F.array_compact(F.array(*homes))))
               .withColumn("_halo", F.col("_block") != F.col("_own")).drop("_own"))
-    return Blocks(spread, tuple(group), index, length)
+    return Blocks(spread, tuple(group), index, length, count)
 
 
 def look_back(df: DataFrame, columns: list[str], k: int, by: list[str] | None = None,
@@ -296,8 +298,7 @@ def rolling_blocks(df: DataFrame, specs: list[Rolling], rows: int, by: list[str]
         blocks = _rolling_in(blocks, [s for s in short if s.width == width])
     # columns in the order of the specs, whichever way each one was made
     names = [s.name for s in specs]
-    return Blocks(blocks.df.select(*[c for c in blocks.df.columns if c not in names], *names),
-                  blocks.by, blocks.index, blocks.length)
+    return replace(blocks, df=blocks.df.select(*[c for c in blocks.df.columns if c not in names], *names))
 
 
 def _rolling_in(blocks: Blocks, specs: list[Rolling]) -> Blocks:
@@ -315,8 +316,7 @@ def _rolling_in(blocks: Blocks, specs: list[Rolling]) -> Blocks:
     else:
         cut = cut.with_columns({f"_t{n}": F.lit(None).cast("double") for n in parts})
     out = cut.with_columns({s.name: _statistic(s, "_a", "_t") for s in specs})
-    return Blocks(out.df.drop("_stretch", *[f"{p}{n}" for n in parts for p in ("_a", "_z", "_t")]),
-                  out.by, out.index, out.length)
+    return replace(out, df=out.df.drop("_stretch", *[f"{p}{n}" for n in parts for p in ("_a", "_z", "_t")]))
 
 
 def _addends(specs: list[Rolling]) -> dict[str, Column]:
