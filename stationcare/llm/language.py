@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationcare.llm.text import pieces
+from stationcare.operators.tables import settled
 
 UNKNOWN = "und"
 DICTIONARY_BYTES = 32_768
@@ -72,9 +73,9 @@ def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> Dictionaries:
     known = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(1 << 30)) / F.lit(1 << 30)
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).select(F.col("lang").alias("_lang"), "_n")
-    # a thinned table first, so that no task ranks a whole language
+    # a thinned table first, where the rows lie, so that no task sees a whole language
     thin = (known.select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), draw.alias("_draw"))
-            .join(counts, F.col("lang") == F.col("_lang")).filter(F.col("_draw") * F.col("_n") < 4 * texts))
+            .join(settled(counts), F.col("lang") == F.col("_lang")).filter(F.col("_draw") * F.col("_n") < 4 * texts))
     ranked = thin.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "text")))
     rows = ranked.filter(F.col("_rank") <= texts).select("lang", "_rank", "text").collect()
     found: dict[str, list[bytes]] = {}
