@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,16 @@ def staged(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     return back
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of shuffle files of finished jobs.
+
+    Spark deletes them once the driver's JVM has collected what referred to them, which may be long after a large
+    step; worth asking for behind a staged table whose shuffles were large.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that no result reads any more."""
     for df in tables:
