@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from stationcare.llm.text import BASE, BYTE_VALUES, buffers, mix, pieces, powers
 from stationcare.operators.tables import settled
-from stationcare.session import staged, unstage
+from stationcare.session import free_shuffles, staged, unstage
 
 MATCH = 200
 GRAM = 64
@@ -433,8 +433,10 @@ def repeated_spans(docs: DataFrame, max_classes: int = MAX_CLASSES) -> DataFrame
     twice = (_grams(long_enough).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
              .select(F.col("gram").alias("_gram")))
     found = staged(_places(long_enough).join(twice, _on(["gram"])).drop("_gram"), "places")
+    free_shuffles(docs.sparkSession)
     classes = staged(found.groupBy(*_CLASS, "near").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "at")).alias("first")), "classes")
+    free_shuffles(docs.sparkSession)
     sizes = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"))
     several = sizes.filter("classes > 1").select(F.col("gram").alias("_gram"))
     # a gram whose places all look alike needs no order: it has one class, and every window of it is shared
@@ -463,6 +465,7 @@ def repeated_spans(docs: DataFrame, max_classes: int = MAX_CLASSES) -> DataFrame
              .groupBy("key").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
     out = staged(spans, "spans")
     unstage(found, classes)
+    free_shuffles(docs.sparkSession)
     return out
 
 
