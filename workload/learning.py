@@ -1,4 +1,4 @@
-"""Balancing, training, scoring. Tree counts are smaller than the defaults to keep the checks short."""
+"""Balancing, training, scoring. Models are trained with the defaults of settings.py."""
 
 from __future__ import annotations
 
@@ -10,13 +10,12 @@ from stationcare.functions.clock import calendar_features
 from stationcare.operators import balance as B
 from stationcare.operators import clean
 from stationcare.operators.ordered import with_index
-from stationcare.plans import maintenance, models, scoring, train
+from stationcare.plans import maintenance, models, report, scoring, train
 from workload import views
 from workload.registry import STATES, hash_sql, plain, query
 
 SENSORS = ["sensor_1", "sensor_2", "sensor_3"]
 RULS = ["rul_aceite", "rul_frenos", "rul_refrigerante"]
-SMALL = {"random_forest": {"numTrees": 10, "maxDepth": 6}, "boosted_trees": {"maxIter": 4, "maxDepth": 3}}
 
 
 def table(spark, d):
@@ -122,34 +121,40 @@ def tree_truth(spark, d):
 @query("train_classifiers")
 def train_classifiers(spark, d):
     df = table(spark, d)
-    out = train.train_classifiers(df, inputs(df), k_best=8, options=SMALL, order_by=["timestamp", "id"])
+    out = train.train_classifiers(df, inputs(df), order_by=["timestamp", "id"])
     return out.summary()
 
 
 @query("train_rul")
 def train_rul(spark, d):
     df = table(spark, d)
-    out = train.train_rul(df, inputs(df), "rul_aceite", "aceite", k_best=8, options=SMALL,
-                          order_by=["timestamp", "id"], rul_targets=RULS)
+    out = train.train_rul(df, inputs(df), "rul_aceite", "aceite", order_by=["timestamp", "id"], rul_targets=RULS)
     return out.summary()
 
 
-def _one(spark, d, task, component="aceite", where=None):
-    df = table(spark, d)
-    known = df if where is None else df.where(where)
-    if task == "rul":
-        out = train.train_rul(known, inputs(df), f"rul_{component}", component, k_best=6, names=["linear_regression"],
-                              rul_targets=RULS)
-        return df, out.models["linear_regression"]
-    out = train.train_classifiers(known, inputs(df), k_best=6, names=["random_forest"], balanced=False, options=SMALL)
-    return df, out.models["random_forest"]
+def _classifier(df):
+    """The classifier a session would keep: all are trained, the best mean macro F1 wins."""
+    return _best(train.train_classifiers(df, inputs(df)))["-"]
+
+
+def _regressors(df, components, names=None):
+    """The regressors a session would keep, by component: one kind for all, of the lowest mean MAE."""
+    return _best(*[train.train_rul(df, inputs(df), f"rul_{c}", c, names=names, rul_targets=RULS) for c in components])
+
+
+def _best(*outcomes):
+    metrics = outcomes[0].metrics
+    for outcome in outcomes[1:]:
+        metrics = metrics.unionByName(outcome.metrics)
+    chosen = {r["task"]: r["model"] for r in report.best_models(metrics).collect()}
+    kept = [next(t for t in o.models.values() if t.name == chosen[t.task]) for o in outcomes]
+    return {t.component: t for t in kept}
 
 
 @query("scored_fleet")
 def scored_fleet(spark, d):
-    df, classifier = _one(spark, d, "classification")
-    regressors = {c: _one(spark, d, "rul", c)[1] for c in ("aceite", "frenos", "refrigerante")}
-    plan = scoring.score_fleet(df, classifier, regressors)
+    df = table(spark, d)
+    plan = scoring.score_fleet(df, _classifier(df), _regressors(df, ["aceite", "frenos", "refrigerante"]))
     return maintenance.latest_per_machine(plan.select(
         "id", "timestamp", "vehiculo_id", "predicted_estado", "predicted_rul_aceite", "predicted_rul_frenos",
         "predicted_rul_refrigerante", "prioridad", "accion_recomendada"), "vehiculo_id", ["timestamp", "id"]).drop("timestamp")
@@ -158,28 +163,28 @@ def scored_fleet(spark, d):
 @query("holdout_metrics")
 def holdout_metrics(spark, d):
     """Trained on four readings in five, judged on the others, which no model has seen."""
-    df, classifier = _one(spark, d, "classification", where=~_kept_back())
-    _, regressor = _one(spark, d, "rul", where=~_kept_back())
-    return scoring.holdout_metrics(df.where(_kept_back()), classifier, {"aceite": regressor},
+    df = table(spark, d)
+    known = df.where(~_kept_back())
+    return scoring.holdout_metrics(df.where(_kept_back()), _classifier(known), _regressors(known, ["aceite"]),
                                    rul_targets={"aceite": "rul_aceite"}, order_by=["timestamp", "id"])
 
 
 @query("feature_importances")
 def feature_importances(spark, d):
-    df, classifier = _one(spark, d, "classification")
-    return train.importances(classifier)
+    return train.importances(_classifier(table(spark, d)))
 
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
-    df, regressor = _one(spark, d, "rul")
-    return train.permutation_importance(regressor, df, "rul_aceite")
+    df = table(spark, d)
+    return train.permutation_importance(_regressors(df, ["aceite"])["aceite"], df, "rul_aceite")
 
 
 @query("linear_attribution")
 def linear_attribution(spark, d):
-    df, regressor = _one(spark, d, "rul")
-    return train.linear_attribution(regressor, df)
+    """Exact for linear models only, whose fit does not depend on the other kinds trained beside it."""
+    df = table(spark, d)
+    return train.linear_attribution(_regressors(df, ["aceite"], ["linear_regression"])["aceite"], df)
 
 
 @query("robust_scaling", f"WITH {STATES}, q AS (SELECT " + ", ".join(
