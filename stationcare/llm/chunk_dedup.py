@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the bytes of a text; a chunk ends behind white space (or, rarely, elsewhere between two
-characters) where low bits of the hash are zero, so cut points depend on the last 32 bytes only and come back
-right after an insertion. Chunks are deduplicated by 128-bit digest: the first place, by (doc_id, start), keeps
+A gear hash rolls over the bytes of a text; a chunk ends behind white space, or elsewhere between two characters,
+where bits of the hash say so. Elsewhere that is rare while words are short; once no white space came for 32 bytes,
+every byte has the same chance, so that texts without blanks get chunks of the same size. Cut points depend on the last
+32 bytes only and come back right after an insertion. Chunks are deduplicated by 128-bit digest: the first place, by (doc_id, start), keeps
 a chunk, later places lose it if the run of repeated chunks they lie in is long enough to be a passage.
 """
 
@@ -24,7 +25,9 @@ HASH_BYTES = 32
 MIN_CHUNK = 16
 MAX_CHUNK = 1024
 SPACE_BITS = 2
+LONG_WORD = 12  # bytes; behind longer words one bit less, behind twice as long ones no bit must be zero
 OTHER_BITS = 9
+BARE_BITS = 5  # per byte of the character, where the hash knows no white space
 MIN_RUN = 100
 ADDED = ("_removed", "_gone")
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
@@ -46,14 +49,37 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _since_space(data: np.ndarray) -> np.ndarray:
+    """Bytes between each place and the white space before it (or the first byte of all)."""
+    place = np.arange(len(data), dtype=np.int64)
+    last = np.maximum.accumulate(np.where(_SPACE[data], place, -1))
+    before = np.empty_like(last)
+    before[:1] = -1
+    before[1:] = last[:-1]
+    return place - before - 1
+
+
+def _may_cut(data: np.ndarray, h: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Places whose byte may be the last of a chunk; ``after`` marks those where a character ends."""
+    high = h >> np.uint32(8)  # the lowest bits only know the last few bytes
+    since = _since_space(data)
+    bits = np.maximum(SPACE_BITS - since // LONG_WORD, 0)
+    spaced = _SPACE[data] & ((high & ((1 << bits) - 1).astype(np.uint32)) == 0)
+    wide = np.ones(len(data), np.uint32)  # bytes of the character that ends here
+    inner = (data & 0xC0) == 0x80
+    for k in (1, 2, 3):
+        wide[k:] += inner[k:]
+        inner[1:] &= inner[:-1].copy()
+    chance = np.where(since >= HASH_BYTES - 1, wide << np.uint32(OTHER_BITS - BARE_BITS), np.uint32(1))
+    return spaced | (after & ((high & np.uint32((1 << OTHER_BITS) - 1)) < chance))
+
+
 def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     """Per text the ends of its chunks, from the text's start."""
     h = gear_hashes(data)
-    high = h >> np.uint32(8)  # the lowest bits only know the last few bytes
     after = np.zeros(len(data), bool)  # the next byte starts a character
     after[:-1] = (data[1:] & 0xC0) != 0x80
-    cut = np.flatnonzero((_SPACE[data] & ((high & np.uint32((1 << SPACE_BITS) - 1)) == 0))
-                         | (after & ((high & np.uint32((1 << OTHER_BITS) - 1)) == 0)))
+    cut = np.flatnonzero(_may_cut(data, h, after))
     where = np.searchsorted(cut, offsets)
     out = []
     for i in range(len(offsets) - 1):
@@ -61,9 +87,11 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
         last, ends = start, []
         for c in (cut[where[i]:where[i + 1]] + 1).tolist() + [end]:
             while c - last > MAX_CHUNK:
-                forced = last + MAX_CHUNK
-                while forced > last + 1 and data[forced] & 0xC0 == 0x80:
-                    forced -= 1
+                # text that goes round without a cut: the last place of smallest hash is the same in every round
+                least = last + (MIN_CHUNK if last > start else HASH_BYTES)
+                spots = np.flatnonzero(after[least - 1:last + MAX_CHUNK]) + least
+                smallest = h[spots - 1]
+                forced = int(spots[np.flatnonzero(smallest == smallest.min())[-1]])
                 ends.append(forced - start)
                 last = forced
             # the hash of the first bytes reaches into the text before: no cut there

@@ -157,3 +157,45 @@ def test_chunk_dedup_of_odd_tables(spark):
     got = chunk_dedup.without_repeats(odd).collect()
     assert len(got) == 5 and all(r["text"] == line for r in got if r["doc_id"] is None)
     assert odd.columns[:2] + ["_removed", "_gone"] == chunk_dedup.without_repeats(odd).columns
+
+
+def _bare(rng, n, kind):
+    if kind == "base64":
+        return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    low, high = {"chinese": (0x4E00, 0x9FA5), "thai": (0x0E01, 0x0E2E), "hiragana": (0x3041, 0x3096)}[kind]
+    return "".join(chr(rng.randint(low, high)) for _ in range(n))
+
+
+@pytest.mark.parametrize("kind", ["chinese", "thai", "hiragana", "base64"])
+def test_passages_without_blanks_are_found(spark, kind):
+    rng = random.Random(8)
+    size = 400 if kind == "base64" else 150
+    texts, planted = [], []
+    for _ in range(40):
+        passage = _bare(rng, size, kind)
+        planted.append(len(passage.encode()))
+        texts += [_bare(rng, rng.randint(100, 700), kind) + passage + _bare(rng, rng.randint(100, 700), kind)
+                  for _ in range(2)]
+    sizes = [len(c) for t in texts for c in _chunks(t)]
+    assert 35 <= sum(sizes) / len(sizes) <= 65
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["_removed"] for r in chunk_dedup.without_repeats(df).collect()}
+    assert all(got[i] == 0 for i in range(0, 80, 2))
+    found = [got[2 * i + 1] for i in range(40)]
+    assert sum(f > 0 for f in found) >= 39 and all(f <= n for f, n in zip(found, planted, strict=True))
+    assert sum(found) > 0.7 * sum(planted)
+
+
+@pytest.mark.parametrize("word", [1, 4, 12, 20, 28, 60])
+def test_chunks_are_alike_for_words_of_any_length(word):
+    rng = random.Random(word)
+    sizes = [len(c) for c in _chunks(" ".join(_bare(rng, word, "base64") for _ in range(60_000 // (word + 1))))]
+    assert 20 <= sum(sizes) / len(sizes) <= 75
+
+
+@pytest.mark.parametrize("period", [1, 5, 27, 100, 301])
+def test_text_that_goes_round_is_cut_alike_behind_an_insertion(period):
+    rng = random.Random(period)
+    text = _bare(rng, period, "base64") * (9000 // period)
+    before, after = _chunks(text), set(_chunks("inserted-" + text))
+    assert sum(len(c) for c in before if c in after) > 0.7 * len(text)
