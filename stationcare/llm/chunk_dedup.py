@@ -4,7 +4,8 @@ A gear hash rolls over the bytes of a text; a chunk ends behind white space, or
 where bits of the hash say so. Elsewhere that is rare while words are short; once no white space came for 32 bytes,
 every byte has the same chance, so that texts without blanks get chunks of the same size. Cut points depend on the last
 32 bytes only and come back right after an insertion. Chunks are deduplicated by 128-bit digest: the first place, by (doc_id, start), keeps
-a chunk, later places lose it if the run of repeated chunks they lie in is long enough to be a passage.
+a chunk, later places lose it if the run of repeated chunks they lie in is long enough to be a passage. Texts
+shorter than a passage also have one digest of the whole text, by which later copies of them are found.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ LONG_WORD = 12  # bytes; behind longer words one bit less, behind twice as long
 OTHER_BITS = 9
 BARE_BITS = 5  # per byte of the character, where the hash knows no white space
 MIN_RUN = 100
+WHOLE = -1  # start of the row that stands for a whole short text
 ADDED = ("_removed", "_gone")
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
 
@@ -103,8 +105,11 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     return out
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, start, length, hi, lo``: every chunk of every text with its digest."""
+def chunks(docs: DataFrame, short: int = MIN_RUN) -> DataFrame:
+    """``doc_id, start, length, hi, lo``: every chunk of every text with its digest.
+
+    A text of fewer than ``short`` bytes has one more row, with start ``WHOLE`` and a digest of its own kind.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -120,11 +125,17 @@ def chunks(docs: DataFrame) -> DataFrame:
             raw = data.tobytes()
             digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in
                                 zip((base + starts).tolist(), (base + stops).tolist(), strict=True)])
+            sizes = np.diff(offsets)
+            whole = np.flatnonzero((sizes > 0) & (sizes < short))
+            digests += b"".join([xxhash.xxh3_128_digest(raw[offsets[i]:offsets[i + 1]], seed=1) for i in whole])
             halves = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
+            row = np.concatenate([np.repeat(np.arange(len(counts)), counts), whole])
             ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, counts), pa.int64()), pa.array(starts.astype(np.int32)),
-                 pa.array((stops - starts).astype(np.int32)), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                [pa.array(ids[row], pa.int64()),
+                 pa.array(np.concatenate([starts, np.full(len(whole), WHOLE)]).astype(np.int32)),
+                 pa.array(np.concatenate([stops - starts, sizes[whole]]).astype(np.int32)),
+                 pa.array(halves[:, 0]), pa.array(halves[:, 1])],
                 ["doc_id", "start", "length", "hi", "lo"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -148,7 +159,9 @@ def _cut(min_run: int):
             kept, removed, spans = [], [], []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
                 raw = (text or "").encode()
-                gone = _runs([(s["start"], s["length"]) for s in found or []], min_run)
+                spots = [(s["start"], s["length"]) for s in found or []]
+                whole = any(start == WHOLE for start, _ in spots)
+                gone = [(0, len(raw))] if whole else _runs(spots, min_run)
                 parts, last = [], 0
                 for a, b in gone:
                     parts.append(raw[last:a])
@@ -168,15 +181,15 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``, and ``_removed`` bytes, ``_gone`` spans (start, length).
 
     All copies but the first (smallest doc_id, then start) of a chunk go where the run of such chunks has at
-    least ``min_run`` bytes; a later copy of a whole text becomes empty. Chunks that repeat inside one text
+    least ``min_run`` bytes; a later copy of a whole text, however short, becomes empty. Chunks that repeat inside one text
     count too. Rows that share a doc_id are one owner: equal places of equal texts keep their chunk. Null and
     empty texts have no chunks; rows without a doc_id keep their text and own nothing. All other columns stay,
     but for columns named as the two added ones, which are replaced.
     """
     known = docs.filter(F.col("doc_id").isNotNull())
     # half a digest, counted map-side, leaves the few chunks that may repeat; whole digests decide
-    often = chunks(known).groupBy("hi").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("hi")
-    some = staged(chunks(known).join(often, "hi"), "chunks")
+    often = chunks(known, min_run).groupBy("hi").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("hi")
+    some = staged(chunks(known, min_run).join(often, "hi"), "chunks")
     repeated = (some.groupBy("hi", "lo")
                 .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "start")).alias("_first"))
                 .filter("_n > 1").select("hi", "lo", "_first"))

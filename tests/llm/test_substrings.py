@@ -199,3 +199,17 @@ def test_text_that_goes_round_is_cut_alike_behind_an_insertion(period):
     text = _bare(rng, period, "base64") * (9000 // period)
     before, after = _chunks(text), set(_chunks("inserted-" + text))
     assert sum(len(c) for c in before if c in after) > 0.7 * len(text)
+
+
+def test_short_copies_of_whole_texts_go(spark):
+    short = ["ok", "a short text", "x" * (chunk_dedup.MIN_RUN - 1), "短い文書", "one two three four five six seven eight"]
+    rows = [(i, t) for i, t in enumerate(short)] + [(10 + i, t) for i, t in enumerate(short)]
+    rows += [(20, "ok ok"), (21, "a short text that goes on"), (22, ""), (23, None), (None, "ok"), (4, short[4])]
+    got = chunk_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        if r["doc_id"] is not None and 10 <= r["doc_id"] < 20:
+            size = len(short[r["doc_id"] - 10].encode())
+            assert (r["text"], r["_removed"]) == ("", size) and [tuple(g) for g in r["_gone"]] == [(0, size)]
+        else:
+            assert (r["doc_id"], r["text"]) in rows and r["_removed"] == 0
+    assert len(got) == len(rows)
