@@ -17,7 +17,8 @@ from stationcare.llm.decontaminate import contamination
 from stationcare.llm.jaccard_join import jaccard_classes
 from stationcare.llm.packing import pack
 from stationcare.llm.quality import judge
-from stationcare.session import shared_dir
+from stationcare.operators.ordered import with_index
+from stationcare.session import shared_dir, staged
 
 
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
@@ -43,15 +44,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest doc_id."""
-    classes = jaccard_classes(docs)
-    later = classes.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(later, docs["doc_id"].cast("long") == later["_id"], "left_anti")
-    # repeated rows are one document; looked for first, since most tables have none
-    twice = kept.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if twice.isEmpty():
+    """Keeps one document of each group of near duplicates, the one with the smallest doc_id, then hash of the text."""
+    known = docs.filter(F.col("doc_id").isNotNull())
+    # repeated rows are one document, other texts of a doc_id are others; looked for first, most tables have neither
+    hashes = known.select(F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("h"))
+    shared = hashes.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+    twice, several = shared.agg(F.bool_or(F.expr("n > 1")), F.bool_or(F.expr("low < high"))).first()
+    if several:
+        # every (doc_id, text) gets a number of its own, in that order
+        numbered = staged(with_index(hashes.distinct(), ["i", "h"], index="_n"), "numbered")
+        own = (F.col("i") == F.col("doc_id").cast("long")) & (F.col("h") == F.xxhash64("text"))
+        one = known.select("doc_id", "text").join(numbered, own).select(F.col("_n").cast("long").alias("doc_id"), "text")
+        classes = jaccard_classes(one.dropDuplicates(["doc_id"]))
+        later = classes.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_n"))
+        kept = _without(docs, numbered.join(later, "_n", "left_semi").select(F.col("i").alias("doc_id"),
+                                                                            F.col("h").alias("text_hash")))
+    else:
+        classes = jaccard_classes(docs)
+        later = classes.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_id")).distinct()
+        kept = docs.join(later, docs["doc_id"].cast("long") == later["_id"], "left_anti")
+    if not twice:
         return kept
-    known = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    known = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
     return known.unionByName(kept.filter(F.col("doc_id").isNull()))
 
 

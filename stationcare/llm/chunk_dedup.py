@@ -3,9 +3,10 @@
 A gear hash rolls over the bytes of a text; a chunk ends behind white space, or elsewhere between two characters,
 where bits of the hash say so. Elsewhere that is rare while words are short; once no white space came for 32 bytes,
 every byte has the same chance, so that texts without blanks get chunks of the same size. Cut points depend on the last
-32 bytes only and come back right after an insertion. Chunks are deduplicated by 128-bit digest: the first place, by (doc_id, start), keeps
-a chunk, later places lose it if the run of repeated chunks they lie in is long enough to be a passage. Texts
-shorter than a passage also have one digest of the whole text, by which later copies of them are found.
+32 bytes only and come back right after an insertion. Chunks are deduplicated by 128-bit digest: the first place, by
+(doc_id, hash of the text, start), keeps a chunk, later places lose it if the run of repeated chunks they lie in is
+long enough to be a passage. Texts shorter than a passage also have one digest of the whole text, by which later
+copies of them are found.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
 
 
 def chunks(docs: DataFrame, short: int = MIN_RUN) -> DataFrame:
-    """``doc_id, start, length, hi, lo``: every chunk of every text with its digest.
+    """``doc_id, text_hash, start, length, hi, lo``: every chunk of every text with its digest.
 
     A text of fewer than ``short`` bytes has one more row, with start ``WHOLE`` and a digest of its own kind.
     """
@@ -130,16 +131,17 @@ def chunks(docs: DataFrame, short: int = MIN_RUN) -> DataFrame:
             digests += b"".join([xxhash.xxh3_128_digest(raw[offsets[i]:offsets[i + 1]], seed=1) for i in whole])
             halves = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
             row = np.concatenate([np.repeat(np.arange(len(counts)), counts), whole])
-            ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, texts = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_hash"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row], pa.int64()),
+                [pa.array(ids[row], pa.int64()), pa.array(texts[row], pa.int64()),
                  pa.array(np.concatenate([starts, np.full(len(whole), WHOLE)]).astype(np.int32)),
                  pa.array(np.concatenate([stops - starts, sizes[whole]]).astype(np.int32)),
                  pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                ["doc_id", "start", "length", "hi", "lo"])
+                ["doc_id", "text_hash", "start", "length", "hi", "lo"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, start int, length int, hi long, lo long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
+                       "text").mapInArrow(
+        run, "doc_id long, text_hash long, start int, length int, hi long, lo long")
 
 
 def _runs(spans: list[tuple[int, int]], min_run: int) -> list[tuple[int, int]]:
@@ -180,10 +182,11 @@ def _cut(min_run: int):
 def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``, and ``_removed`` bytes, ``_gone`` spans (start, length).
 
-    All copies but the first (smallest doc_id, then start) of a chunk go where the run of such chunks has at
-    least ``min_run`` bytes; a later copy of a whole text, however short, becomes empty. Chunks that repeat inside one text
-    count too. Rows that share a doc_id are one owner: equal places of equal texts keep their chunk. Null and
-    empty texts have no chunks; rows without a doc_id keep their text and own nothing. All other columns stay,
+    All copies but the first (smallest doc_id, then hash of the text, then start) of a chunk go where the run of
+    such chunks has at least ``min_run`` bytes; a later copy of a whole text, however short, becomes empty. Chunks
+    that repeat inside one text count too. Rows that share doc_id and text are one owner: equal places keep their
+    chunk. Null and empty texts have no chunks; rows without a doc_id keep their text and own nothing. All other
+    columns stay,
     but for columns named as the two added ones, which are replaced.
     """
     known = docs.filter(F.col("doc_id").isNotNull())
@@ -191,17 +194,18 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     often = chunks(known, min_run).groupBy("hi").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("hi")
     some = staged(chunks(known, min_run).join(often, "hi"), "chunks")
     repeated = (some.groupBy("hi", "lo")
-                .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "start")).alias("_first"))
+                .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "text_hash", "start")).alias("_first"))
                 .filter("_n > 1").select("hi", "lo", "_first"))
     later = (some.join(repeated, ["hi", "lo"])
-             .filter((F.col("doc_id") != F.col("_first.doc_id")) | (F.col("start") != F.col("_first.start")))
-             .groupBy(F.col("doc_id").alias("_id"))
+             .filter(F.struct("doc_id", "text_hash", "start") != F.col("_first"))
+             .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"))
              .agg(F.collect_list(F.struct("start", "length")).alias("_spans")))
     # other columns travel in one struct, so that no name can clash
     rest = [c for c in docs.columns if c not in ("text", *ADDED)]
     rows = docs.select(F.struct(*[f"`{c}`" for c in rest]).alias("_row"), "text",
-                       F.col("doc_id").cast("long").alias("_doc"))
-    joined = rows.join(later, F.col("_doc") == F.col("_id"), "left").select("_row", "text", "_spans")
+                       F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"))
+    own = (F.col("_doc") == F.col("_id")) & (F.col("_hash") == F.col("_text"))
+    joined = rows.join(later, own, "left").select("_row", "text", "_spans")
     kinds = T.StructType([joined.schema["_row"], T.StructField("text", T.StringType()),
                           T.StructField(ADDED[0], T.LongType()), T.StructField(ADDED[1], SPANS)])
     cut = joined.mapInArrow(_cut(min_run), kinds)

@@ -114,3 +114,13 @@ def test_empty_tables(spark, tables, tmp_path):
 
 def test_stage_list():
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_other_texts_of_a_doc_id_are_no_duplicates(spark):
+    rng = random.Random(33)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(1, a), (2, b), (2, a), (3, c), (3, d), (3, d), (None, a)]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert _rows(got) == sorted([(1, a), (2, b), (3, c), (3, d), (None, a)], key=str)

@@ -213,3 +213,17 @@ def test_short_copies_of_whole_texts_go(spark):
         else:
             assert (r["doc_id"], r["text"]) in rows and r["_removed"] == 0
     assert len(got) == len(rows)
+
+
+def test_texts_that_share_a_doc_id_are_cut_apart(spark):
+    rng = random.Random(12)
+    passage, clean = _bare(rng, 400, "base64"), _bare(rng, 1600, "chinese")
+    cut = _bare(rng, 300, "base64") + passage + _bare(rng, 300, "base64")
+    rows = [(1, _bare(rng, 200, "base64") + passage), (5, cut), (5, clean), (5, clean)]
+    got = chunk_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = sorted(r["_removed"] for r in got)
+    assert removed[:3] == [0, 0, 0] and 0 < removed[3] <= 400
+    assert sum(r["text"] == clean for r in got) == 2, "the other text of the doc_id is clean and stays whole"
+    copies = chunk_dedup.without_repeats(spark.createDataFrame([(1, clean), (5, cut), (5, clean)],
+                                                               "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in copies) == sorted([(1, clean), (5, cut), (5, "")])
