@@ -108,10 +108,27 @@ reach AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT b, root FROM reach J
 SELECT doc_id, min(root) AS class_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links
 FROM reach LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = doc_id GROUP BY doc_id"""
 
+FILL_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+    array_to_string(u[b + 1:], '') AS s FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+    ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts"""
+
 ORACLES = {
     "op4_decontamination": DECONTAMINATION,
     "op5_suffix_dedup": SUFFIX_DEDUP,
     "op6_license_scan": LICENSE_SCAN,
     "op9_warc": WARC,
     "op10_ngram_jaccard_join": JACCARD_JOIN,
+    "op11_fill_middle": FILL_MIDDLE,
 }

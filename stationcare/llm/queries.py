@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stationcare.llm.chunk_dedup import removal_digest
 from stationcare.llm.decontaminate import contamination
+from stationcare.llm.fill_middle import fill_in_middle, restored
 from stationcare.llm.fingerprint import edited_fingerprints
 from stationcare.llm.jaccard_join import jaccard_classes
 from stationcare.llm.language import fit, predict
@@ -72,6 +73,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
@@ -83,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 QUERIES["pipeline"] = corpus_pipeline.run
