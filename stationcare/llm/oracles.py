@@ -124,6 +124,57 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
     ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
 FROM parts"""
 
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _grown(name: str, start: str) -> str:
+    """Nodes of all levels of the trees of ``start (source, pos, n, digest)``, and what stands beside each in its run."""
+    beside = ("coalesce(string_agg(digest, '') OVER (PARTITION BY source, level, pos // 3 ORDER BY pos "
+              "ROWS BETWEEN {}), '')")
+    return f"""{name}(source, level, pos, n, digest) AS (SELECT source, 0, pos, n, digest FROM {start}
+  UNION ALL SELECT source, any_value(level) + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM {name} WHERE n > 1 GROUP BY source, pos // 3),
+{name}_sides AS (SELECT source, level, pos, {beside.format("UNBOUNDED PRECEDING AND 1 PRECEDING")} || '.' ||
+  {beside.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")} AS step FROM {name} WHERE n > 1)"""
+
+
+def _path(name: str, nodes: str) -> str:
+    return f"""{name}_path AS (SELECT x.source, x.pos, list(s.step ORDER BY s.level) AS steps FROM {nodes} x JOIN {name}_sides s
+  ON s.source IS NOT DISTINCT FROM x.source AND s.pos = x.pos // CAST(pow(3, s.level) AS BIGINT) GROUP BY x.source, x.pos)"""
+
+
+_CRC32 = """xor(list_reduce([4294967295] || list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: ascii(c)),
+  lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, _: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))),
+  4294967295)"""
+
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT *, {_leaf("text")} AS digest,
+    {_leaf("CASE WHEN even THEN replace(text, chr(10), '') ELSE text END")} AS altered
+  FROM (SELECT *, {_CRC32} % 2 = 0 AS even FROM documents)),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos,
+  count(*) OVER (PARTITION BY source) AS n FROM d),
+{_grown("up", "leaves")},
+subs AS (SELECT source AS name, 0 AS source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos,
+  count(*) OVER () AS n FROM up WHERE n = 1),
+{_grown("top", "subs")},
+{_path("up", "leaves")},
+{_path("top", "subs")},
+whole AS (SELECT leaves.doc_id, leaves.digest AS leaf, subs.digest AS subroot, altered,
+  list_concat(coalesce(up_path.steps, CAST([] AS VARCHAR[])), coalesce(top_path.steps, CAST([] AS VARCHAR[]))) AS steps,
+  (SELECT digest FROM top WHERE n = 1) AS root
+  FROM leaves JOIN subs ON subs.name IS NOT DISTINCT FROM leaves.source
+  LEFT JOIN up_path ON up_path.source IS NOT DISTINCT FROM leaves.source AND up_path.pos = leaves.pos
+  LEFT JOIN top_path ON top_path.pos = subs.pos),
+checked AS (SELECT *, list_reduce([altered] || steps,
+  lambda node, step: sha256(split_part(step, '.', 1) || node || split_part(step, '.', 2))) AS folded_root FROM whole)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '.', '')) AS proof_sha256, folded_root,
+  folded_root = root AS verified FROM checked"""
+
 ORACLES = {
     "op4_decontamination": DECONTAMINATION,
     "op5_suffix_dedup": SUFFIX_DEDUP,
@@ -131,4 +182,5 @@ ORACLES = {
     "op9_warc": WARC,
     "op10_ngram_jaccard_join": JACCARD_JOIN,
     "op11_fill_middle": FILL_MIDDLE,
+    "op12_merkle_manifest": MERKLE,
 }

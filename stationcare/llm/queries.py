@@ -15,6 +15,7 @@ from stationcare.llm.fingerprint import edited_fingerprints
 from stationcare.llm.jaccard_join import jaccard_classes
 from stationcare.llm.language import fit, predict
 from stationcare.llm.licenses import scan_licenses
+from stationcare.llm.merkle import tampering_found
 from stationcare.llm.oracles import ORACLES as ORACLES
 from stationcare.llm.packing import pack
 from stationcare.llm.quality import held_out, judge
@@ -79,6 +80,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampering_found(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_fill_middle": op11_fill_middle,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 QUERIES["pipeline"] = corpus_pipeline.run
