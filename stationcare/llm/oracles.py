@@ -175,6 +175,22 @@ checked AS (SELECT *, list_reduce([altered] || steps,
 SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '.', '')) AS proof_sha256, folded_root,
   folded_root = root AS verified FROM checked"""
 
+def _hidden(text: str) -> str:
+    return rf"regexp_replace({text}, '<(\\*)\|', '<\\\1|', 'g')"
+
+
+CHAT = f"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
+t AS (SELECT *, '<|im_start|>' || {_hidden("replace(replace(role, '%', '%25'), chr(10), '%0A')")} || chr(10) ||
+  {_hidden("text")} || '<|im_end|>' || chr(10) AS written FROM said)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, written)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, written) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(written)) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
 ORACLES = {
     "op4_decontamination": DECONTAMINATION,
     "op5_suffix_dedup": SUFFIX_DEDUP,
@@ -183,4 +199,5 @@ ORACLES = {
     "op10_ngram_jaccard_join": JACCARD_JOIN,
     "op11_fill_middle": FILL_MIDDLE,
     "op12_merkle_manifest": MERKLE,
+    "op13_chat_formatting": CHAT,
 }
