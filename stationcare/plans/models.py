@@ -1,50 +1,65 @@
-"""Estimators for the fault classes and the remaining useful life."""
+"""Estimators for the fault classes and the remaining useful life.
+
+All tree models look at the same candidate splits (``operators.binning``) and are grown in ``plans.forest`` and
+``plans.boosting``; linear models are those of Spark ML.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stationcare import settings as S
 from stationcare.operators.quantiles import quantile_values
+from stationcare.plans.boosting import Boosted, fit_boosted
+from stationcare.plans.forest import Forest, fit_forest
 
-LABEL, FEATURES, WEIGHT, VALIDATION = "_label", "_features", "_weight", "_validation"
+LABEL, FEATURES, VALIDATION = "_label", "_features", "_validation"
 
 CLASSIFIERS = ["random_forest", "boosted_trees"]
 REGRESSORS = ["linear_regression", "random_forest", "boosted_trees"]
 
 
-def classifier(name: str, seed: int = S.SEED, **over) -> Estimator:
-    shared = dict(labelCol=LABEL, featuresCol=FEATURES)
-    if name == "random_forest":
-        return RandomForestClassifier(**shared, weightCol=WEIGHT, seed=seed, **(S.FOREST_CLASSIFIER | over))
-    if name == "boosted_trees":
-        # Spark's boosted trees have two classes: one model per class
-        binary = GBTClassifier(featuresCol=FEATURES, seed=seed, **(S.BOOSTED_CLASSIFIER | over))
-        return OneVsRest(classifier=binary, labelCol=LABEL, featuresCol=FEATURES)
-    if name == "logistic_regression":
-        return LogisticRegression(**shared, **({"maxIter": 1000} | over))
-    if name == "decision_tree":
-        return DecisionTreeClassifier(**shared, seed=seed, **({"maxDepth": 10} | over))
-    raise ValueError(f"unknown classifier {name}")
-
-
-def regressor(name: str, seed: int = S.SEED, validate: bool = False, **over) -> Estimator:
-    shared = dict(labelCol=LABEL, featuresCol=FEATURES)
-    if name == "linear_regression":
-        return LinearRegression(**shared, **over)
-    if name == "random_forest":
-        return RandomForestRegressor(**shared, seed=seed, **(S.FOREST_REGRESSOR | over))
+#: option names of the settings, and those of ``fit_boosted`` and ``fit_forest``
+_BOOSTED = {"maxIter": "rounds", "maxDepth": "depth", "stepSize": "rate", "subsamplingRate": "row_share",
+            "featureSubsetStrategy": "column_share", "minInstancesPerNode": "least_hessian", "minInfoGain": "least_gain",
+            "patience": "patience"}
+_FOREST = {"numTrees": "trees", "maxDepth": "depth", "minInstancesPerNode": "least_rows", "minSplit": "least_split",
+           "featureSubsetStrategy": "feature_share", "bootstrap": "bootstrap"}
+LINEAR = {"logistic_regression": LogisticRegression, "linear_regression": LinearRegression}
+Model = PipelineModel | Boosted | Forest
+
+
+def fit_model(name: str, task: str, rows: DataFrame, columns: list[str], classes: int = 0, validate: bool = False,
+              cuts: dict[str, list[float]] | None = None, class_weights: list[float] | None = None, seed: int = S.SEED,
+              **over) -> Model:
+    """A fitted model of any kind, from rows with ``LABEL``; ``over`` replaces options of the settings.
+
+    Boosted trees stop early only with validation rows (``validate``: where ``VALIDATION`` is true); ``class_weights``
+    are for forests.
+    """
+    classes = classes if task == "classification" else 0
     if name == "boosted_trees":
-        early = dict(validationIndicatorCol=VALIDATION, validationTol=0.001) if validate else {}
-        return GBTRegressor(**shared, seed=seed, **early, **(S.BOOSTED_REGRESSOR | over))
-    raise ValueError(f"unknown regressor {name}")
+        given = {_BOOSTED[k]: v for k, v in ((S.BOOSTED_CLASSIFIER if classes else S.BOOSTED_REGRESSOR) | over).items()}
+        given["column_share"] = float(given["column_share"])
+        return fit_boosted(rows, columns, LABEL, classes, validation=VALIDATION if validate else None, seed=seed, cuts=cuts, **given)
+    if name in ("random_forest", "decision_tree"):
+        known = (S.DECISION_TREE if name == "decision_tree" else S.FOREST_CLASSIFIER if classes else S.FOREST_REGRESSOR)
+        given = {_FOREST[k]: v for k, v in (known | over).items()}
+        return fit_forest(rows, columns, LABEL, classes, class_weights=class_weights, seed=seed, cuts=cuts, **given)
+    return pipeline(linear(name, **over), columns, scale=True).fit(rows)
+
+
+def linear(name: str, **over) -> Estimator:
+    if name not in LINEAR:
+        raise ValueError(f"unknown model {name}")
+    return LINEAR[name](labelCol=LABEL, featuresCol=FEATURES, **((S.LOGISTIC if name == "logistic_regression" else {}) | over))
 
 
 def pipeline(estimator: Estimator, columns: list[str], scale: bool = False) -> Pipeline:
@@ -65,20 +80,15 @@ def decoded(position: Column, classes: list[str]) -> Column:
     return F.get(F.array(*[F.lit(c) for c in classes]), position.cast("int"))
 
 
-def class_weight(label: Column) -> Column:
-    weight = F.lit(1.0)
-    for name, value in S.CLASS_WEIGHTS.items():
-        weight = F.when(label == name, value).otherwise(weight)
-    return weight
+def class_weights(classes: list[str]) -> list[float]:
+    return [S.CLASS_WEIGHTS.get(c, 1.0) for c in classes]
 
 
 def class_probabilities(scored: DataFrame) -> Column:
-    """Probability array; one-vs-rest margins go through the logistic curve and are normalised."""
-    if "probability" in scored.columns:
-        return vector_to_array("probability")
-    chances = F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-    total = F.aggregate(chances, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(chances, lambda p: F.try_divide(p, total))
+    """Probability array."""
+    if isinstance(scored.schema["probability"].dataType, T.ArrayType):
+        return F.col("probability")
+    return vector_to_array("probability")
 
 
 def robust_scaled(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95,

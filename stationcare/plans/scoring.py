@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -14,41 +16,67 @@ from stationcare.operators import class_metrics, rul_metrics
 from stationcare.operators.clean import floor_zero, rul_ceiling
 from stationcare.operators.select import Selection
 from stationcare.plans import models as M
+from stationcare.plans.boosting import Boosted
+from stationcare.plans.forest import Forest
 from stationcare.plans.features import FeatureState
 from stationcare.plans.maintenance import action_plan
 from stationcare.plans.train import Trained
 from stationcare.sources.sinks import path_exists
 from stationcare.sources.tables import require_columns
 
-BUNDLE = ("session string, task string, component string, model string, columns string, medians string, "
-          "classes string")
+BUNDLE = ("version long, session string, task string, component string, model string, columns string, medians string, "
+          "classes string, folder string, digest string")
+TREES = "part long, state string"
 
 
 def model_path(root: str, session: str, trained_task: str, component: str, name: str) -> str:
     return f"{root}/session={session}/task={trained_task}/component={component}/model={name}"
 
 
+def _content(spark: SparkSession, folder: str) -> str:
+    """Digest of the files of a fitted model, by name and content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    named = files.select(F.replace("path", F.lit(folder), F.lit("")).alias("p"), F.sha2("content", 256).alias("h"))
+    return named.agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("p", "h")))), 256)).first()[0]
+
+
 def save_model(trained: Trained, root: str, session: str) -> str:
-    """Model directory plus one manifest row; the row comes last, so a half-written model is never found."""
+    """Publish a model: its files go to a folder of their own, then one row is appended that names the folder.
+
+    A run that breaks off leaves the published model in force, for only the row makes a new one known. The row holds
+    a digest of the files, which loading checks.
+    """
     spark = SparkSession.active()
     path = model_path(root, session, trained.task, trained.component, trained.name)
-    trained.model.write().overwrite().save(f"{path}/fitted")
-    row = [(session, trained.task, trained.component, trained.name, json.dumps(trained.selection.columns),
-            json.dumps(trained.selection.medians), json.dumps(list(trained.classes)))]
-    spark.createDataFrame(row, BUNDLE).coalesce(1).write.mode("overwrite").json(f"{path}/bundle")
+    folder = f"{path}/fitted/{uuid.uuid4().hex}"
+    if hasattr(trained.model, "to_rows"):
+        spark.createDataFrame(list(enumerate(trained.model.to_rows())), TREES).coalesce(1).write.parquet(folder)
+    else:
+        trained.model.write().save(folder)
+    row = [(time.time_ns(), session, trained.task, trained.component, trained.name, json.dumps(trained.selection.columns),
+            json.dumps(trained.selection.medians), json.dumps(list(trained.classes)), folder, _content(spark, folder))]
+    spark.createDataFrame(row, BUNDLE).coalesce(1).write.mode("append").json(f"{path}/bundle")
     return path
 
 
 def load_model(spark: SparkSession, root: str, session: str, task: str, component: str,
                name: str) -> Trained | None:
-    """The saved model, or None if this session has none of that name."""
+    """The model published last, or None if this session has none of that name."""
     path = model_path(root, session, task, component, name)
     if not path_exists(spark, f"{path}/bundle"):
         return None
-    row = spark.read.schema(BUNDLE).json(f"{path}/bundle").first()
+    row = spark.read.schema(BUNDLE).json(f"{path}/bundle").orderBy(F.desc("version")).first()
+    if row is None:
+        return None
+    if _content(spark, row["folder"]) != row["digest"]:
+        raise ValueError(f"the files in {row['folder']} are not those that were published")
     selection = Selection(json.loads(row["columns"]), json.loads(row["medians"]))
-    return Trained(name, task, component, PipelineModel.load(f"{path}/fitted"), selection,
-                   tuple(json.loads(row["classes"])))
+    kind = {"boosted_trees": Boosted, "random_forest": Forest, "decision_tree": Forest}.get(name)
+    if kind:
+        model = kind.from_rows([r["state"] for r in spark.read.schema(TREES).parquet(row["folder"]).orderBy("part").collect()])
+    else:
+        model = PipelineModel.load(row["folder"])
+    return Trained(name, task, component, model, selection, tuple(json.loads(row["classes"])))
 
 
 def save_features(state: FeatureState, root: str, session: str) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from stationcare.plans.preprocess import clean_readings, preprocess
 from stationcare.plans.report import best_models
 from stationcare.plans.scoring import (holdout_metrics, load_features, load_model, model_choice, save_features,
                                        save_model, score_fleet)
-from stationcare.plans.train import train_classifiers, train_rul
+from stationcare.plans.train import side_by_side, train_classifiers, train_rul
 from stationcare.roles import Roles
 from stationcare.sources.sinks import (METRICS, STAGES, Checkpoints, metrics_table, path_exists, save_predictions,
                                        write_scores)
@@ -57,19 +58,17 @@ def train_session(df: DataFrame, root: str, session: str, sampling_hz: float = S
     def stale(task: str, component: str = "-") -> bool:
         return fresh or force in ("all", task) or not path_exists(spark, _metrics_path(root, session, task, component))
 
-    outcomes = []
+    works = []
     if stale("classification"):
-        outcomes.append(train_classifiers(
-            table, inputs, roles.target, roles.machine_id, names=classifiers, order_by=order,
+        works.append(partial(
+            train_classifiers, table, inputs, roles.target, roles.machine_id, names=classifiers, order_by=order,
             options=(options or {}).get("classification"), k_best=k_best))
     for component, target in roles.rul_targets.items():
-        if not stale("rul", component):
-            continue
-        done = train_rul(table, inputs, target, component, roles.machine_id, names=regressors, order_by=order,
-                         options=(options or {}).get("rul"), k_best=k_best,
-                         rul_targets=list(roles.rul_targets.values()))
-        if done is not None:
-            outcomes.append(done)
+        if stale("rul", component):
+            works.append(partial(
+                train_rul, table, inputs, target, component, roles.machine_id, names=regressors, order_by=order,
+                options=(options or {}).get("rul"), k_best=k_best, rul_targets=list(roles.rul_targets.values())))
+    outcomes = [done for done in side_by_side(works) if done is not None]
     for outcome in outcomes:
         for trained in outcome.models.values():
             save_model(trained, f"{root}/models", session)

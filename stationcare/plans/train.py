@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
-from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from stationcare import settings as S
 from stationcare.functions.hashing import stable_hash
 from stationcare.operators import class_metrics, rul_metrics
 from stationcare.operators.balance import balance
+from stationcare.operators.binning import fit_cuts
 from stationcare.operators.clean import classifier_inputs, floor_zero, rul_inputs, valid_rul
 from stationcare.operators.ordered import previous, with_index
 from stationcare.operators.select import Selection, fit_selection, medians
 from stationcare.operators.split import group_folds, stratified_group_folds
 from stationcare.plans import models as M
 from stationcare.plans.report import mean_over_folds
-from stationcare.session import staged
+from stationcare.session import staged, unstage
+
+T = TypeVar("T")
+
+#: fits that run side by side: a fit on a small table is mostly scheduling
+PARALLEL_FITS = 4
 
 
 @dataclass(frozen=True)
@@ -29,7 +38,7 @@ class Trained:
     name: str
     task: str
     component: str
-    model: PipelineModel
+    model: M.Model
     selection: Selection
     classes: tuple[str, ...] = ()
 
@@ -53,6 +62,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def side_by_side(works: list[Callable[[], T]]) -> list[T]:
+    """Results of independent fits that several threads of the driver start; the tasks are Spark's as ever."""
+    if not works:
+        return []
+    with ThreadPool(min(PARALLEL_FITS, len(works))) as pool:
+        return pool.map(lambda work: work(), [inheritable_thread_target(SparkSession.active())(work) for work in works])
+
+
 def _outcome(kept: dict[str, Trained], parts: list[DataFrame], task: str, component: str,
              order_by: list[str] | None, classes: list[str] | None = None) -> Outcome:
     """Predictions are written once; every metric of every fold and model reads that table."""
@@ -77,32 +94,38 @@ def train_classifiers(df: DataFrame, columns: list[str], target: str = S.GROUPED
     order_by = list(order_by or [])
     keep = list(dict.fromkeys([key, group, target, *order_by, *columns]))
     folded = stratified_group_folds(df.select(*keep).where(F.col(target).isNotNull()), group, target, k)
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    folded = staged(folded, "folds")
     sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     classes = sorted(r[0] for r in folded.select(target).distinct().collect())
-    kept, parts, cached = {}, [], [folded]
-    for fold in range(k):
-        train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        chosen = fit_selection(train, columns, target, "classification", k=k_best,
-                               rows=sum(sizes.values()) - sizes.get(fold, 0))
-        filled = chosen.transform(train)
-        rows = (balance(filled, target, key, chosen.columns) if balanced
-                else filled.select(target, *chosen.columns))
-        ready = rows.withColumns({M.LABEL: M.encoded(F.col(target), classes),
-                                  M.WEIGHT: M.class_weight(F.col(target))}).persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(ready)
-        for name in names or M.CLASSIFIERS:
-            fitted = M.pipeline(M.classifier(name, **(options or {}).get(name, {})), chosen.columns).fit(ready)
-            scored = fitted.transform(chosen.transform(test))
+    scratch, fits, tests = [folded], [], {}
+    try:
+        for fold in range(k):
+            train, tests[fold] = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+            chosen = fit_selection(train, columns, target, "classification", k=k_best,
+                                   rows=sum(sizes.values()) - sizes.get(fold, 0))
+            filled = chosen.transform(train)
+            cuts = fit_cuts(filled, chosen.columns)
+            rows = (balance(filled, target, key, chosen.columns) if balanced
+                    else filled.select(target, *chosen.columns))
+            ready = staged(rows.withColumn(M.LABEL, M.encoded(F.col(target), classes)), "training")
+            scratch.append(ready)
+            for name in names or M.CLASSIFIERS:
+                def fit(name=name, fold=fold, chosen=chosen, ready=ready, cuts=cuts) -> tuple[int, Trained]:
+                    fitted = M.fit_model(name, "classification", ready, chosen.columns, len(classes), cuts=cuts,
+                                         class_weights=M.class_weights(classes), **(options or {}).get(name, {}))
+                    return fold, Trained(name, "classification", "-", fitted, chosen, tuple(classes))
+                fits.append(fit)
+        kept, parts = {}, []
+        for fold, trained in side_by_side(fits):
+            scored = trained.model.transform(trained.selection.transform(tests[fold]))
             parts.append(scored.select(
                 F.col(key).alias("id"), *[F.col(c) for c in order_by if c != key],
                 F.col(target).alias("y_true"), M.decoded(F.col("prediction"), classes).alias("y_pred"),
-                M.class_probabilities(scored).alias("proba"), F.lit(fold).alias("fold"), F.lit(name).alias("model")))
-            kept[name] = Trained(name, "classification", "-", fitted, chosen, tuple(classes))
-    out = _outcome(kept, parts, "classification", "-", order_by, classes)
-    for frame in cached:
-        frame.unpersist()
-    return out
+                M.class_probabilities(scored).alias("proba"), F.lit(fold).alias("fold"), F.lit(trained.name).alias("model")))
+            kept[trained.name] = trained
+        return _outcome(kept, parts, "classification", "-", order_by, classes)
+    finally:
+        unstage(*scratch)
 
 
 def train_rul(df: DataFrame, columns: list[str], target: str, component: str, group: str = S.MACHINE_ID,
@@ -120,77 +143,78 @@ def train_rul(df: DataFrame, columns: list[str], target: str, component: str, gr
     if not chosen.columns:
         return None
     slim = usable.select(*dict.fromkeys([key, group, target, *order_by, *chosen.columns]))
-    folded = group_folds(slim, group, k).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = staged(group_folds(slim, group, k), "folds")
     # early stopping looks at a tenth of the training machines, never at the test fold
     held = F.pmod(stable_hash(F.col(group), seed="validation"), F.lit(10)) == 0
-    kept, parts, cached = {}, [], [folded]
-    for fold in range(k):
-        train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        found = medians(train, chosen.columns, rows=rows)
-        filling = Selection([c for c in chosen.columns if c in found], found)
-        ready = filling.transform(train).withColumns({M.LABEL: F.col(target), M.VALIDATION: held})
-        ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(ready)
-        seen = ready.agg(F.count_if(M.VALIDATION).alias("v"), F.count(F.lit(1)).alias("n")).first()
-        validate = 0 < seen["v"] < seen["n"]
-        for name in names or M.REGRESSORS:
-            estimator = M.regressor(name, validate=validate, **(options or {}).get(name, {}))
-            fitted = M.pipeline(estimator, filling.columns, scale=True).fit(ready)
-            parts.append(fitted.transform(filling.transform(test)).select(
+    scratch, fits, tests = [folded], [], {}
+    try:
+        for fold in range(k):
+            train, tests[fold] = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+            found = medians(train, chosen.columns, rows=rows)
+            filling = Selection([c for c in chosen.columns if c in found], found)
+            ready = staged(filling.transform(train).withColumns({M.LABEL: F.col(target), M.VALIDATION: held}), "training")
+            scratch.append(ready)
+            seen = ready.agg(F.count_if(M.VALIDATION).alias("v"), F.count(F.lit(1)).alias("n")).first()
+            validate = 0 < seen["v"] < seen["n"]
+            cuts = fit_cuts(ready, filling.columns)
+            for name in names or M.REGRESSORS:
+                def fit(name=name, fold=fold, filling=filling, ready=ready, cuts=cuts, validate=validate) -> tuple[int, Trained]:
+                    fitted = M.fit_model(name, "rul", ready, filling.columns, validate=validate, cuts=cuts,
+                                         **(options or {}).get(name, {}))
+                    return fold, Trained(name, "rul", component, fitted, filling)
+                fits.append(fit)
+        kept, parts = {}, []
+        for fold, trained in side_by_side(fits):
+            parts.append(trained.model.transform(trained.selection.transform(tests[fold])).select(
                 F.col(key).alias("id"), *[F.col(c) for c in order_by if c != key],
                 F.col(target).alias("y_true"), floor_zero(F.col("prediction")).alias("y_pred"),
-                F.lit(fold).alias("fold"), F.lit(name).alias("model"), F.lit(component).alias("component")))
-            kept[name] = Trained(name, "rul", component, fitted, filling)
-    out = _outcome(kept, parts, "rul", component, order_by)
-    for frame in cached:
-        frame.unpersist()
-    return out
-
+                F.lit(fold).alias("fold"), F.lit(trained.name).alias("model"), F.lit(component).alias("component")))
+            kept[trained.name] = trained
+        return _outcome(kept, parts, "rul", component, order_by)
+    finally:
+        unstage(*scratch)
 
-def importances(trained: Trained) -> DataFrame:
-    """Importance of each input of a tree model, absolute weight for a linear one, mean over one-vs-rest."""
-    from pyspark.sql import SparkSession
 
-    last = trained.model.stages[-1]
-    parts = getattr(last, "models", [last])
-    rows = []
-    for i, name in enumerate(trained.selection.columns):
-        values = [abs(float(m.coefficients[i])) if hasattr(m, "coefficients") else float(m.featureImportances[i])
-                  for m in parts]
-        rows.append((name, sum(values) / len(values)))
+def importances(trained: Trained, top: int | None = None) -> DataFrame:
+    """Importance of each input of a tree model, absolute weight for a linear one; the ``top`` largest only if given."""
+    names = trained.selection.columns
+    if hasattr(trained.model, "importances"):
+        values = trained.model.importances()
+    else:
+        values = np.abs(trained.model.stages[-1].coefficientMatrix.toArray()).mean(axis=0) if hasattr(
+            trained.model.stages[-1], "coefficientMatrix") else np.abs(trained.model.stages[-1].coefficients.toArray())
     spark = SparkSession.active()
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    found = spark.createDataFrame(list(zip(names, map(float, values), strict=True)), "feature string, importance double")
+    ordered = found.orderBy(F.desc("importance"), "feature")
+    return ordered if top is None else ordered.limit(top)
 
 
 def permutation_importance(trained: Trained, df: DataFrame, target: str, key: str = "id",
                            rows: int | None = None) -> DataFrame:
     """Loss of accuracy, or rise of MAE, when one input is shuffled between rows.
 
-    Rows line up in hash order and each takes the value of the row before it, so
-    one ordered pass shuffles every input.
+    Rows line up in hash order and each takes the value of the row before it, so one ordered pass shuffles every
+    input. Each row is then scored once as it is and once per input, all in one pass.
     """
     rows = df.count() if rows is None else rows
     names = trained.selection.columns
     filled = trained.selection.transform(df.where(F.col(target).isNotNull())).select(key, target, *names)
     hashed = filled.withColumn("_h", stable_hash(F.col(key), seed="shuffle"))
     numbered = with_index(hashed, ["_h", key], rows=rows)
-    mixed = previous(numbered, {f"_s_{c}": c for c in names}, rows).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def loss(frame: DataFrame):
-        scored = trained.model.transform(frame)
-        if trained.task == "rul":
-            return scored.agg(F.avg(F.abs(F.col(target) - floor_zero(F.col("prediction")))).alias("loss"))
-        said = M.decoded(F.col("prediction"), list(trained.classes))
-        return scored.agg(F.avg((said != F.col(target)).cast("double")).alias("loss"))
-
-    parts = [loss(mixed).withColumn("feature", F.lit(None).cast("string"))]
-    for c in names:
-        swapped = mixed.withColumn(c, F.coalesce(f"_s_{c}", c))
-        parts.append(loss(swapped).withColumn("feature", F.lit(c)))
-    losses = _union(parts)
-    base = losses.where(F.col("feature").isNull()).select("loss")
-    return (losses.where(F.col("feature").isNotNull())
-            .select("feature", (F.col("loss") - base.scalar()).alias("importance")))
+    mixed = staged(previous(numbered, {f"_s_{c}": c for c in names}, rows), "shuffled")
+    turns = mixed.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(len(names)))))
+    swapped = turns.withColumns({c: F.when(F.col("_turn") == i, F.coalesce(f"_s_{c}", c)).otherwise(F.col(c))
+                                 for i, c in enumerate(names, 1)})
+    scored = trained.model.transform(swapped)
+    if trained.task == "rul":
+        miss = F.abs(F.col(target) - floor_zero(F.col("prediction")))
+    else:
+        miss = (M.decoded(F.col("prediction"), list(trained.classes)) != F.col(target)).cast("double")
+    losses = scored.groupBy("_turn").agg(F.avg(miss).alias("loss")).collect()  # one row per input
+    unstage(mixed)
+    found = {r["_turn"]: r["loss"] for r in losses}
+    lines = [(c, found[i] - found[0]) for i, c in enumerate(names, 1)] if found else []
+    return df.sparkSession.createDataFrame(lines, "feature string, importance double")
 
 
 def linear_attribution(trained: Trained, df: DataFrame, key: str = "id") -> DataFrame:

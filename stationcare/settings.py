@@ -76,13 +76,16 @@ UNDERSAMPLE_CAP = 150_000
 SMOTE_NEIGHBOURS = 5
 FOLDS = 2
 TEST_SHARE = 0.3
-FOREST_CLASSIFIER = {"numTrees": 200, "maxDepth": 20, "minInstancesPerNode": 8}
+FOREST_CLASSIFIER = {"numTrees": 200, "maxDepth": 20, "minInstancesPerNode": 8, "minSplit": 15}
 BOOSTED_CLASSIFIER = {"maxIter": 50, "maxDepth": 5, "stepSize": 0.1,
                       "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-FOREST_REGRESSOR = {"numTrees": 50, "maxDepth": 10, "minInstancesPerNode": 10}
+FOREST_REGRESSOR = {"numTrees": 50, "maxDepth": 10, "minInstancesPerNode": 10, "minSplit": 20,
+                    "featureSubsetStrategy": 1.0}
+DECISION_TREE = {"numTrees": 1, "maxDepth": 10, "minSplit": 100, "featureSubsetStrategy": 1.0, "bootstrap": False}
+LOGISTIC = {"maxIter": 1000}
 BOOSTED_REGRESSOR = {"maxIter": 200, "maxDepth": 8, "stepSize": 0.05,
                      "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8",
-                     "minInstancesPerNode": 3}
+                     "minInstancesPerNode": 3, "minInfoGain": 0.1, "patience": 10}
 FALLBACK_MODELS = {"classification": "random_forest", "rul": "boosted_trees"}
 
 # --- fixed values: evaluation ------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from stationcare import settings as S
@@ -11,6 +13,8 @@ from stationcare.operators import balance as B
 from stationcare.operators import clean
 from stationcare.operators.ordered import with_index
 from stationcare.plans import maintenance, models, report, scoring, train
+from stationcare.session import shared_dir
+from stationcare.sources.sinks import path_exists
 from workload import views
 from workload.registry import STATES, hash_sql, plain, query
 
@@ -81,7 +85,7 @@ def balanced_classes(spark, d):
 SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM r""")
 def linear_rul_weights(spark, d):
     r = views.readings(spark, d).withColumn(models.LABEL, F.col("rul_refrigerante"))
-    fitted = models.pipeline(models.regressor("linear_regression"), ["sensor_2"], scale=True).fit(r)
+    fitted = models.pipeline(models.linear("linear_regression"), ["sensor_2"], scale=True).fit(r)
     scaler, line = fitted.stages[1], fitted.stages[2]
     slope = float(line.coefficients[0]) / float(scaler.std[0])
     # one row of weights, learnt from every reading
@@ -102,7 +106,7 @@ FROM r, w WHERE id % 5 = 0""")
 def linear_holdout(spark, d):
     """A model of one input, trained on four readings in five and judged on the others."""
     r = views.readings(spark, d).withColumn(models.LABEL, F.col("rul_refrigerante"))
-    fitted = models.pipeline(models.regressor("linear_regression"), ["sensor_2"], scale=True).fit(r.where(~_kept_back()))
+    fitted = models.pipeline(models.linear("linear_regression"), ["sensor_2"], scale=True).fit(r.where(~_kept_back()))
     seen = fitted.transform(r.where(_kept_back()))
     return plain(seen.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("prediction") - F.col(models.LABEL))).alias("mae"),
                           F.avg("prediction").alias("mean_prediction")))
@@ -114,7 +118,7 @@ FROM events WHERE event_id % 5 = 0""")
 def tree_truth(spark, d):
     """Where the class follows from one sensor, a decision tree must find it on readings it has not seen."""
     r = views.readings(spark, d).withColumn(models.LABEL, (F.col("sensor_2") >= 50).cast("double"))
-    fitted = models.pipeline(models.classifier("decision_tree"), ["sensor_1", "sensor_2"]).fit(r.where(~_kept_back()))
+    fitted = models.fit_model("decision_tree", "classification", r.where(~_kept_back()), ["sensor_1", "sensor_2"], classes=2)
     return plain(fitted.transform(r.where(_kept_back())).select("id", F.col("prediction").cast("long").alias("said")))
 
 
@@ -132,16 +136,6 @@ def train_rul(spark, d):
     return out.summary()
 
 
-def _classifier(df):
-    """The classifier a session would keep: all are trained, the best mean macro F1 wins."""
-    return _best(train.train_classifiers(df, inputs(df)))["-"]
-
-
-def _regressors(df, components, names=None):
-    """The regressors a session would keep, by component: one kind for all, of the lowest mean MAE."""
-    return _best(*[train.train_rul(df, inputs(df), f"rul_{c}", c, names=names, rul_targets=RULS) for c in components])
-
-
 def _best(*outcomes):
     metrics = outcomes[0].metrics
     for outcome in outcomes[1:]:
@@ -151,10 +145,60 @@ def _best(*outcomes):
     return {t.component: t for t in kept}
 
 
+def _store(df):
+    """Root and session of the published models of a training table: named by what the table holds."""
+    held = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
+    return f"{shared_dir(df.sparkSession)}/models", f"{held['n']}-{held['h']}"
+
+
+def _publish(outcome, root, session):
+    """All kinds of one component and their out-of-fold predictions; the metrics come last and say that all is there."""
+    for t in outcome.models.values():
+        scoring.save_model(t, root, session)
+    where = f"{root}/session={session}/task={t.task}/component={t.component}"
+    outcome.predictions.write.mode("overwrite").parquet(f"{where}/predictions")
+    outcome.metrics.write.mode("overwrite").parquet(f"{where}/metrics")
+
+
+def _published(df, components):
+    """Where the models of the components are; those that no query over this table has needed yet are trained."""
+    spark, (root, session) = df.sparkSession, _store(df)
+    where = {c: f"{root}/session={session}/task={'classification' if c == '-' else 'rul'}/component={c}" for c in components}
+    missing = [c for c in components if not path_exists(spark, f"{where[c]}/metrics")]
+    if "-" in missing:
+        _publish(train.train_classifiers(df, inputs(df)), root, session)
+    works = [partial(train.train_rul, df, inputs(df), f"rul_{c}", c, rul_targets=RULS) for c in missing if c != "-"]
+    for outcome in train.side_by_side(works):
+        _publish(outcome, root, session)
+    return root, session, where
+
+
+def _trained(df, components):
+    """The models a session would keep, by component (``-`` is the classifier): all kinds are trained, the best are
+    read back from the model store in the shared folder."""
+    spark, (root, session, where) = df.sparkSession, _published(df, components)
+    outcomes = []
+    for c in components:
+        metrics, task = spark.read.parquet(f"{where[c]}/metrics"), "classification" if c == "-" else "rul"
+        names = [r[0] for r in metrics.select("model").distinct().collect()]
+        outcomes.append(train.Outcome({n: train.Trained(n, task, c, None, None) for n in names}, None, metrics))
+    by_task = [[o for o in outcomes if _task(o) == task] for task in ("classification", "rul")]
+    best = {c: t for same in by_task if same for c, t in _best(*same).items()}
+    return {c: scoring.load_model(spark, root, session, t.task, c, t.name) for c, t in best.items()}
+
+
+def _task(outcome):
+    return next(iter(outcome.models.values())).task
+
+
+EVERYTHING = ["aceite", "frenos", "refrigerante", "-"]
+
+
 @query("scored_fleet")
 def scored_fleet(spark, d):
     df = table(spark, d)
-    plan = scoring.score_fleet(df, _classifier(df), _regressors(df, ["aceite", "frenos", "refrigerante"]))
+    models_ = _trained(df, EVERYTHING)
+    plan = scoring.score_fleet(df, models_["-"], {c: models_[c] for c in EVERYTHING[:3]})
     return maintenance.latest_per_machine(plan.select(
         "id", "timestamp", "vehiculo_id", "predicted_estado", "predicted_rul_aceite", "predicted_rul_frenos",
         "predicted_rul_refrigerante", "prioridad", "accion_recomendada"), "vehiculo_id", ["timestamp", "id"]).drop("timestamp")
@@ -164,27 +208,71 @@ def scored_fleet(spark, d):
 def holdout_metrics(spark, d):
     """Trained on four readings in five, judged on the others, which no model has seen."""
     df = table(spark, d)
-    known = df.where(~_kept_back())
-    return scoring.holdout_metrics(df.where(_kept_back()), _classifier(known), _regressors(known, ["aceite"]),
+    found = _trained(df.where(~_kept_back()), ["aceite", "-"])
+    return scoring.holdout_metrics(df.where(_kept_back()), found["-"], {"aceite": found["aceite"]},
                                    rul_targets={"aceite": "rul_aceite"}, order_by=["timestamp", "id"])
 
 
+@query("fleet_rules", f"""WITH {STATES}
+SELECT vehiculo_id, arg_max(id, (timestamp, id)) AS id, true AS ruls_floored, true AS priority_follows, true AS action_follows
+FROM states GROUP BY vehiculo_id""")
+def fleet_rules(spark, d):
+    """Priority and action of the scored fleet, recomputed from the predicted state and lives."""
+    s = scored_fleet(spark, d)
+    lives = [F.col(f"predicted_rul_{c}") for c in EVERYTHING[:3]]
+    lowest = F.array_min(F.array(*lives))
+    urgent = F.upper(F.element_at(F.array(*[F.lit(c) for c in EVERYTHING[:3]]), F.array_position(F.array(*lives), lowest).cast("int")))
+    first = (F.col("predicted_estado") == "Critico") | (lowest < 3)
+    priority = F.when(first, "ALTA").when((F.col("predicted_estado") == "Advertencia") | (lowest < 7), "MEDIA").otherwise("BAJA")
+    action = F.when(first, F.concat(F.lit("INSPECCIONAR "), urgent, F.lit(" URGENTE"))).otherwise("Seguimiento estándar")
+    return s.select("vehiculo_id", "id", (lowest >= 0).alias("ruls_floored"), (F.col("prioridad") == priority).alias("priority_follows"),
+                    (F.col("accion_recomendada") == action).alias("action_follows"))
+
+
+@query("fold_predictions", f"""WITH {STATES}, m AS (SELECT unnest(['boosted_trees', 'random_forest']) AS model)
+SELECT model, id, estado_agrupado AS y_true, 1.0 AS total, true AS likeliest FROM states, m WHERE estado_agrupado IS NOT NULL""")
+def fold_predictions(spark, d):
+    """One out-of-fold prediction per reading and kind of classifier, of the likeliest class."""
+    _, _, where = _published(table(spark, d), ["-"])
+    p = spark.read.parquet(f"{where['-']}/predictions")
+    own = F.get("proba", F.array_position(F.array(*[F.lit(c) for c in views.CLASSES]), F.col("y_pred")).cast("int") - 1)
+    return plain(p.select("model", "id", "y_true", F.aggregate("proba", F.lit(0.0), lambda a, x: a + x).alias("total"),
+                          (own == F.array_max("proba")).alias("likeliest")))
+
+
+@query("fold_predictions_rul", f"""WITH {STATES}, m AS (SELECT unnest(['boosted_trees', 'linear_regression', 'random_forest']) AS model)
+SELECT model, id, round(least(rul_aceite, {S.RUL_CEILING}), 6) AS y_true, true AS floored FROM states, m WHERE rul_aceite > 0""")
+def fold_predictions_rul(spark, d):
+    """One out-of-fold prediction per valid reading and kind of regressor, never below zero."""
+    _, _, where = _published(table(spark, d), ["aceite"])
+    p = spark.read.parquet(f"{where['aceite']}/predictions")
+    return plain(p.select("model", "id", "y_true", (F.col("y_pred") >= 0).alias("floored")))
+
+
+@query("importance_total", "SELECT 1.0 AS total, 0 AS negative FROM events LIMIT 1")
+def importance_total(spark, d):
+    """Importances of the classifier's inputs are shares."""
+    return plain(feature_importances(spark, d).agg(F.sum("importance").alias("total"), F.count_if(F.col("importance") < 0)
+                                                   .alias("negative")))
+
+
 @query("feature_importances")
 def feature_importances(spark, d):
-    return train.importances(_classifier(table(spark, d)))
+    return train.importances(_trained(table(spark, d), ["-"])["-"])
 
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
     df = table(spark, d)
-    return train.permutation_importance(_regressors(df, ["aceite"])["aceite"], df, "rul_aceite")
+    return train.permutation_importance(_trained(df, ["aceite"])["aceite"], df, "rul_aceite")
 
 
 @query("linear_attribution")
 def linear_attribution(spark, d):
     """Exact for linear models only, whose fit does not depend on the other kinds trained beside it."""
     df = table(spark, d)
-    return train.linear_attribution(_regressors(df, ["aceite"], ["linear_regression"])["aceite"], df)
+    out = train.train_rul(df, inputs(df), "rul_aceite", "aceite", names=["linear_regression"], rul_targets=RULS)
+    return train.linear_attribution(out.models["linear_regression"], df)
 
 
 @query("robust_scaling", f"WITH {STATES}, q AS (SELECT " + ", ".join(
