@@ -256,7 +256,8 @@ def best_cuts(sums: np.ndarray, bins: int, penalty: float, least: float) -> np.n
     left_g, left_h = np.cumsum(g, axis=1), np.cumsum(h, axis=1)
     all_g, all_h = left_g[:, -1:], left_h[:, -1:]
     right_g, right_h = all_g - left_g, all_h - left_h
-    gain = 0.5 * (left_g**2 / (left_h + penalty) + right_g**2 / (right_h + penalty) - all_g**2 / (all_h + penalty))
+    gain = 0.5 * sum(sign * x**2 / np.maximum(y + penalty, 1e-300) for sign, x, y in (
+        (1, left_g, left_h), (1, right_g, right_h), (-1, all_g, all_h)))
     gain[(left_h < least) | (right_h < least) | (left_h <= 0) | (right_h <= 1e-12)] = -np.inf
     cut = gain.argmax(axis=1)
     rows = np.arange(len(cut))

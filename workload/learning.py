@@ -12,7 +12,8 @@ from stationcare.functions.clock import calendar_features
 from stationcare.operators import balance as B
 from stationcare.operators import clean
 from stationcare.operators.ordered import with_index
-from stationcare.plans import maintenance, models, report, scoring, train
+from stationcare.operators.select import Selection
+from stationcare.plans import attribution, boosting, maintenance, models, report, scoring, train
 from stationcare.session import shared_dir
 from stationcare.sources.sinks import path_exists
 from workload import views
@@ -275,6 +276,31 @@ def linear_attribution(spark, d):
     return train.linear_attribution(out.models["linear_regression"], df)
 
 
+@query("attribution_adds_up", f"""WITH {STATES} SELECT id, 0.0 AS gap FROM states""")
+def attribution_adds_up(spark, d):
+    """Contributions of all inputs to the life a kept tree model predicts, less the prediction."""
+    df = table(spark, d)
+    root, session, _ = _published(df, ["aceite"])
+    kept = scoring.load_model(spark, root, session, "rul", "aceite", "boosted_trees")
+    phi = attribution.tree_attribution(kept, df)
+    total = phi.select("id", sum((F.col(c) for c in phi.columns if c.startswith("phi_")), F.col("base")).alias("t"))
+    said = kept.model.transform(kept.selection.transform(df)).select("id", "prediction")
+    return plain(said.join(total, "id").select("id", (F.col("t") - F.col("prediction")).alias("gap")))
+
+
+@query("stump_attribution", """WITH r AS (
+  SELECT event_id AS id, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) >= 50 AS high, (event_id % 7) / 10
+    + CASE WHEN CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) >= 50 THEN 40 ELSE 0 END AS y FROM events)
+SELECT id, round(avg(y) OVER (), 6) AS base, round(avg(y) OVER (PARTITION BY high) - avg(y) OVER (), 6) AS phi_sensor_2,
+  0.0 AS phi_sensor_3 FROM r""")
+def stump_attribution(spark, d):
+    """One tree with one cut: a reading's side of the cut explains how far its mean is from the mean of all."""
+    r = views.readings(spark, d).withColumn(models.LABEL, (F.col("id") % 7) / 10 + F.when(F.col("sensor_2") >= 50, 40).otherwise(0))
+    stump = boosting.fit_boosted(r, ["sensor_2", "sensor_3"], models.LABEL, 0, rounds=1, depth=1, rate=1.0, penalty=0.0)
+    kept = train.Trained("boosted_trees", "rul", "-", stump, Selection(["sensor_2", "sensor_3"], {}))
+    return plain(attribution.tree_attribution(kept, r))
+
+
 @query("robust_scaling", f"WITH {STATES}, q AS (SELECT " + ", ".join(
     f"quantile_cont({c}, 0.05) AS lo_{c}, quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.95) AS hi_{c}"
     for c in SENSORS) + " FROM states) SELECT id, " + ", ".join(
