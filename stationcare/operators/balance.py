@@ -2,69 +2,196 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stationcare import settings as S
 from stationcare.functions.hashing import stable_hash, stable_uniform
 from stationcare.operators.ordered import with_index
 from stationcare.operators.split import cap_per_class
+from stationcare.session import staged
+
+TILE = 2_048
+#: rows that steer where cells are cut, and the most blocks whose bounds travel with the tasks
+CUT_SAMPLE, MAX_BLOCKS = 20_000, 20_000
+
+
+def _cells(points: np.ndarray, leaves: int) -> list:
+    """Cuts of a k-d tree: [dimension, value, lower half, upper half], or [] for a cell. The widest side is cut."""
+    if leaves < 2 or len(points) < 2:
+        return []
+    spread = points.max(axis=0) - points.min(axis=0)
+    d = int(spread.argmax())
+    if not spread[d] > 0:
+        return []
+    value = float(np.quantile(points[:, d], (leaves // 2) / leaves, method="higher"))
+    low = points[:, d] < value
+    if not low.any():
+        value = float(np.unique(points[:, d])[1])
+        low = points[:, d] < value
+    return [d, value, _cells(points[low], leaves // 2), _cells(points[~low], leaves - leaves // 2)]
+
+
+def _cell_of(cuts: list, points: np.ndarray, first: int = 1) -> np.ndarray:
+    """Number of the cell of each point: the path through the cuts as bits."""
+    out = np.full(len(points), first, np.int64)
+    if cuts:
+        d, value, below, above = cuts
+        low = points[:, d] < value
+        out[low] = _cell_of(below, points[low], 2 * first)
+        out[~low] = _cell_of(above, points[~low], 2 * first + 1)
+    return out
 
-TILE = 8_192
 
+def _nearest(x: np.ndarray, i: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k nearest points of each row as (row, squared distance, id); equal distances go to the lower id."""
+    found = []
+    for start in range(0, len(x), 512):
+        part, own = x[start:start + 512], i[start:start + 512]
+        gap = np.zeros((len(part), len(points)))
+        for d in range(points.shape[1]):
+            gap += (part[:, d, None] - points[None, :, d]) ** 2
+        gap[own[:, None] == ids[None, :]] = np.inf
+        take = min(k, gap.shape[1])
+        reach = np.partition(gap, take - 1, axis=1)[:, take - 1]
+        row, at = np.nonzero(gap <= reach[:, None])
+        order = np.lexsort((ids[at], gap[row, at], row))
+        row, at = row[order], at[order]
+        first = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+        good = (place < take) & np.isfinite(gap[row, at])
+        found.append((row[good] + start, gap[row[good], at[good]], ids[at[good]]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-def neighbours(df: DataFrame, label: str, key: str, k: int = S.SMOTE_NEIGHBOURS,
-               tile: int = TILE) -> DataFrame:
+
+def _candidates(near: pd.DataFrame, label: str, x: np.ndarray, i: np.ndarray, k: int, seen: set, boxes: dict) -> list[list[int]]:
+    """For each row the blocks of its class that may hold a point nearer than its k-th, or as near with a lower position."""
+    own = boxes.get(label)
+    if own is None:
+        return [[] for _ in i]
+    numbers, low, high, first = own
+    reach, last = np.full(len(i), np.inf), np.full(len(i), np.iinfo(np.int64).max)
+    counts = np.bincount(near["row"], minlength=len(i))
+    ends = np.cumsum(counts) - 1
+    full = counts >= k
+    reach[full], last[full] = near["distance"].to_numpy()[ends[full]], near["j"].to_numpy()[ends[full]]
+    other = ~np.isin(numbers, list(seen))
+    out = []
+    for row, r, j in zip(x, reach, last, strict=True):
+        bound = np.zeros(len(numbers))
+        for d in range(x.shape[1]):
+            bound += np.maximum(np.maximum(low[:, d] - row[d], row[d] - high[:, d]), 0.0) ** 2
+        out.append(numbers[other & ((bound < r) | ((bound == r) & (first < j)))].tolist())
+    return out
+
+
+def _blocks(df: DataFrame, label: str, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(l, block, lead, i, x)`` in blocks of at most ``tile`` rows of one cell, and the bounds of each block.
+
+    Cells come from quantile cuts of a bounded sample; they steer only how much is looked at. A cell that cuts cannot
+    divide, for its points are equal, is divided by position; ``lead`` is its first block.
+    """
+    sizes = {r["l"]: r["n"] for r in df.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(sizes.values())
+    tile = max(tile, math.ceil(total / MAX_BLOCKS))
+    sample = df.select(F.col(label).alias("l"), "x")
+    share = CUT_SAMPLE / max(total, 1)
+    drawn = (sample.sample(False, share, S.SEED) if share < 1 else sample).limit(2 * CUT_SAMPLE).collect()
+    by: dict = {}
+    for r in drawn:
+        by.setdefault(r["l"], []).append(r["x"])
+    cuts = {c: _cells(np.array(v, float), math.ceil(sizes[c] / tile)) for c, v in by.items()}
+
+    @F.pandas_udf("long")
+    def cell(labels: pd.Series, points: pd.Series) -> pd.Series:
+        out = np.ones(len(labels), np.int64)
+        for c in labels.unique():
+            rows = (labels == c).to_numpy()
+            out[rows] = _cell_of(cuts.get(c, []), np.vstack(points[rows].to_numpy()))
+        return pd.Series(out)
+
+    celled = staged(df.select(F.col(label).alias("l"), F.col("position").alias("i"), "x", cell(F.col(label), F.col("x"))
+                              .alias("cell")), "cells")
+    placed = with_index(celled, ["i"], by=["l", "cell"], rows=total, index="_at")
+    part = F.floor((F.col("_at") - 1) / F.lit(tile)).cast("long")
+    placed = staged(placed.withColumn("part", part).drop("_at"), "blocks")
+    width = len(placed.select("x").first()["x"]) if total else 0
+    bounds = placed.groupBy("l", "cell", "part").agg(F.min("i").alias("first"), F.array(*[F.min(F.col("x")[d]) for d in range(width)])
+                                                    .alias("low"), F.array(*[F.max(F.col("x")[d]) for d in range(width)]).alias("high"))
+    numbered = [(r["l"], r["cell"], r["part"], n, r["first"], r["low"], r["high"])
+                for n, r in enumerate(bounds.orderBy("l", "cell", "part").collect())]  # at most about MAX_BLOCKS rows
+    kind = placed.schema["l"].dataType.simpleString()
+    names = df.sparkSession.createDataFrame(numbered, f"l {kind}, cell long, part long, block long, first long, "
+                                            "low array<double>, high array<double>")
+    leads = names.where("part = 0").select("l", "cell", F.col("block").alias("lead"))
+    keyed = placed.join(F.broadcast(names.select("l", "cell", "part", "block").join(leads, ["l", "cell"])), ["l", "cell", "part"])
+    return keyed.select("l", "block", "lead", "i", "x"), names
+
+
+def _first_look(df: DataFrame, label: str, k: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Rows in blocks, and for each row the nearest of its own block and the blocks it has to ask (``asked``)."""
+    rows, names = _blocks(df, label, tile)
+    boxes: dict = {}
+    for r in names.collect():
+        boxes.setdefault(r["l"], []).append(r)
+    boxes = {c: (np.array([r["block"] for r in b]), np.array([r["low"] for r in b], float), np.array([r["high"] for r in b], float),
+                 np.array([r["first"] for r in b])) for c, b in boxes.items()}
+    kind = rows.schema["l"].dataType.simpleString()
+    # the first block of a cell also goes to the other blocks of the cell
+    followers = names.select("l", "cell", "block", "part").where("part > 0").join(
+        names.where("part = 0").select("l", "cell", F.col("block").alias("lead")), ["l", "cell"]).select("lead", F.col("block").alias("_to"))
+    visitors = rows.join(F.broadcast(followers), "lead").where(F.col("block") == F.col("lead"))
+    pool = rows.select("l", "block", "lead", "i", "x", F.lit(True).alias("own")).unionByName(
+        visitors.select("l", F.col("_to").alias("block"), "lead", "i", "x", F.lit(False).alias("own")))
+
+    def inside(g: pd.DataFrame) -> pd.DataFrame:
+        points, ids = np.vstack(g["x"].to_numpy()), g["i"].to_numpy()
+        mine = g["own"].to_numpy()
+        x, i = points[mine], ids[mine]
+        row, distance, j = _nearest(x, i, points, ids, k)
+        near = pd.DataFrame({"row": row, "distance": distance, "j": j})
+        block, lead, c = g["block"].iloc[0], g["lead"].iloc[0], g["l"].iloc[0]
+        asked = _candidates(near, c, x, i, k, {block, lead}, boxes)
+        groups = np.split(np.arange(len(row)), np.cumsum(np.bincount(row, minlength=len(i)))[:-1])
+        return pd.DataFrame({"l": c, "block": block, "i": i, "x": list(x), "distance": [distance[s] for s in groups],
+                             "j": [j[s] for s in groups], "asked": asked})
+
+    found = staged(pool.groupBy("l", "block").applyInPandas(
+        inside, f"l {kind}, block long, i long, x array<double>, distance array<double>, j array<long>, asked array<long>"), "near")
+    return rows, found
+
+
+def neighbours(df: DataFrame, label: str, key: str, k: int = S.SMOTE_NEIGHBOURS, tile: int = TILE) -> DataFrame:
     """The exact ``k`` nearest rows of the same class, by position within the class.
 
-    ``df`` carries ``position`` (1..n per class), ``size`` and the vector ``x``.
-    Every pair of tiles is one small task that keeps k candidates per row, so no
-    group holds a class and no list of pairs is ever built.
+    ``df`` carries ``position`` (1..n per class), ``size`` and the vector ``x``. A row first finds the nearest of its
+    own block (and of the first block of its cell), then asks only blocks whose bounds are nearer than its k-th, or
+    as near with a lower position. A task holds two blocks, and no list of pairs is ever built.
     """
-    import numpy as np
-    import pandas as pd
-
-    tiles = F.ceil(F.col("size") / F.lit(tile)).cast("int")
-    mine = F.floor((F.col("position") - 1) / F.lit(tile)).cast("int")
-    others = F.sequence(F.lit(0), tiles - 1)
-    left = df.select(F.col(label).alias("l"), mine.alias("a"), F.explode(others).alias("b"),
-                     F.col("position").alias("i"), "x")
-    right = df.select(F.col(label).alias("l"), F.explode(others).alias("a"), mine.alias("b"),
-                      F.col("position").alias("j"), F.col("x").alias("y"))
-    names = ["l", "i", "distance", "j"]
-
-    def nearest(rows: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or pool.empty:
-            return pd.DataFrame(columns=names)
-        points, ids = np.vstack(pool["y"].to_numpy()), pool["j"].to_numpy()
-        found = []
-        for start in range(0, len(rows), 512):
-            part = rows.iloc[start:start + 512]
-            x, i = np.vstack(part["x"].to_numpy()), part["i"].to_numpy()
-            gap = np.zeros((len(x), len(points)))
-            for d in range(points.shape[1]):
-                gap += (x[:, d, None] - points[None, :, d]) ** 2
-            gap[i[:, None] == ids[None, :]] = np.inf
-            take = min(k, gap.shape[1])
-            reach = np.partition(gap, take - 1, axis=1)[:, take - 1]
-            row, at = np.nonzero(gap <= reach[:, None])
-            # ties at the k-th distance resolve to the lower position
-            order = np.lexsort((ids[at], gap[row, at], row))
-            row, at = row[order], at[order]
-            first = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
-            place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
-            row, at = row[place < take], at[place < take]
-            found.append(pd.DataFrame({"l": part["l"].iloc[0], "i": i[row], "distance": gap[row, at],
-                                       "j": ids[at]}))
-        out = pd.concat(found)
-        return out[np.isfinite(out["distance"])]
+    rows, found = _first_look(df, label, k, tile)
+    kind = rows.schema["l"].dataType.simpleString()
+    asking = found.select("l", F.col("block").alias("a"), F.explode("asked").alias("b"), "i", "x")
+    pairs = found.select(F.col("block").alias("_a"), F.explode("asked").alias("_b")).distinct()
+    hosts = rows.join(pairs, F.col("block") == F.col("_b")).select(
+        "l", F.col("_a").alias("a"), F.col("_b").alias("b"), F.col("i").alias("j"), F.col("x").alias("y"))
 
-    kind = df.schema[label].dataType.simpleString()
-    close = left.groupBy("l", "a", "b").cogroup(right.groupBy("l", "a", "b")).applyInPandas(
-        nearest, f"l {kind}, i long, distance double, j long")
+    def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names_ = ["l", "i", "distance", "j"]
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=names_)
+        i = left["i"].to_numpy()
+        row, distance, j = _nearest(np.vstack(left["x"].to_numpy()), i, np.vstack(right["y"].to_numpy()), right["j"].to_numpy(), k)
+        return pd.DataFrame({"l": left["l"].iloc[0], "i": i[row], "distance": distance, "j": j})
+
+    more = asking.groupBy("l", "a", "b").cogroup(hosts.groupBy("l", "a", "b")).applyInPandas(
+        across, f"l {kind}, i long, distance double, j long")
+    first = found.select("l", "i", F.explode(F.arrays_zip("distance", "j")).alias("n")).select("l", "i", "n.distance", "n.j")
     best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "j"))), 1, k)
-    return (close.groupBy("l", "i").agg(best.alias("near"))
+    return (first.unionByName(more).groupBy("l", "i").agg(best.alias("near"))
             .select(F.col("l").alias(label), F.col("i").alias("position"),
                     F.posexplode("near").alias("rank", "n"))
             .select(label, "position", (F.col("rank") + 1).alias("rank"),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationcare import settings as S
 from stationcare.functions import states
+from stationcare.operators.tables import settled
 
 
 def _ruls(df: DataFrame) -> dict[str, Column]:
@@ -25,9 +26,16 @@ def urgent_component(df: DataFrame) -> DataFrame:
 
 
 def latest_per_machine(df: DataFrame, machine_id: str, order_by: list[str]) -> DataFrame:
-    """Last row of every machine, by aggregation."""
-    row = F.max_by(F.struct(*df.columns), F.struct(*order_by)).alias("_r")
-    return df.groupBy(F.col(machine_id).alias("_g")).agg(row).select("_r.*")
+    """Last row of every machine; of rows with one order key, any one.
+
+    The order keys alone are aggregated, then the rows that hold the last key of their machine are looked up, so
+    wide rows are neither sorted nor moved unless they win.
+    """
+    last = df.groupBy(F.col(machine_id).alias("_g")).agg(F.max(F.struct(*order_by)).alias("_k"))
+    key = F.struct(*order_by)
+    won = df.join(settled(last), F.col(machine_id).eqNullSafe(F.col("_g")) & key.eqNullSafe(F.col("_k"))).drop("_g", "_k")
+    place = F.row_number().over(Window.partitionBy(machine_id).orderBy(*order_by))
+    return won.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def fleet_kpis(plan: DataFrame, machine_id: str) -> DataFrame:

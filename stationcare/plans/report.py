@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from stationcare import settings as S
@@ -10,6 +12,7 @@ from stationcare.functions.states import is_critical
 from stationcare.operators.class_metrics import confusion, per_class
 from stationcare.operators.profile import class_share
 from stationcare.operators.quantiles import quantiles
+from stationcare.sources.sinks import append_rows
 
 
 def relative_week(df: DataFrame, timestamp: str, name: str = "semana_relativa",
@@ -150,9 +153,28 @@ def recommendations(report: DataFrame) -> DataFrame:
     return report.select(F.posexplode("recommendations").alias("position", "recommendation"))
 
 
-def processing_report(before: DataFrame, after: DataFrame, rows: int, seconds: float) -> DataFrame:
-    """Rows, rows per second and columns added, for the run manifest."""
-    added = len(set(after.columns) - set(before.columns))
-    row = [(rows, seconds, rows / seconds if seconds > 0 else None, added, len(after.columns))]
-    return before.sparkSession.createDataFrame(
-        row, "rows long, seconds double, rows_per_second double, columns_added int, columns int")
+def write_reported(before: DataFrame, after: DataFrame, path: str, manifest: str | None = None) -> DataFrame:
+    """Write ``after`` and report on that very write: rows, seconds, bytes, columns, NULLs of each new column.
+
+    Everything counted is observed while the rows go by, so there is no second scan. Lines are ``kind, name, value``;
+    with ``manifest`` they are also appended there, under the path that was written.
+    """
+    spark = after.sparkSession
+    new = [c for c in after.columns if c not in set(before.columns)]
+    seen = Observation()
+    counted = after.observe(seen, F.count(F.lit(1)).alias("rows"), *[
+        F.count_if(F.col(c).isNull()).alias(f"nulls_{i}") for i, c in enumerate(new)])
+    start = time.monotonic()
+    counted.write.mode("overwrite").parquet(path)
+    seconds = time.monotonic() - start
+    found = seen.get
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(where).getLength()
+    lines = [("rows", "", float(found["rows"])), ("seconds", "", seconds), ("bytes", "", float(size)),
+             ("rows_per_second", "", found["rows"] / seconds if seconds > 0 else None),
+             ("columns", "", float(len(after.columns))), ("columns_added", "", float(len(new)))]
+    lines += [("nulls", c, float(found[f"nulls_{i}"])) for i, c in enumerate(new)]
+    report = spark.createDataFrame(lines, "kind string, name string, value double")
+    if manifest is not None:
+        append_rows(report.withColumn("path", F.lit(path)), manifest)
+    return report

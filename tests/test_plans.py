@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stationcare import settings as S
 from stationcare.operators.ordered import INDEX
-from stationcare.plans import features, maintenance, preprocess, scoring, session_run, split_job, train
+from stationcare.plans import features, maintenance, preprocess, report, scoring, session_run, split_job, train
 from stationcare.roles import detect_roles
 from stationcare.session import shared_dir
 from stationcare.streaming import plan as streaming
@@ -227,3 +227,27 @@ def test_shared_dir_prefers_the_session_setting():
         conf = Conf()
 
     assert shared_dir(Session()) == "/shared/folder"
+
+
+def test_last_rows_are_looked_up_late(spark, fleet):
+    import re
+
+    wide = fleet.select("vehiculo_id", "timestamp", "id", "estado_sistema", "sensor_presion_aceite_bar")
+    none = spark.createDataFrame([(None, None, 1, "a", 1.0), (None, "t", 2, "b", 2.0), (None, "t", 2, "b", 2.0)], wide.schema)
+    both = wide.unionByName(none)
+    got = maintenance.latest_per_machine(both, "vehiculo_id", ["timestamp", "id"])
+    want = both.toPandas().sort_values(["timestamp", "id"], na_position="first").groupby("vehiculo_id", dropna=False).tail(1)
+    assert sorted(r["id"] for r in got.collect()) == sorted(want["id"])
+    assert got.where("vehiculo_id is null").first()["estado_sistema"] == "b"
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any("estado_sistema" in line for line in plan.split("\n") if re.search("SortAggregate|ObjectHashAggregate", line))
+
+
+def test_a_write_reports_on_itself(spark, fleet, tmp_path):
+    after = fleet.withColumns({"a": F.when(F.col("id") % 3 == 0, 1), "b": F.lit("x")})
+    got = {(r["kind"], r["name"]): r["value"] for r in report.write_reported(
+        fleet, after, str(tmp_path / "t"), str(tmp_path / "m")).collect()}
+    assert got["rows", ""] == 3000 and got["nulls", "a"] == 2000 and got["nulls", "b"] == 0
+    assert got["columns_added", ""] == 2 and got["columns", ""] == len(fleet.columns) + 2 and got["bytes", ""] > 1000
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3000
+    assert spark.read.parquet(str(tmp_path / "m")).where("kind = 'rows'").first()["path"] == str(tmp_path / "t")

@@ -112,6 +112,34 @@ def test_neighbours_equal_brute_force(spark):
         assert got[i + 1] == [j for _, j in gap[:5]]
 
 
+def test_neighbours_over_many_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    p = np.round(rng.normal(size=(500, 2)), 1)
+    p[300:] = p[7]  # equal points fill several blocks
+    df = spark.createDataFrame([("k", i + 1, 500, [float(v) for v in r]) for i, r in enumerate(p)],
+                               "c string, position long, size long, x array<double>").repartition(3)
+    got = {}
+    for r in balance.neighbours(df, "c", "id", 5, tile=20).orderBy("position", "rank").collect():
+        got.setdefault(r["position"], []).append((r["squared_distance"], r["neighbour"]))
+    for i in range(500):
+        gap = sorted((float((p[i, 0] - p[j, 0]) ** 2 + (p[i, 1] - p[j, 1]) ** 2), j + 1) for j in range(500) if j != i)
+        assert got[i + 1] == gap[:5]
+
+
+def test_blocks_asked_grow_with_the_rows(spark):
+    def asked(n, equal=0):
+        p = np.random.default_rng(n).random((n, 2))
+        p[:equal] = .5
+        df = spark.createDataFrame([("k", i + 1, [float(v) for v in r]) for i, r in enumerate(p)],
+                                   "c string, position long, x array<double>")
+        _, found = balance._first_look(df, "c", 5, 64)
+        return found.select("block", F.explode("asked").alias("b")).distinct().count()
+
+    small, large = asked(1500), asked(6000)
+    assert large < 6 * small  # all pairs of blocks would be 16 times as many
+    assert asked(6000, 2000) < 1.5 * large  # equal points need not meet
+
+
 def test_smote_levels_classes_between_neighbours(rows):
     got = balance.smote(rows, "c", "id", ["x", "y"], tile=128)
     sizes = {r["count"] for r in got.groupBy("c").count().collect()}

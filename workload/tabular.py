@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stationcare import settings as S
 from stationcare.functions import clock, physics, rows, states
 from stationcare.operators import clean, profile, select, split
 from stationcare.plans import report
+from stationcare.session import shared_dir
 from stationcare.sources import tables
 from workload import views
 from workload.registry import GROUPED, READINGS, RULS, STATES, hash_sql, plain, query
@@ -409,6 +412,27 @@ def sensor_ratios(spark, d):
     return small.join(rest, "id")
 
 
+@query("processing_report", f"""WITH {READINGS}, r AS (SELECT {RATIOS} FROM readings),
+x AS (SELECT 'rows' AS kind, '' AS name, count(*) AS value FROM readings UNION ALL SELECT 'columns', '', 16
+  UNION ALL SELECT 'columns_added', '', 4 UNION ALL SELECT 'timed and sized', '', 3
+  UNION ALL SELECT 'nulls', 'sensor_ratio_01', count_if(r01 IS NULL) FROM r
+  UNION ALL SELECT 'nulls', 'sensor_ratio_02', count_if(r02 IS NULL) FROM r
+  UNION ALL SELECT 'nulls', 'sensor_ratio_12', count_if(r12 IS NULL) FROM r
+  UNION ALL SELECT 'nulls', 'horas_por_sensor', count_if(sensor_3 = 0) FROM readings)
+SELECT kind, name, CAST(value AS DOUBLE) AS value FROM x""")
+def processing_report(spark, d):
+    """What the write of a table with four new columns says of itself, read back from the run manifest."""
+    r = views.readings(spark, d)
+    after = r.withColumns(rows.ratios([F.col(c) for c in SENSORS]) | {"horas_por_sensor": F.try_divide("horas", "sensor_3")})
+    root = f"{shared_dir(spark)}/reports/{uuid.uuid4().hex}"
+    report.write_reported(r, after, f"{root}/table", f"{root}/manifest")
+    lines = spark.read.parquet(f"{root}/manifest")
+    measured = F.col("kind").isin("seconds", "bytes", "rows_per_second")
+    counted = lines.where(~measured).select("kind", "name", "value")
+    return counted.unionByName(lines.where(measured & (F.col("value") > 0)).agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+        F.lit("timed and sized").alias("kind"), F.lit("").alias("name"), "value"))
+
+
 _TEMP = "(15 + sensor_1 % 20)"
 _HEALTH = "(0.3 + (id % 71) / 100)"
 
