@@ -1,9 +1,10 @@
 """Lexical retrieval packing: training sequences whose documents share rare tokens.
 
 Each task cuts its rows into shards of bounded size. A shard builds a BM25 inverted index over the token ids of
-its documents; a seed document asks the index for unused neighbours, which fill the seed's window greedily:
-best first while whole documents fit, then the best remaining one is cut to close the window and its rest seeds
-the next one. The window that is open at the end of a shard goes on into the next shard.
+its documents; the first document of a window is its seed and asks the index, with all of its tokens, for unused
+neighbours, which fill the window greedily: best first while whole documents fit, then the best remaining one is cut
+to close the window and its rest seeds the next one. The window that is open at the end of a shard goes on into the
+next shard.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from stationcare.llm.tokens import Tokenizer
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 1_000_000
-QUERY_TERMS = 24
-NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 PIECE_BYTES = 2 << 20
 
@@ -53,22 +52,23 @@ class Index:
         self.shared = df > 1
         self.size = len(sizes)
 
-    def neighbours(self, query: np.ndarray, used: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
-        """Unused documents by falling score for the query's rarest shared tokens; ties by position."""
+    def scores(self, query: np.ndarray) -> np.ndarray:
+        """BM25 score of every document for all tokens of the query that several documents hold."""
         wanted = np.unique(query)
         slot = np.minimum(np.searchsorted(self.terms, wanted), len(self.terms) - 1)
         slot = slot[(self.terms[slot] == wanted) & self.shared[slot]]
-        if len(slot) > QUERY_TERMS:
-            slot = slot[np.argsort(-self.idf[slot], kind="stable")[:QUERY_TERMS]]
-        scores = np.zeros(self.size)
-        for s in slot.tolist():
-            a, b = self.at[s], self.at[s + 1]
-            scores[self.docs[a:b]] += self.weights[a:b]  # a document stands once in a list
-        scores[used] = 0
-        found = np.flatnonzero(scores)
-        if len(found) > most:
-            found = found[np.argpartition(-scores[found], most)[:most]]
-        return found[np.lexsort((found, -scores[found]))]
+        begin, sizes = self.at[slot], self.at[slot + 1] - self.at[slot]
+        spots = np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
+        return np.bincount(self.docs[spots], self.weights[spots], self.size)
+
+    def neighbours(self, query: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """Unused documents that share a token with the query, by falling score; ties by position."""
+        return ranked(self.scores(query), used)
+
+
+def ranked(scores: np.ndarray, used: np.ndarray) -> np.ndarray:
+    found = np.flatnonzero((scores > 0) & ~used)
+    return found[np.lexsort((found, -scores[found]))]
 
 
 class Packer:
@@ -77,13 +77,17 @@ class Packer:
     def __init__(self, window: int, first_sequence: int, with_ids: bool):
         self.window, self.sequence, self.with_ids = window, first_sequence, with_ids
         self.fill, self.open, self.seed, self.rows = 0, [], np.zeros(0, np.int32), []
+        self.scores: np.ndarray | None = None  # of the seed in the present shard, once asked for
 
-    def put(self, doc: tuple, ids: np.ndarray, start: int) -> None:
-        """Lay ids of one document (from ``start`` of its ids) into windows, closing each that fills up."""
+    def put(self, doc: tuple, ids: np.ndarray) -> None:
+        """Lay the ids of one document into windows, closing each that fills up."""
+        start, whole = 0, ids
         while len(ids):
             part = ids[:self.window - self.fill]
+            if not self.fill:
+                self.seed, self.scores = whole, None
             self.open.append((*doc, start, part, self.fill))
-            self.fill, self.seed = self.fill + len(part), part
+            self.fill += len(part)
             start, ids = start + len(part), ids[len(part):]
             if self.fill == self.window:
                 self.close()
@@ -114,14 +118,14 @@ class Packer:
     def shard(self, docs: list[tuple], ids: np.ndarray, at: np.ndarray) -> None:
         """Pack all documents of a shard; ``docs`` holds (doc_id, number of ids)."""
         sizes = np.diff(at)
-        starts = np.zeros(len(sizes), np.int64)
         index = Index(ids, at)
+        self.scores = None
         used = np.zeros(len(sizes), bool)
         following = 0
 
         def lay(i: int) -> None:
             used[i] = True
-            self.put(docs[i], ids[at[i] + starts[i]:at[i + 1]], int(starts[i]))
+            self.put(docs[i], ids[at[i]:at[i + 1]])
 
         while True:
             while following < len(sizes) and used[following]:
@@ -131,7 +135,9 @@ class Packer:
             if not self.fill:
                 lay(following)
                 continue
-            best = index.neighbours(self.seed, used)
+            if self.scores is None:
+                self.scores = index.scores(self.seed)
+            best = ranked(self.scores, used)
             sequence = self.sequence
             cut = None
             for i in best.tolist():

@@ -93,6 +93,76 @@ def test_index_equals_plain_bm25():
     assert index.neighbours(query, used).tolist() == want
 
 
+def plain_bm25(docs, query):
+    """Score of each document for all tokens of the query that several documents hold."""
+    mean, scores = np.mean([len(d) for d in docs]), np.zeros(len(docs))
+    for term in set(query.tolist()):
+        tf = np.array([(d == term).sum() for d in docs])
+        df = (tf > 0).sum()
+        if df > 1:
+            norm = packing.K1 * (1 - packing.B + packing.B * np.array([len(d) for d in docs]) / mean)
+            scores += np.log1p((len(docs) - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + norm)
+    return scores
+
+
+def plain_packing(docs, window):
+    """(document, start, length) in the order laid: seeds by position, each window filled for its first document."""
+    laid, left, fill, seed, used = [], {i: len(d) for i, d in enumerate(docs)}, 0, None, set()
+
+    def lay(i):
+        nonlocal fill, seed
+        used.add(i)
+        while left[i]:
+            if not fill:
+                seed = i
+            part = min(left[i], window - fill)
+            laid.append((i, len(docs[i]) - left[i], part))
+            left[i] -= part
+            fill = (fill + part) % window
+
+    while len(used) < len(docs):
+        following = min(set(range(len(docs))) - used)
+        if not fill:
+            lay(following)
+            continue
+        scores = plain_bm25(docs, docs[seed])
+        best = sorted((i for i in range(len(docs)) if scores[i] > 0 and i not in used), key=lambda i: (-round(scores[i], 9), i))
+        cut, closed = None, False
+        for i in best:
+            if len(docs[i]) <= window - fill:
+                lay(i)
+                closed = not fill
+                if closed:
+                    break
+            elif cut is None:
+                cut = i
+        if not closed:
+            lay(cut if cut is not None else following) if cut is not None or not best else None
+    return laid
+
+
+def test_long_queries_equal_plain_bm25():
+    rng = np.random.default_rng(5)
+    docs = [rng.zipf(1.3, rng.integers(1, 400)).clip(0, 900).astype(np.int32) for _ in range(80)]
+    index = packing.Index(np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))
+    for query in [rng.choice(900, 200, replace=False).astype(np.int32), *docs[:20]]:
+        scores = plain_bm25(docs, query)
+        np.testing.assert_allclose(index.scores(query), scores, atol=1e-9)
+        top = sorted(range(80), key=lambda i: (-round(scores[i], 9), i))[:10]
+        assert index.neighbours(query, np.zeros(80, bool))[:10].tolist() == [i for i in top if scores[i] > 0]
+
+
+@pytest.mark.parametrize("window", [64, 256])
+def test_windows_are_filled_for_their_first_document(window):
+    rng = np.random.default_rng(window)
+    docs = [np.append(rng.integers(2 + 40 * (i % 4), 60 + 40 * (i % 4), rng.integers(1, 200)), 1).astype(np.int32) for i in range(60)]
+    packer = packing.Packer(window, 0, False)
+    at = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    packer.shard([(i, len(d)) for i, d in enumerate(docs)], np.concatenate(docs), at)
+    got = [(r[0], r[1], r[2]) for r in packer.rows] + [(doc, start, len(part)) for doc, _, start, part, _ in packer.open]
+    assert got == plain_packing(docs, window)
+
+
 def test_neighbours_share_windows(spark):
     """Documents on one subject, dealt out in turn, end up beside each other."""
     rng = random.Random(9)
