@@ -38,13 +38,16 @@ def shingle_places(docs: DataFrame, shingles: DataFrame, grams: int, small: bool
     parts = F.split("shingle", " ")
     keys = shingles.select("shingle", *[F.get(parts, F.lit(i)).alias(f"_w{i}") for i in range(grams)])
     keys = keys.withColumn("_key", F.xxhash64(*[f"_w{i}" for i in range(grams)]))
-    placed = placed_words(docs).filter("place > 0")
+    # only the words of a place go on from here, never the whole list of them
     ahead = [F.col("word"), *[F.get("words", F.col("place") + i) for i in range(1, grams)]]
-    on = F.xxhash64(*ahead) == F.col("_key")
-    for i, w in enumerate(ahead):
-        on &= w == F.col(f"_w{i}")
+    placed = placed_words(docs).filter((F.col("place") > 0) & ahead[-1].isNotNull()).select(
+        "doc_id", "text_hash", (F.size("words") - 1).alias("n_words"), (F.col("place") - 1).alias("place"),
+        F.xxhash64(*ahead).alias("_hash"), *[w.alias(f"_a{i}") for i, w in enumerate(ahead)])
+    on = F.col("_hash") == F.col("_key")
+    for i in range(grams):
+        on &= F.col(f"_a{i}") == F.col(f"_w{i}")
     return placed.join(F.broadcast(keys) if small else keys, on).select(
-        "doc_id", "text_hash", (F.size("words") - 1).alias("n_words"), (F.col("place") - 1).alias("place"), "shingle")
+        "doc_id", "text_hash", "n_words", "place", "shingle")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 from llm import brute
 
 from stationcare.llm import decontaminate, licenses
@@ -44,6 +46,19 @@ def test_decontamination_plan_has_no_python(spark, docs):
         assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def test_no_exchange_carries_the_words_of_a_text(spark, docs):
+    shingles = spark.range(1).selectExpr("'one two three' AS shingle")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = decontaminate.shingle_places(docs, shingles, 3, False)
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning(_hash" in line)
+    assert "Project [" in lines[at + 1] and " AS _a2#" in lines[at + 1]
+    assert not re.search(r", words#\d+[,\]]", lines[at + 1])
+
+
 LICENSED = [
     (1, "Released under the MIT License."), (2, "mit-license MIT  license, the mit license"),
     (3, "Apache License and the GNU General Public License; general public license"), (4, "mit"), (5, None), (6, ""),
