@@ -47,7 +47,7 @@ def test_decontamination_plan_has_no_python(spark, docs):
 
 
 def test_no_exchange_carries_the_words_of_a_text(spark, docs):
-    shingles = spark.range(1).selectExpr("'one two three' AS shingle")
+    shingles = docs.selectExpr("text AS shingle")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = decontaminate.shingle_places(docs, shingles, 3, False)
