@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STAGES = ["features", "classification", "rul"]
@@ -112,6 +112,41 @@ def manifest_row(spark: SparkSession, run_id: int, date: str, version: str, rows
                        "es_enriquecido", text(enrichment).alias("config_enriquecimiento_json"))
 
 
+def publish_manifest(manifest: DataFrame, path: str) -> int:
+    """Write the whole manifest as its next version; columns it does not have yet are NULL. Readers see whole versions."""
+    version = manifest_version(manifest.sparkSession, path) + 1
+    have = set(manifest.columns)
+    columns = [part.strip().split(" ") for part in MANIFEST.split(",")]
+    wide = manifest.select(*[F.col(n).cast(k).alias(n) if n in have else F.lit(None).cast(k).alias(n) for n, k in columns])
+    wide.write.mode("overwrite").parquet(f"{path}/version={version}")
+    return version
+
+
+def manifest_version(spark: SparkSession, path: str) -> int:
+    """Number of the last version whose write finished, 0 without any."""
+    version = 0
+    while path_exists(spark, f"{path}/version={version + 1}"):
+        version += 1
+    return version
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(f"{path}/version={manifest_version(spark, path)}")
+
+
+def nested_setting(text: Column, where: str, kind: str) -> Column:
+    """A value inside JSON settings, as ``$.a.b[0]``; NULL where the text or the place is none."""
+    return F.try_variant_get(F.try_parse_json(text), where, kind)
+
+
+def enriched_latest(manifest: DataFrame, enrichment: Column) -> DataFrame:
+    """The manifest with the run of the largest id marked as enriched, with its settings as JSON."""
+    last = F.col("id") == manifest.agg(F.max("id")).scalar()
+    return manifest.withColumns({
+        "es_enriquecido": F.when(last, True).otherwise(F.col("es_enriquecido")),
+        "config_enriquecimiento_json": F.when(last, F.to_json(enrichment)).otherwise(F.col("config_enriquecimiento_json"))})
+
+
 def latest_run(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.max_by(F.struct(*manifest.columns), F.col("id")).alias("_r")).select("_r.*")
 
