@@ -13,7 +13,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 DIR = "/root/testdata/sf0.001"
 # the feature guards depend on the row count; this SQL assumes at least 10,000 rows
-LARGER = {n: "/root/testdata/sf0.01" for n in ("engineered_features", "engineered_profiles", "profile_windows")}
+LARGER = {n: "/root/testdata/sf0.01" for n in ("engineered_features", "engineered_profiles", "profile_windows",
+                                               "tree_truth", "stump_attribution")}
 
 
 def comparable(value):
