@@ -113,17 +113,18 @@ def edited_fingerprints(docs: DataFrame, hashes: int = HASHES, words: int = SHIN
     text without a word has the fingerprint ``ffff...``. An empty table gives an empty table; other columns
     are not read.
 
-    Rows fall into buckets of consecutive doc_ids. The first row of each bucket is also sent to the bucket
+    Rows fall into buckets of consecutive (doc_id, hash of the text), so different texts of one doc_id spread. The first row of each bucket is also sent to the bucket
     before it, so each task finds every successor without a window over the whole table. The driver holds one
     key per bucket.
     """
     spark = docs.sparkSession
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    named = named.withColumn("_hash", F.xxhash64("text"))
     rows = named.count()
     if buckets is None:
         parallel = 4 * spark.sparkContext.defaultParallelism
         buckets = int(min(MAX_BUCKETS, max(parallel, rows // ROWS_PER_BUCKET), max(1, rows // 500)))
-    placed = bucketed(named, ["doc_id"], rows=rows, buckets=buckets).withColumn("_hash", F.xxhash64("text"))
+    placed = bucketed(named, ["doc_id", "_hash"], rows=rows, buckets=buckets)
     # the bucket's first row in descending order; nulls are smallest
     heads = (placed.groupBy("_bucket").agg(F.max(F.struct("doc_id", "_hash")).alias("_head"))
              .select("_bucket", "_head.doc_id", "_head._hash").orderBy("_bucket").collect())

@@ -97,3 +97,15 @@ def test_edited_fingerprints_of_odd_tables(spark):
     assert one[0]["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one[0]["near_next"] == 1.0
     odd = spark.createDataFrame([(None, "x y"), (None, None), (3, "a"), (3, "a"), (3, "b")], schema)
     assert len(fingerprint.edited_fingerprints(odd, buckets=3).collect()) == 5
+
+
+def test_texts_of_one_hot_doc_id_spread_over_buckets(spark):
+    from stationcare.operators.ordered import bucketed
+
+    rows = [(7 if i % 3 else i, f"text number {i} of many") for i in range(900)] + [(None, f"nameless {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = [r["count"] for r in bucketed(df.selectExpr("doc_id", "xxhash64(text) AS h"), ["doc_id", "h"], buckets=12)
+             .groupBy("_bucket").count().collect()]
+    assert max(sizes) < 300
+    one, many = (sorted(map(tuple, fingerprint.edited_fingerprints(df, buckets=n).collect()), key=str) for n in (1, 12))
+    assert one == many and len(one) == 1200
