@@ -24,7 +24,8 @@ from stationcare.operators.tables import settled
 UNKNOWN = "und"
 DICTIONARY_BYTES = 32_768
 PARTS = 4
-#: The fit reads a sample: at most so many texts a language, and so many characters of each.
+#: The fit reads a sample: at most so many texts a language, a stretch of each from a hashed place, all cut to
+#: equal shares of PARTS * DICTIONARY_BYTES.
 SAMPLE_TEXTS = 512
 SAMPLE_CHARS = 1_000
 BLOCK_BYTES = 1_024
@@ -64,24 +65,40 @@ class Dictionaries:
         return out
 
 
-def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> Dictionaries:
-    """Dictionaries from ``doc_id, text, lang`` rows: at most ``texts`` texts a language, picked by a hash.
+def drawn(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
+    """``lang, rank, text``: at most ``texts`` different texts a language, a stretch of SAMPLE_CHARS of each.
 
-    The driver receives at most ``texts * SAMPLE_CHARS`` characters a language. Rows without text or language do
-    not count.
+    The hash of doc_id and text draws, so texts that share a doc_id (or have none) are drawn one by one and
+    repeated rows count once. The stretch begins at a hashed place, so that common openings do not dominate.
     """
     known = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(1 << 30)) / F.lit(1 << 30)
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).select(F.col("lang").alias("_lang"), "_n")
+    cells = F.lit(1 << 52)
+    hashed = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("_hash"))
+    counts = (hashed.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("_n"))
+              .select(F.col("lang").alias("_lang"), "_n"))
     # a thinned table first, where the rows lie, so that no task sees a whole language
-    thin = (known.select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), draw.alias("_draw"))
+    thin = (hashed.withColumn("_draw", F.pmod(F.xxhash64("_hash", F.lit("dictionary")), cells) / cells)
             .join(settled(counts), F.col("lang") == F.col("_lang")).filter(F.col("_draw") * F.col("_n") < 4 * texts))
-    ranked = thin.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "text")))
-    rows = ranked.filter(F.col("_rank") <= texts).select("lang", "_rank", "text").collect()
+    last = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    start = (F.pmod(F.xxhash64("_hash", F.lit("place")), last) + 1).cast("int")
+    once = thin.select("lang", "_draw", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text")).distinct()
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "text")))
+    return ranked.filter(F.col("rank") <= texts).select("lang", "rank", "text")
+
+
+def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> Dictionaries:
+    """Dictionaries from ``doc_id, text, lang`` rows: at most ``texts`` texts a language, see ``drawn``.
+
+    Every text drawn gives the same number of bytes at most, so that all of them fit in the dictionaries. The
+    driver receives at most ``texts * SAMPLE_CHARS`` characters a language. Rows without text or language do not
+    count, repeated rows count once; an empty table teaches no language, and all predictions are ``und``.
+    """
     found: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["_rank"])):
+    for r in sorted(drawn(labelled, texts).collect(), key=lambda r: (r["lang"], r["rank"])):
         found.setdefault(r["lang"], []).append(fold(r["text"]))
-    return Dictionaries({lang: b" ".join(parts)[:PARTS * DICTIONARY_BYTES] for lang, parts in found.items()})
+    room = PARTS * DICTIONARY_BYTES
+    return Dictionaries({lang: b" ".join(p[:max(room // len(parts) - 1, 1)] for p in parts)[:room]
+                         for lang, parts in found.items()})
 
 
 def _sizes(raw: bytes, coders: list[tuple[str, list]]) -> np.ndarray:
@@ -102,6 +119,8 @@ def predict(docs: DataFrame, model: Dictionaries, reject: float = REJECT) -> Dat
     ``margin`` is how much larger the second smallest encoding is, relative to it; ``score`` rises with it from
     0.5 to 1; ``rejected`` marks margins under ``reject``, where ``lang_pred`` is still the smallest (ties: first
     by name). ``und`` with score 0, rejected: the text is null or has no letter, or no language was learned.
+    One row per row of ``docs``, repeated rows included; an empty table gives an empty table; other columns are
+    not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

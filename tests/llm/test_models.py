@@ -104,3 +104,58 @@ def test_dictionaries_are_bounded(spark, n):
     rows = [(i, prose(rng, 400), "aa" if i % 2 else "bb") for i in range(40)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), texts=n)
     assert all(0 < len(t) <= n * (language.SAMPLE_CHARS + 1) * 2 for t in model.texts.values())
+
+
+def test_draw_spreads_over_texts_of_one_doc_id(spark):
+    rng = random.Random(6)
+    rows = [(None, prose(rng, 300), "aa") for _ in range(3000)] + [(7, "the same text again " * 20, "bb")] * 5000
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.drawn(table).collect()
+    counts = {k: sum(r["lang"] == k for r in got) for k in ("aa", "bb")}
+    assert counts == {"aa": language.SAMPLE_TEXTS, "bb": 1}
+    whole = {t for _, t, lang in rows if lang == "aa"}
+    aa = [r["text"] for r in got if r["lang"] == "aa"]
+    assert all(len(t) <= language.SAMPLE_CHARS for t in aa)
+    assert sum(any(t.startswith(x) for t in whole) for x in aa[:40]) < 20
+    model = language.fit(table)
+    room = language.PARTS * language.DICTIONARY_BYTES
+    share = room // language.SAMPLE_TEXTS - 1
+    assert len(model.texts["aa"]) <= room and all(language.fold(t)[:share] in model.texts["aa"] for t in aa)
+
+
+def test_prediction_equals_plain_sizes(spark):
+    """Sizes of 50 texts, recomputed one by one with coders made here."""
+    import zstandard
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(table.select("doc_id", "text", "lang"))
+    some = [r for r in table.select("doc_id", "text").orderBy("doc_id").limit(50).collect() if r["text"]]
+    extra = spark.createDataFrame([(r["doc_id"], r["text"], "x", 1.0) for r in some],
+                                  "doc_id long, text string, lang_pred string, score double")
+    got = {r["doc_id"]: r for r in language.predict(extra, model).collect()}
+    assert len(got) == len(some)
+    size = language.DICTIONARY_BYTES
+
+    def plain(raw, level, parts):
+        sums = {}
+        for lang, text in model.texts.items():
+            sums[lang] = 0
+            for k in range(parts):
+                content = text[k * size:(k + 1) * size]
+                known = zstandard.ZstdCompressionDict(content if len(content) >= size // 2 else text[:size],
+                                                      dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                for at in range(0, len(raw), language.BLOCK_BYTES):
+                    coder = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False,
+                                                     write_checksum=False, write_dict_id=False)
+                    sums[lang] += len(coder.compress(raw[at:at + language.BLOCK_BYTES]))
+        first, second = sorted(sums.values())[:2]
+        return min(sorted(sums), key=sums.get), (second - first) / second
+
+    for r in some:
+        raw = language.fold(r["text"])
+        lang, margin = plain(raw, language.LEVEL, 1)
+        if margin < language.NARROW or len(raw) < language.SHORT_BYTES:
+            lang, margin = plain(raw, language.SECOND_LEVEL, language.PARTS)
+        assert got[r["doc_id"]]["margin"] == pytest.approx(margin, abs=0.002)
+        assert got[r["doc_id"]]["lang_pred"] == lang or margin < 0.002
+    assert language.predict(extra.limit(0), model).collect() == []
