@@ -16,44 +16,83 @@ from stationcare.llm.words import HEAD, placed_words
 # fixed values: phrases and labels of the base scan
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# fixed values: well-known sentences of license texts, as words
+# fixed values: well-known sentences and paragraphs of license texts, as words
 TEMPLATES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
     "released under the mit license": "mit",
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge "
+    "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
+    "furnished to do so": "mit",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions "
+    "of the software": "mit",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the "
+    "warranties of merchantability fitness for a particular purpose and noninfringement": "mit",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in "
+    "an action of contract tort or otherwise arising from out of or in connection with the software": "mit",
     "licensed under the apache license version 2 0": "apache",
     "you may not use this file except in compliance with the license": "apache",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed "
+    "on an as is basis without warranties or conditions of any kind either express or implied": "apache",
+    "see the license for the specific language governing permissions and limitations under the license": "apache",
+    "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable "
+    "copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and "
+    "distribute the work and such derivative works in source or object form": "apache",
     "licensed under the gnu general public license version 3": "gpl",
     "it under the terms of the gnu general public license as published by the free software foundation": "gpl",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied "
+    "warranty of merchantability or fitness for a particular purpose": "gpl",
+    "you should have received a copy of the gnu general public license along with this program": "gpl",
     "it under the terms of the gnu lesser general public license": "lgpl",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following "
+    "disclaimer": "bsd",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+    "following disclaimer in the documentation and or other materials provided with the distribution": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission": "bsd",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties "
+    "including but not limited to the implied warranties of merchantability and fitness for a particular purpose are "
+    "disclaimed": "bsd",
+    "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited "
+    "to procurement of substitute goods or services loss of use data or profits or business interruption however "
+    "caused and on any theory of liability whether in contract strict liability or tort": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+    "granted provided that the above copyright notice and this permission notice appear in all copies": "isc",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
+    "if a copy of the mpl was not distributed with this file you can obtain one at": "mpl",
+    "covered software is provided under this license on an as is basis without warranty of any kind either expressed "
+    "implied or statutory": "mpl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
     "this work is licensed under a creative commons attribution": "cc",
+    "you must give appropriate credit provide a link to the license and indicate if changes were made": "cc",
 }
 GRAM = 3
 DRIFT = 3
 COVERAGE = 0.7
+#: Number of the template that stands for the text itself.
+TEXT = -1
 
 
 def template_grams(spark, phrases: dict[str, str], templates: dict[str, str]) -> DataFrame:
-    """One row per gram of every template; phrases are templates that must be met whole."""
+    """One row per gram of every template, with its number; phrases are templates that must be met whole."""
     rows = []
-    for whole, entries in ((True, phrases), (False, templates)):
-        for text, label in entries.items():
-            w = text.split(" ")
-            gram = min(GRAM, len(w))
-            if gram < 2:
-                raise ValueError("a template needs two words")
-            for i in range(len(w) - gram + 1):
-                rows.append((text, label, whole, len(w), len(w) - gram + 1, i, w[i], w[i + 1],
-                             w[i + 2] if gram == 3 else None))
-    rows.append((HEAD, None, True, 0, 0, 0, HEAD, None, None))
-    return spark.createDataFrame(rows, "template string, label string, whole boolean, size int, grams int, at int, "
+    listed = [(True, *p) for p in phrases.items()] + [(False, *t) for t in templates.items()]
+    for number, (whole, text, label) in enumerate(listed):
+        w = text.split(" ")
+        gram = min(GRAM, len(w))
+        if gram < 2:
+            raise ValueError("a template needs two words")
+        for i in range(len(w) - gram + 1):
+            rows.append((number, label, whole, len(w), len(w) - gram + 1, i, w[i], w[i + 1],
+                         w[i + 2] if gram == 3 else None))
+    rows.append((TEXT, None, True, 0, 0, 0, HEAD, None, None))
+    return spark.createDataFrame(rows, "template int, label string, whole boolean, size int, grams int, at int, "
                                        "a string, b string, c string")
 
 
 def license_hits(docs: DataFrame, phrases: dict[str, str] = PHRASES,
                  templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """Votes: a row per (text, template place, text place), and one row per text with the template HEAD."""
+    """Votes: a row per (text, template place, text place), and one row per text with the template TEXT."""
     # of fixed size: the templates are parameters, not data
     grams = F.broadcast(template_grams(docs.sparkSession, phrases, templates)
                         .withColumn("key", F.xxhash64("a", F.coalesce("b", F.lit("")))))
@@ -74,7 +113,7 @@ def license_spans(hits: DataFrame, drift: int = DRIFT, coverage: float = COVERAG
     share of the template's grams that voted. Phrases do not merge and must be covered whole.
     """
     text = ["doc_id", "text_hash", "template"]
-    votes = hits.filter(F.col("template") != HEAD).withColumn("diagonal", F.col("place") - F.col("at"))
+    votes = hits.filter(F.col("template") != TEXT).withColumn("diagonal", F.col("place") - F.col("at"))
     lines = (votes.groupBy(*text, "label", "whole", "grams", "size", "diagonal")
              .agg(F.collect_set("at").alias("ats"), F.min("place").alias("first")))
     ordered = Window.partitionBy(*text).orderBy("diagonal")
@@ -105,7 +144,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES,
     marks = (F.when(F.col("whole"), F.col("first")), F.when(F.col("whole"), F.col("label")))
     facts = (spans.select(*text, marks[0].alias("start"), marks[1].alias("base"), "label", "covered",
                           F.lit(None).cast("int").alias("n_words"), F.lit(None).cast("long").alias("copies"))
-             .unionByName(once.filter(F.col("template") == HEAD).select(
+             .unionByName(once.filter(F.col("template") == TEXT).select(
                  *text, F.lit(None).cast("int").alias("start"), F.lit(None).cast("string").alias("base"),
                  "label", F.lit(None).cast("double").alias("covered"), "n_words", "copies")))
     listed = lambda c: F.concat_ws(",", F.sort_array(F.collect_set(c)))

@@ -89,5 +89,37 @@ def test_license_templates_survive_small_edits(spark):
     assert got[3]["labels"] == "apache,gpl" and got[7]["score"] == 1.0
 
 
+def test_license_paragraphs_are_known_alone(spark):
+    """Every paragraph without its neighbours, plain, with a word put in every twelve, and twice in one text."""
+    listed = list(licenses.TEMPLATES.items())
+    rows = []
+    for k, (text, _) in enumerate(listed):
+        w = text.split(" ")
+        wider = [x for i, y in enumerate(w) for x in ([y, "zebra"] if i % 12 == 11 else [y])]
+        rows += [(3 * k, "Some words before. " + text.capitalize() + ", and some after."),
+                 (3 * k + 1, " ".join(wider)), (3 * k + 2, f"{text} {'then other words ' * 9} {text}")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"))
+           .collect()}
+    for k, (text, label) in enumerate(listed):
+        plain, wide, twice = (got[3 * k + j] for j in range(3))
+        assert label in plain["labels"].split(",") and plain["score"] == 1.0
+        assert label in wide["labels"].split(",") or len(text.split(" ")) < 20
+        assert twice["labels"] == plain["labels"] and twice["n_base"] == 2 * plain["n_base"]
+
+
+def test_license_spans_merge_diagonals_and_keep_copies_apart(spark):
+    text = next(t for t in licenses.TEMPLATES if t.startswith("redistributions in binary"))
+    w = text.split(" ")
+    edited = w[:9] + ["plain", "words"] + w[9:20] + w[21:]
+    df = spark.createDataFrame([(1, " ".join(edited)), (2, f"{text} {'other ' * 40} {text}")], "doc_id long, text string")
+    number = len(licenses.PHRASES) + list(licenses.TEMPLATES).index(text)
+    spans = sorted(tuple(r) for r in licenses.license_spans(licenses.license_hits(df)).filter(f"template = {number}")
+                   .select("doc_id", "first", "last", "covered").collect())
+    grams = len(w) - licenses.GRAM + 1
+    # two words put in break two grams, the word left out three
+    assert spans[0][0] == 1 and spans[0][1] == 0 and spans[0][3] == (grams - 5) / grams
+    assert [(s[0], s[1], s[3]) for s in spans[1:]] == [(2, 0, 1.0), (2, len(w) + 40, 1.0)]
+
+
 def test_license_scan_of_an_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
