@@ -14,7 +14,7 @@ from stationcare.functions.hashing import stable_hash
 from stationcare.functions.rows import clean_double
 from stationcare.functions.states import grouped_state
 from stationcare.operators.ordered import with_index
-from stationcare.operators.tables import settled
+from stationcare.operators.skew import spread_join
 from stationcare.roles import is_numeric
 
 
@@ -77,12 +77,12 @@ def sample_machines(df: DataFrame, machine_id: str = S.MACHINE_ID, share: float
     wanted = max(1, int(total * share))
     hashed = ids.withColumn("_h", stable_hash(F.col(machine_id), seed=seed))
     ranked = with_index(hashed, ["_h", machine_id], rows=total, index="_rank")
-    chosen = settled(ranked.where(F.col("_rank") <= wanted).select(machine_id))
-    return df.join(chosen, machine_id, "left_semi")
+    return spread_join(df, ranked.where(F.col("_rank") <= wanted).select(machine_id), [machine_id], "left_semi")
 
 
 def rows_with_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    return df.join(settled(ids.select(on).distinct()), on, "left_semi")
+    """Rows whose ``on`` is among ``ids``: few ids are broadcast, else hot ids are spread over tasks."""
+    return spread_join(df, ids.select(on).distinct(), [on], "left_semi")
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = S.SEED,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stationcare import settings as S
 from stationcare.functions import clock, physics, rows, states
-from stationcare.operators import clean, profile, select, split
+from stationcare.operators import clean, profile, select, skew, split
 from stationcare.plans import report
 from stationcare.session import shared_dir
 from stationcare.sources import tables
@@ -298,9 +298,8 @@ SELECT o_orderkey, n, round(spend, 2) AS spend FROM orders LEFT JOIN (
   SELECT o_custkey AS k, count(*) AS n, sum(o_totalprice) AS spend FROM orders GROUP BY 1) ON o_custkey = k""")
 def stats_join_back(spark, d):
     o = views.load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    stats = o.groupBy(F.col("o_custkey").alias("k")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("spend"))
-    return plain(o.join(stats, F.col("o_custkey") == F.col("k"), "left").select("o_orderkey", "n", "spend"), 2)
+    both = skew.with_group_stats(o, ["o_custkey"], {"n": F.count(F.lit(1)), "spend": F.sum("o_totalprice")})
+    return plain(both.select("o_orderkey", "n", "spend"), 2)
 
 
 @query("rows_with_ids", """
@@ -318,7 +317,7 @@ SELECT fold, count(*) AS n, round(avg(y_true), 6) AS mean_true FROM (
   SELECT * FROM ruls WHERE fold = 0 UNION ALL SELECT * FROM ruls WHERE fold = 1) GROUP BY fold""")
 def union_folds(spark, d):
     p = views.rul_predictions(spark, d)
-    both = p.where("fold = 0").unionByName(p.where("fold = 1"))
+    both = skew.stacked({"first": p.where("fold = 0"), "second": p.where("fold = 1")}, "part")
     return plain(both.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("y_true").alias("mean_true")))
 
 
