@@ -28,7 +28,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from stationcare.session import shared_dir
+from stationcare.operators.skew import spread_join
+from stationcare.session import shared_dir, staged
 
 SPLIT_BYTES = 32 << 20
 READ_BYTES = 1 << 18
@@ -268,9 +269,12 @@ def page_records(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
     kept = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     kept = kept.withColumn("sha", F.sha1("payload"))
-    groups = (kept.filter(F.octet_length("payload") >= revisit_bytes).groupBy("sha")
-              .agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    joined = kept.join(groups, "sha", "left")
+    groups = staged(kept.groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("_n"),
+                                            F.max(F.octet_length("payload")).alias("_size"))
+                    .filter("_n > 1").withColumn("keeper", F.when(F.col("_size") >= revisit_bytes, F.col("keeper")))
+                    .drop("_size"), "payloads")
+    # one payload, such as the empty one, may be that of a third of the pages
+    joined = spread_join(kept, groups.drop("_n"), ["sha"], "left", groups.select("sha", "_n"), pages.count())
     again = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
     return joined.select(name(F.col("page_id")).alias("record_id"),

@@ -78,3 +78,24 @@ def test_damage_and_noise(spark):
 
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).collect() == []
+
+
+@pytest.mark.parametrize("least", [0, 1])
+def test_pages_of_a_hot_payload_spread(spark, monkeypatch, least):
+    """Half of all pages are empty: same records whether copies are looked up by broadcast or by salted keys."""
+    from stationcare.operators import skew
+
+    rows = [(k, f"u{k}", None if k % 4 == 0 else "" if k % 4 == 2 else f"<p>{k // 8}</p>") for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4, "page_id")
+    want = sorted(map(tuple, warc.page_records(pages, least).collect()), key=str)
+    monkeypatch.setattr(skew.spread_join, "__defaults__", ("left", None, None, None, 0))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = warc.page_records(pages, least)
+        assert "_salt" in records._jdf.queryExecution().toString()
+        assert sorted(map(tuple, records.collect()), key=str) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    empty = [r for r in want if not r[5]]
+    assert len(want) == 400 and len(empty) == 200
+    assert sum(r[1] == "revisit" for r in empty) == (199 if least == 0 else 0)
