@@ -3,8 +3,10 @@
 1. Every text becomes a set of hashed runs of five words. Texts with equal sets form one class at once
    (``groupBy`` on a 128-bit digest of the set, summed map-side), so copies are never compared.
 2. ``bands_for`` picks rows per band and bands for the wanted recall at the threshold. Class representatives
-   meet in buckets of equal band hashes. A bucket gives one edge from each member to its smallest member, not
-   all pairs; components of these edges are the groups inside which pairs are verified.
+   meet in buckets of equal band hashes. Signatures of each member and the bucket's smallest member are compared;
+   only in buckets where some of these are far apart, which chance meetings are, all signatures of the bucket
+   are compared, tile by tile. Components of the pairs that may be similar are the groups inside which whole
+   sets are verified, so meetings by chance do not chain texts into ever larger groups.
 3. Members of a group are dealt into tiles; tasks compare tile with tile: signatures first rule out pairs far
    below the threshold, then exact intersections of the whole sets decide. A task sends back one row per
    member (how many documents it is linked to) and a spanning forest of the links, never the pairs.
@@ -24,12 +26,14 @@ from pyspark.sql import functions as F
 
 from stationcare.llm.components import connected
 from stationcare.llm.text import SHINGLE_WORDS, Permutations, buffers, mix, pieces, shingle_hashes
-from stationcare.session import staged
+from stationcare.session import staged, unstage
 
 THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 192
 TILE = 256
+#: The share of equal signature values estimates the similarity; below this part of the threshold is out of reach.
+REACH = 0.65
 
 
 @dataclass(frozen=True)
@@ -61,7 +65,7 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
 
 
 def set_signatures(docs: DataFrame, plan: Bands, words: int) -> DataFrame:
-    """``(doc_id, hi, lo, bands)``: digest of the set and one 64-bit hash per band."""
+    """``(doc_id, hi, lo, bands, sig)``: digest of the set, one 64-bit hash per band, lowest bytes of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Permutations(plan.bands * plan.rows)
@@ -69,15 +73,104 @@ def set_signatures(docs: DataFrame, plan: Bands, words: int) -> DataFrame:
         for piece in pieces(batches):
             shingles, at = shingle_hashes(*buffers(piece.column("text")), words)
             digests = np.array([_digest(s) for s in _unique_sets(shingles, at)], dtype=np.int64).reshape(-1, 2)
-            sig = hashes.signatures(shingles, at).reshape(-1, plan.bands, plan.rows)
-            keys = mix((sig.astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64)).view(np.int64)
+            sig = hashes.signatures(shingles, at)
+            parts = sig.reshape(-1, plan.bands, plan.rows).astype(np.uint64)
+            keys = mix((parts * weights).sum(axis=2, dtype=np.uint64)).view(np.int64)
             rows = pa.ListArray.from_arrays(
                 pa.array(np.arange(0, keys.size + 1, plan.bands, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), rows],
-                ["doc_id", "hi", "lo", "bands"])
+                [piece.column("doc_id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), rows,
+                 pa.array([s.tobytes() for s in sig.astype(np.uint8)], pa.binary())],
+                ["doc_id", "hi", "lo", "bands", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "doc_id long, hi long, lo long, bands array<long>, sig binary")
+
+
+def _table_of(sig: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.array([np.frombuffer(x, np.uint8) for x in sig.to_pylist()])
+
+
+def _equal_values(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of equal signature values of each pair of rows."""
+    same = np.zeros((len(left), len(right)), np.uint16)
+    for k in range(left.shape[1]):
+        same += left[:, k][:, None] == right[:, k][None, :]
+    return same
+
+
+def _measured(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = _table_of(batch.column("sig")), _table_of(batch.column("low_sig"))
+            near = (a == b).sum(axis=1) >= a.shape[1] * threshold * REACH
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("low"), pa.array(near)],
+                                             ["rep", "low", "near"])
+
+    return run
+
+
+def _near_in_tiles(threshold: float):
+    """A spanning forest of the pairs in two tiles of a bucket whose signatures are in reach of the threshold."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids = table.column("rep").to_numpy()
+        side = table.column("tile").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, side, sig = ids[order], side[order], _table_of(table.column("sig"))[order]
+        left, right = np.flatnonzero(side == key[1].as_py()), np.flatnonzero(side == key[2].as_py())
+        found = np.zeros((0, 2), np.int64)
+        if len(left) and len(right):
+            near = _equal_values(sig[left], sig[right]) >= sig.shape[1] * threshold * REACH
+            rows, cols = np.nonzero(near)
+            found = np.stack([left[rows], right[cols]], axis=1)
+        roots = _roots(len(ids), found)
+        apart = roots != np.arange(len(ids))
+        return pa.table({"a": ids[apart], "b": ids[roots[apart]]})
+
+    return run
+
+
+def near_groups(reps: DataFrame, signed: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+    """``(rep, bands)`` to ``(node, root)``: components of the pairs that share a bucket and may be similar.
+
+    ``signed`` has the signatures of all documents. Texts that only meet others by chance are in no group.
+    """
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    buckets = (banded.groupBy("band", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+               .filter("low < high").select("band", "key", "low"))
+    star = staged(banded.join(buckets, ["band", "key"]).filter("rep != low"), "stars")
+    nodes = star.select("rep").union(star.select("low")).distinct()
+    sigs = staged(signed.select(F.col("doc_id").alias("rep"), "sig").join(nodes, "rep", "left_semi").distinct(), "sigs")
+    lows = sigs.select(F.col("rep").alias("low"), F.col("sig").alias("low_sig"))
+    judged = staged(star.select("rep", "low").distinct().join(sigs, "rep").join(lows, "low")
+                    .select("rep", "low", "sig", "low_sig")
+                    .mapInArrow(_measured(threshold), "rep long, low long, near boolean"), "judged")
+    near = judged.filter("near").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+
+    # buckets in which somebody is far from the smallest member: the others of it may be near one another
+    far = judged.filter("NOT near").select("rep", "low").distinct()
+    mixed = star.join(far, ["rep", "low"], "left_semi").select("band", "key").distinct()
+    open_stars = star.join(mixed, ["band", "key"], "left_semi")
+    # every member counts once, in whichever order the rows come; equal buckets of several bands are compared once
+    members = (open_stars.select("band", "key", "rep").union(open_stars.select("band", "key", F.col("low").alias("rep")))
+               .distinct())
+    content = members.groupBy("band", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("h1"),
+        F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h2"))
+    chosen = content.groupBy("n", "h1", "h2").agg(F.min(F.struct("band", "key")).alias("_b")).filter("n > 2").select(
+        "_b.band", "_b.key", F.ceil(F.col("n") / F.lit(tile)).cast("long").alias("tiles"))
+    dealt = members.join(chosen, ["band", "key"]).select(
+        F.xxhash64("band", "key").alias("bucket"), "rep", F.pmod(F.xxhash64("rep"), F.col("tiles")).alias("tile"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("_t")).select(
+        "bucket", "rep", "tile", F.least("tile", "_t").alias("first"), F.greatest("tile", "_t").alias("second"))
+    inside = dealt.join(sigs, "rep").groupBy("bucket", "first", "second").applyInArrow(
+        _near_in_tiles(threshold), "a long, b long")
+    groups = connected(near.union(inside))
+    unstage(star, judged, sigs)
+    return groups
 
 
 def _sets(docs: DataFrame, words: int, plan: Bands) -> DataFrame:
@@ -159,18 +252,14 @@ def _compare_tiles(threshold: float):
         side = table.column("tile").to_numpy()
         first, second = key[1].as_py(), key[2].as_py()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        sig = np.array([np.frombuffer(x, np.uint8) for x in table.column("sig").to_pylist()])
+        sig = _table_of(table.column("sig"))
         sizes = np.array([len(s) for s in sets])
         order = np.argsort(ids, kind="stable")
         left, right = order[side[order] == first], order[side[order] == second]
         counts = np.zeros(len(ids), np.int64)
         found = []
         if len(left) and len(right):
-            same = np.zeros((len(left), len(right)), np.uint16)
-            for k in range(sig.shape[1]):
-                same += sig[left, k][:, None] == sig[right, k][None, :]
-            # the share of equal values estimates the similarity; below half the threshold is far out of reach
-            near = same >= sig.shape[1] * threshold * 0.65
+            near = _equal_values(sig[left], sig[right]) >= sig.shape[1] * threshold * REACH
             small = np.minimum(sizes[left][:, None], sizes[right][None, :])
             near &= small >= threshold * np.maximum(sizes[left][:, None], sizes[right][None, :])
             near &= ids[left][:, None] != ids[right][None, :]
@@ -205,12 +294,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     classes = staged(classes, "classes")
 
     reps = signed.join(classes, ["hi", "lo"]).filter(F.col("doc_id") == F.col("rep"))
-    banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = (banded.groupBy("band", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-               .filter("low < high").select("band", "key", "low"))
-    star = (banded.join(buckets, ["band", "key"]).filter("rep != low")
-            .select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    groups = connected(star)
+    groups = near_groups(reps.select("rep", "bands"), signed, threshold, tile)
 
     sized = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     members = (groups.join(sized, "root")

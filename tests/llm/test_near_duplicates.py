@@ -1,7 +1,11 @@
+import itertools
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from llm import brute
+from pyspark.sql import functions as F
 
 from stationcare.llm import fingerprint, jaccard_join
 from stationcare.llm.components import connected
@@ -46,6 +50,44 @@ def test_fingerprint_bands_find_the_same(docs, rows):
     assert got == brute.classes(rows)
 
 
+def test_chance_meetings_do_not_chain_groups(spark, docs, rows):
+    """With one row a band nearly all texts meet: groups hold those in reach of the threshold all the same."""
+    loose = jaccard_join.Bands(96, 1)
+    signed = jaccard_join.set_signatures(docs.select("doc_id", "text"), loose, 5).cache()
+    reps = signed.groupBy("hi", "lo").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("r")).select(
+        F.col("r.doc_id").alias("rep"), "r.bands")
+    for tile in (256, 3):
+        groups = {r["node"]: r["root"] for r in jaccard_join.near_groups(reps, signed, 0.8, tile).collect()}
+        assert len(set(groups.values())) > 1
+        sets = {i: brute.shingles(t) for i, t in rows}
+        for a, b in itertools.combinations([r["rep"] for r in reps.select("rep").collect()], 2):
+            likeness = brute.jaccard(sets[a], sets[b])
+            if likeness >= 0.8:
+                assert groups[a] == groups[b]
+            elif likeness < 0.2 and groups.get(a, -1) == groups.get(b, -2):
+                near = [c for c in sets if groups.get(c) == groups[a] and c not in (a, b)
+                        and brute.jaccard(sets[a], sets[c]) > 0.3]
+                assert near, f"{a} and {b} met by chance only"
+    signed.unpersist()
+
+
+def test_links_among_others_than_the_smallest_member_are_kept(spark):
+    """A bucket whose smallest member resembles nobody still links the others."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(4000)]
+    odd = " ".join(rng.choices(words, k=300))
+    body = rng.choices(words, k=300)
+    rows = [(0, odd)] + [(10 + k, " ".join(body[:150 + k] + ["x"] + body[150 + k:])) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = jaccard_join.set_signatures(df, jaccard_join.Bands(4, 48), 5)
+    # all in one bucket, as a chance collision would have it
+    reps = signed.select(F.col("doc_id").alias("rep"), F.array(F.lit(1).cast("long")).alias("bands"))
+    for tile in (256, 2):
+        groups = {r["node"]: r["root"] for r in jaccard_join.near_groups(reps, signed, 0.8, tile).collect()}
+        assert {k: v for k, v in groups.items() if k != v} == {10 + k: 10 for k in range(1, 6)}
+        assert 0 not in groups or groups[0] == 0
+
+
 def test_classes_of_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_classes(none).collect() == []
