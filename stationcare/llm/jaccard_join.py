@@ -4,9 +4,9 @@
    (``groupBy`` on a 128-bit digest of the set, summed map-side), so copies are never compared.
 2. ``bands_for`` picks rows per band and bands for the wanted recall at the threshold. Class representatives
    meet in buckets of equal band hashes. Signatures of each member and the bucket's smallest member are compared;
-   only in buckets where some of these are far apart, which chance meetings are, all signatures of the bucket
-   are compared, tile by tile. Components of the pairs that may be similar are the groups inside which whole
-   sets are verified, so meetings by chance do not chain texts into ever larger groups.
+   members far from it, as chance meetings are, and in no group with it by way of other bands, are compared with
+   all others of the bucket, tile by tile. Components of the pairs that may be similar are the groups inside which
+   whole sets are verified, so meetings by chance do not chain texts into ever larger groups.
 3. Members of a group are dealt into tiles; tasks compare tile with tile: signatures first rule out pairs far
    below the threshold, then exact intersections of the whole sets decide. A task sends back one row per
    member (how many documents it is linked to) and a spanning forest of the links, never the pairs.
@@ -149,27 +149,46 @@ def near_groups(reps: DataFrame, signed: DataFrame, threshold: float, tile: int
                     .select("rep", "low", "sig", "low_sig")
                     .mapInArrow(_measured(threshold), "rep long, low long, near boolean"), "judged")
     near = judged.filter("near").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-
-    # buckets in which somebody is far from the smallest member: the others of it may be near one another
-    far = judged.filter("NOT near").select("rep", "low").distinct()
-    mixed = star.join(far, ["rep", "low"], "left_semi").select("band", "key").distinct()
-    open_stars = star.join(mixed, ["band", "key"], "left_semi")
-    # every member counts once, in whichever order the rows come; equal buckets of several bands are compared once
-    members = (open_stars.select("band", "key", "rep").union(open_stars.select("band", "key", F.col("low").alias("rep")))
-               .distinct())
-    content = members.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("h1"),
+    groups = connected(near)
+
+    # a member far from the smallest one, and in no group with it by other bands either, is compared with all of the
+    # bucket; members in the smallest one's group are not compared with one another again
+    of = groups.select(F.col("node").alias("_rep"), F.col("root").alias("_r"))
+    of_low = groups.select(F.col("node").alias("_low"), F.col("root").alias("_l"))
+    away = (judged.filter("NOT near").select("rep", "low").distinct()
+            .join(of, F.col("rep") == F.col("_rep"), "left").join(of_low, F.col("low") == F.col("_low"), "left")
+            .filter("coalesce(_r, rep) != coalesce(_l, low)").select("rep", "low", F.lit(True).alias("away")))
+    away = staged(away, "away")
+    # rows that repeat would cancel in the sums below
+    guests = star.join(away, ["rep", "low"]).distinct()
+    content = guests.groupBy("band", "key", "low").agg(
+        F.count_distinct("rep").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("h1"),
         F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h2"))
-    chosen = content.groupBy("n", "h1", "h2").agg(F.min(F.struct("band", "key")).alias("_b")).filter("n > 2").select(
-        "_b.band", "_b.key", F.ceil(F.col("n") / F.lit(tile)).cast("long").alias("tiles"))
-    dealt = members.join(chosen, ["band", "key"]).select(
-        F.xxhash64("band", "key").alias("bucket"), "rep", F.pmod(F.xxhash64("rep"), F.col("tiles")).alias("tile"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("_t")).select(
-        "bucket", "rep", "tile", F.least("tile", "_t").alias("first"), F.greatest("tile", "_t").alias("second"))
-    inside = dealt.join(sigs, "rep").groupBy("bucket", "first", "second").applyInArrow(
-        _near_in_tiles(threshold), "a long, b long")
-    groups = connected(near.union(inside))
-    unstage(star, judged, sigs)
+    homes = star.join(content.select("band", "key"), ["band", "key"]).join(away, ["rep", "low"], "left_anti").distinct()
+    filled = homes.groupBy("band", "key").agg(
+        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep")).alias("h3"),
+        F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h4"))
+    # buckets of several bands with the same members are compared once; a guest alone with the smallest one was
+    chosen = (content.join(filled, ["band", "key"], "left").na.fill(0, ["m", "h3", "h4"]).filter("n + m > 1")
+              .groupBy("low", "n", "h1", "h2", "m", "h3", "h4").agg(F.min(F.struct("band", "key")).alias("_b"))
+              .select("_b.band", "_b.key", F.ceil(F.col("n") / F.lit(tile)).cast("long").alias("tiles"),
+                      F.ceil(F.col("m") / F.lit(tile)).cast("long").alias("rests")))
+    chosen = staged(chosen, "chosen")
+    number, zero = F.xxhash64("band", "key").alias("bucket"), F.lit(0).cast("long")
+    guest = guests.join(chosen, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
+    rest = homes.join(chosen, ["band", "key"]).withColumn("tile", -1 - F.pmod(F.xxhash64("rep"), F.col("rests")))
+    # tiles of guests count from 0, those of the others from -1 down
+    met = guest.withColumn("_t", F.explode(F.sequence(-F.col("rests"), F.col("tiles") - 1))).select(
+        number, "rep", "tile", F.least("tile", "_t").alias("first"), F.greatest("tile", "_t").alias("second"))
+    asked = rest.withColumn("_t", F.explode(F.sequence(zero, F.col("tiles") - 1))).select(
+        number, "rep", "tile", F.col("tile").alias("first"), F.col("_t").alias("second"))
+    inside = staged(met.union(asked).join(sigs, "rep").groupBy("bucket", "first", "second").applyInArrow(
+        _near_in_tiles(threshold), "a long, b long"), "inside")
+    if not inside.isEmpty():
+        first = groups
+        groups = connected(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(inside))
+        unstage(first)
+    unstage(star, judged, sigs, away, chosen, inside)
     return groups
 
 

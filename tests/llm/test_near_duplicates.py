@@ -82,7 +82,7 @@ def test_links_among_others_than_the_smallest_member_are_kept(spark):
     signed = jaccard_join.set_signatures(df, jaccard_join.Bands(4, 48), 5)
     # all in one bucket, as a chance collision would have it
     reps = signed.select(F.col("doc_id").alias("rep"), F.array(F.lit(1).cast("long")).alias("bands"))
-    for tile in (256, 2):
+    for tile in (256, 4, 2):
         groups = {r["node"]: r["root"] for r in jaccard_join.near_groups(reps, signed, 0.8, tile).collect()}
         assert {k: v for k, v in groups.items() if k != v} == {10 + k: 10 for k in range(1, 6)}
         assert 0 not in groups or groups[0] == 0
