@@ -22,10 +22,11 @@ from pyspark.sql import types as T
 from stationcare.settings import SEED
 
 INDEX = "row_index"
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 20_000
 SAMPLES_PER_BUCKET = 20
-MAX_BLOCK = 4_000_000
+#: rows of a block, where its halo is not longer than a quarter of that; many blocks spread evenly over tasks
+MAX_BLOCK = 100_000
 HALO_LIMIT = 2_000_000
 
 
@@ -177,7 +178,8 @@ def in_blocks(df: DataFrame, rows: int, back: int = 0, ahead: int = 0,
         raise ValueError("look-back too long for halo blocks; use look_back")
     if length is None:
         parallel = 4 * df.sparkSession.sparkContext.defaultParallelism
-        length = max(2 * max(back, ahead), min(MAX_BLOCK, -(-rows // parallel)), 500)
+        halo = max(back, ahead)
+        length = max(2 * halo, min(max(MAX_BLOCK, 4 * halo), -(-rows // parallel)), 500)
     length = max(length, back, ahead, 1)
     count = -(-rows // length)
     at = F.col(index) - 1
