@@ -24,6 +24,7 @@ from stationcare.settings import SEED
 INDEX = "row_index"
 ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 20_000
+UNROLLED_BUCKETS = 64
 SAMPLES_PER_BUCKET = 20
 #: rows of a block, where its halo is not longer than a quarter of that; many blocks spread evenly over tasks
 MAX_BLOCK = 100_000
@@ -72,12 +73,18 @@ def _with_bucket(df: DataFrame, key: Column, cuts_json: str | None, schema: T.St
                  buckets: int) -> DataFrame:
     """``_bucket``: how many cut points lie at or before the key.
 
-    Binary search as one projection per halving, all inside generated code.
+    Binary search as one projection per halving, all inside generated code, for few cuts. The plan of so many
+    projections outgrows the driver with the number of halvings, so many cuts are searched by one expression.
     """
     if not cuts_json or cuts_json == "[]":
         return df.withColumn("_bucket", F.lit(0))
     cuts = F.from_json(F.lit(cuts_json), T.ArrayType(schema))
     size, low = F.size(cuts), F.col("_bucket")
+    if buckets > UNROLLED_BUCKETS:
+        steps = F.array(*[F.lit(1 << power) for power in range(buckets.bit_length(), -1, -1)])
+        keyed = df.withColumn("_key", key)
+        return keyed.withColumn("_bucket", F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+            (at + step <= size) & (F.get(cuts, at + step - 1) <= F.col("_key")), at + step).otherwise(at))).drop("_key")
     out = df.withColumns({"_key": key, "_bucket": F.lit(0)})
     for power in range(buckets.bit_length(), -1, -1):
         step = 1 << power

@@ -168,3 +168,17 @@ def test_rolling_forgets_spikes_and_infinities(spark, limit):
             if want is not None:
                 scale = max([1.0, *map(abs, seen)])
                 assert abs(have - want) <= 1e-9 * (scale if s.kind == "mean" else scale * scale)
+
+
+def test_many_buckets_are_searched_like_few_by_a_plan_that_does_not_grow(spark, monkeypatch):
+    """op1 at 3 GB: eleven halvings as projections filled the driver's heap."""
+    rows = spark.range(3000).select(F.pmod(F.col("id") * 7919, F.lit(501)).alias("k"), "id")
+    found = {}
+    for limit in (64, 100_000):
+        monkeypatch.setattr(o, "UNROLLED_BUCKETS", limit)
+        placed = o.bucketed(rows, ["k", "id"], rows=3000, buckets=700)
+        found[limit] = {r["id"]: r["_bucket"] for r in placed.collect()}
+        if limit == 64:
+            plan = placed._jdf.queryExecution().analyzed().toString()
+            assert plan.count("Project") < 8
+    assert found[64] == found[100_000] and len(set(found[64].values())) > 500
