@@ -94,3 +94,36 @@ def test_attribution_refuses_what_it_cannot_explain(table):
         tree_attribution(Trained("l", "rul", "-", object(), Selection(COLUMNS, {})), table)
     got = tree_attribution(Trained("f", "classification", "-", model, Selection(COLUMNS, {}), ("x", "y", "z")), table.limit(0), of="x")
     assert got.collect() == []
+
+
+def test_patterns_in_a_table_and_sorted_patterns_agree(monkeypatch):
+    import numpy as np
+
+    from stationcare.plans import attribution as A
+    from stationcare.plans.boosting import Tree
+
+    tree = Tree(np.array([0, 1, -1, -1, 2, -1, -1]), np.array([4, 2, 0, 0, 7, 0, 0]), np.array([1, 2, -1, -1, 5, -1, -1]),
+                np.array([4, 3, -1, -1, 6, -1, -1]), np.array([0, 0, 1., 2, 0, 3, 5]), np.array([10, 6, 2., 4, 4, 1, 3]), np.zeros(7))
+    bins = np.random.default_rng(1).integers(0, 10, (200, 3)).astype(np.uint8)
+    table, base = A.contributions([tree], bins, 3)
+    monkeypatch.setattr(A, "FEW_INPUTS", 0)
+    np.testing.assert_array_equal(table, A.contributions([tree], bins, 3)[0])
+    np.testing.assert_allclose(table.sum(axis=1) + base, tree.value[tree.leaves(bins)])
+
+
+def test_neighbours_in_many_dimensions_are_exact():
+    import numpy as np
+
+    from stationcare.operators.balance import _nearest
+
+    rng = np.random.default_rng(2)
+    points = np.round(rng.normal(1e5, 3, (700, 12)), 1)
+    points[300:330] = points[0]
+    ids = np.arange(700)
+    row, gap, near = _nearest(points, ids, points, ids, 5)
+    for i in range(0, 700, 7):
+        exact = np.zeros(700)
+        for d in range(12):
+            exact += (points[i, d] - points[:, d]) ** 2
+        want = [j for j in np.lexsort((ids, exact)) if j != i][:5]
+        assert near[row == i].tolist() == want and (gap[row == i] == exact[want]).all()

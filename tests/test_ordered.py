@@ -182,3 +182,9 @@ def test_many_buckets_are_searched_like_few_by_a_plan_that_does_not_grow(spark,
             plan = placed._jdf.queryExecution().analyzed().toString()
             assert plan.count("Project") < 8
     assert found[64] == found[100_000] and len(set(found[64].values())) > 500
+
+
+def test_blocks_of_a_large_table_stay_small(spark):
+    rows = spark.range(10).withColumnRenamed("id", o.INDEX)
+    assert o.in_blocks(rows, 200_000_000, back=300).length <= 100_000
+    assert o.in_blocks(rows, 200_000_000, back=72_000).length <= 288_000

@@ -229,3 +229,35 @@ def test_a_broken_publication_leaves_the_old_model(spark, table, tmp_path, monke
     spark.read.parquet(newest).limit(1).write.mode("append").parquet(newest)
     with pytest.raises(ValueError):
         rounds()
+
+
+def test_a_table_of_one_part_is_trained_without_a_job_per_level(spark, table):
+    """Boosted trees and forests took a job (or two stages) for each level; now the fit itself is one."""
+    sc = spark.sparkContext
+    cuts = fit_cuts(table, COLUMNS)
+    used = []
+    for name, fit in (("boosted", lambda: fit_boosted(table, COLUMNS, "y", 2, 12, 4, .3, cuts=cuts)),
+                      ("forest", lambda: fit_forest(table, COLUMNS, "y", 2, 5, 9, cuts=cuts))):
+        sc.setJobGroup(f"one-part-{name}", name)
+        fit()
+        used.append(len(sc.statusTracker().getJobIdsForGroup(f"one-part-{name}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert max(used) < 9
+
+
+def test_both_ways_to_sum_bins_agree():
+    from stationcare.plans.forest import _summed
+
+    rng = np.random.default_rng(3)
+    bins = np.asfortranarray(rng.integers(0, 200, (400, 6)).astype(np.uint8))
+    rows = np.arange(400)
+    for classes in (0, 3):
+        label = rng.integers(0, 3, 400) if classes else rng.normal(0, 1, 400)
+        times = rng.integers(1, 12, 400).astype(float)
+        spot = rng.integers(0, 30, 400)
+        own = np.sort(np.argsort(rng.random((30, 6)), axis=1)[:, :2], axis=1)
+        few = _summed(label, times, spot, bins, rows, own, 6, 200, classes)
+        # a numbering of features that is too wide for a table sorts its keys
+        many = _summed(label, times, spot, bins, rows, own, 6, 100_000, classes)
+        assert (few[0] // 200 == many[0] // 100_000).all() and (few[0] % 200 == many[0] % 100_000).all()
+        np.testing.assert_array_equal(few[1], many[1])
