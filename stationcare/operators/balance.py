@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationcare import settings as S
@@ -18,22 +18,32 @@ from stationcare.session import staged
 TILE = 2_048
 #: rows that steer where cells are cut, and the most blocks whose bounds travel with the tasks
 CUT_SAMPLE, MAX_BLOCKS = 20_000, 20_000
+#: cuts of a path that may leave sides of very unlike size, and all of its cuts
+UNEVEN_DEPTH, DEPTH = 30, 60
 
 
-def _cells(points: np.ndarray, leaves: int) -> list:
-    """Cuts of a k-d tree: [dimension, value, lower half, upper half], or [] for a cell. The widest side is cut."""
-    if leaves < 2 or len(points) < 2:
+def _cells(points: np.ndarray, least: int, depth: int = 0) -> list:
+    """Cuts of a k-d tree: [dimension, value, lower half, upper half], or [] for a cell of at most ``least`` points.
+
+    The widest side is cut where the sides, weighed by their points, are shortest together: in the middle of even values,
+    between the bulk and the far end of uneven ones, for a cell that holds a far point is near to everything. Deep
+    cells are cut in halves; a path has fewer cuts than a number has bits.
+    """
+    if len(points) <= least or depth == DEPTH:
         return []
     spread = points.max(axis=0) - points.min(axis=0)
     d = int(spread.argmax())
     if not spread[d] > 0:
         return []
-    value = float(np.quantile(points[:, d], (leaves // 2) / leaves, method="higher"))
+    v = np.sort(points[:, d])
+    fresh = np.flatnonzero(v[1:] > v[:-1]) + 1
+    if depth < UNEVEN_DEPTH:
+        cost = fresh * (v[fresh - 1] - v[0]) + (len(v) - fresh) * (v[-1] - v[fresh])
+    else:
+        cost = np.abs(2 * fresh - len(v))
+    value = float(v[fresh[cost.argmin()]])
     low = points[:, d] < value
-    if not low.any():
-        value = float(np.unique(points[:, d])[1])
-        low = points[:, d] < value
-    return [d, value, _cells(points[low], leaves // 2), _cells(points[~low], leaves - leaves // 2)]
+    return [d, value, _cells(points[low], least, depth + 1), _cells(points[~low], least, depth + 1)]
 
 
 def _cell_of(cuts: list, points: np.ndarray, first: int = 1) -> np.ndarray:
@@ -121,7 +131,7 @@ def _candidates(near: pd.DataFrame, label: str, x: np.ndarray, i: np.ndarray, k:
 
 
 def _blocks(df: DataFrame, label: str, tile: int) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(l, block, lead, i, x)`` in blocks of at most ``tile`` rows of one cell, and the bounds of each block.
+    """Rows ``(l, block, lead, i, x, asks)`` in blocks of at most ``tile`` rows of one cell, and the bounds of each block.
 
     Cells come from quantile cuts of a bounded sample; they steer only how much is looked at. A cell that cuts cannot
     divide, for its points are equal, is divided by position; ``lead`` is its first block.
@@ -135,7 +145,7 @@ def _blocks(df: DataFrame, label: str, tile: int) -> tuple[DataFrame, DataFrame]
     by: dict = {}
     for r in drawn:
         by.setdefault(r["l"], []).append(r["x"])
-    cuts = {c: _cells(np.array(v, float), math.ceil(sizes[c] / tile)) for c, v in by.items()}
+    cuts = {c: _cells(np.array(v, float), max(1, tile * len(v) // sizes[c])) for c, v in by.items()}
 
     @F.pandas_udf("long")
     def cell(labels: pd.Series, points: pd.Series) -> pd.Series:
@@ -145,7 +155,7 @@ def _blocks(df: DataFrame, label: str, tile: int) -> tuple[DataFrame, DataFrame]
             out[rows] = _cell_of(cuts.get(c, []), np.vstack(points[rows].to_numpy()))
         return pd.Series(out)
 
-    celled = staged(df.select(F.col(label).alias("l"), F.col("position").alias("i"), "x", cell(F.col(label), F.col("x"))
+    celled = staged(df.select(F.col(label).alias("l"), F.col("position").alias("i"), "x", "asks", cell(F.col(label), F.col("x"))
                               .alias("cell")), "cells")
     placed = with_index(celled, ["i"], by=["l", "cell"], rows=total, index="_at")
     part = F.floor((F.col("_at") - 1) / F.lit(tile)).cast("long")
@@ -160,12 +170,12 @@ def _blocks(df: DataFrame, label: str, tile: int) -> tuple[DataFrame, DataFrame]
                                             "low array<double>, high array<double>")
     leads = names.where("part = 0").select("l", "cell", F.col("block").alias("lead"))
     keyed = placed.join(F.broadcast(names.select("l", "cell", "part", "block").join(leads, ["l", "cell"])), ["l", "cell", "part"])
-    return keyed.select("l", "block", "lead", "i", "x"), names
+    return keyed.select("l", "block", "lead", "i", "x", "asks"), names
 
 
-def _first_look(df: DataFrame, label: str, k: int, tile: int) -> tuple[DataFrame, DataFrame]:
-    """Rows in blocks, and for each row the nearest of its own block and the blocks it has to ask (``asked``)."""
-    rows, names = _blocks(df, label, tile)
+def _first_look(df: DataFrame, label: str, k: int, tile: int, asks: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows in blocks, and for each row that asks the nearest of its own block and the blocks it has to ask (``asked``)."""
+    rows, names = _blocks(df.withColumn("asks", F.lit(True) if asks is None else asks), label, tile)
     boxes: dict = {}
     for r in names.collect():
         boxes.setdefault(r["l"], []).append(r)
@@ -176,12 +186,15 @@ def _first_look(df: DataFrame, label: str, k: int, tile: int) -> tuple[DataFrame
     followers = names.select("l", "cell", "block", "part").where("part > 0").join(
         names.where("part = 0").select("l", "cell", F.col("block").alias("lead")), ["l", "cell"]).select("lead", F.col("block").alias("_to"))
     visitors = rows.join(F.broadcast(followers), "lead").where(F.col("block") == F.col("lead"))
-    pool = rows.select("l", "block", "lead", "i", "x", F.lit(True).alias("own")).unionByName(
+    # rows that ask nothing are there to be found only
+    pool = rows.select("l", "block", "lead", "i", "x", F.col("asks").alias("own")).unionByName(
         visitors.select("l", F.col("_to").alias("block"), "lead", "i", "x", F.lit(False).alias("own")))
 
     def inside(g: pd.DataFrame) -> pd.DataFrame:
-        points, ids = np.vstack(g["x"].to_numpy()), g["i"].to_numpy()
         mine = g["own"].to_numpy()
+        if not mine.any():
+            return pd.DataFrame(columns=["l", "block", "i", "x", "distance", "j", "asked"])
+        points, ids = np.vstack(g["x"].to_numpy()), g["i"].to_numpy()
         x, i = points[mine], ids[mine]
         row, distance, j = _nearest(x, i, points, ids, k)
         near = pd.DataFrame({"row": row, "distance": distance, "j": j})
@@ -196,14 +209,15 @@ def _first_look(df: DataFrame, label: str, k: int, tile: int) -> tuple[DataFrame
     return rows, found
 
 
-def neighbours(df: DataFrame, label: str, key: str, k: int = S.SMOTE_NEIGHBOURS, tile: int = TILE) -> DataFrame:
-    """The exact ``k`` nearest rows of the same class, by position within the class.
+def neighbours(df: DataFrame, label: str, key: str, k: int = S.SMOTE_NEIGHBOURS, tile: int = TILE,
+               asks: Column | None = None) -> DataFrame:
+    """The exact ``k`` nearest rows of the same class, by position within the class; only for rows that meet ``asks`` if given.
 
     ``df`` carries ``position`` (1..n per class), ``size`` and the vector ``x``. A row first finds the nearest of its
     own block (and of the first block of its cell), then asks only blocks whose bounds are nearer than its k-th, or
     as near with a lower position. A task holds two blocks, and no list of pairs is ever built.
     """
-    rows, found = _first_look(df, label, k, tile)
+    rows, found = _first_look(df, label, k, tile, asks)
     kind = rows.schema["l"].dataType.simpleString()
     asking = found.select("l", F.col("block").alias("a"), F.explode("asked").alias("b"), "i", "x")
     pairs = found.select(F.col("block").alias("_a"), F.explode("asked").alias("_b")).distinct()
@@ -249,9 +263,10 @@ def smote(df: DataFrame, label: str, key: str, features: list[str],
     minority = base.join(F.broadcast(plan), F.col(label) == F.col("_l")).drop("_l")
     placed = with_index(minority, [key], by=[label], rows=sum(small.values()), index="position")
     placed = placed.withColumn("x", F.array(*features))
-    near = neighbours(placed, label, key, k, tile)
     copies = (F.floor(F.col("lacking") / F.col("size"))
               + (F.col("position") <= F.col("lacking") % F.col("size")).cast("long")).cast("int")
+    # a class that lacks few rows has few that need neighbours
+    near = neighbours(placed, label, key, k, tile, copies > 0)
     drawn = (placed.where(copies > 0)
              .select(label, key, "position", "x", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
              .withColumn("rank", (F.pmod(stable_hash(F.col(label), F.col(key), F.col("copy"), seed=seed),

@@ -140,6 +140,31 @@ def test_blocks_asked_grow_with_the_rows(spark):
     assert asked(6000, 2000) < 1.5 * large  # equal points need not meet
 
 
+def test_far_points_do_not_make_blocks_near_to_all(spark):
+    rng = np.random.default_rng(2)
+    p = rng.random((4000, 4))
+    far = rng.random((4000, 4)) < .02
+    p[far] *= 1e9  # a ratio to nothing
+    df = spark.createDataFrame([("k", i + 1, [float(v) for v in r]) for i, r in enumerate(p)],
+                               "c string, position long, x array<double>")
+    _, found = balance._first_look(df, "c", 5, 64)
+    assert found.agg(F.avg(F.size("asked"))).first()[0] < 5.5  # of at least 62 blocks
+
+
+def test_neighbours_only_of_rows_that_ask(spark):
+    rng = np.random.default_rng(5)
+    p = np.round(rng.normal(size=(400, 3)), 1)
+    p[200:260] *= 1e8
+    df = spark.createDataFrame([("k", i + 1, [float(v) for v in r]) for i, r in enumerate(p)],
+                               "c string, position long, x array<double>")
+    every = balance.neighbours(df, "c", "id", 5, tile=20)
+    some = balance.neighbours(df, "c", "id", 5, tile=20, asks=F.col("position") % 7 == 0)
+    want = [tuple(r) for r in every.where("position % 7 = 0").orderBy("position", "rank").collect()]
+    assert len(want) == 57 * 5 and [tuple(r) for r in some.orderBy("position", "rank").collect()] == want
+    _, found = balance._first_look(df, "c", 5, 20, F.col("position") % 7 == 0)
+    assert found.count() == 57
+
+
 def test_smote_levels_classes_between_neighbours(rows):
     got = balance.smote(rows, "c", "id", ["x", "y"], tile=128)
     sizes = {r["count"] for r in got.groupBy("c").count().collect()}
