@@ -9,7 +9,10 @@ the same numbers; the limit only says which way they are found.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,8 @@ from stationcare.operators.tables import settled
 EXACT_LIMIT = 200_000
 BRACKET_LIMIT = 200_000
 ACCURACY = 10_000
+#: a sketch of whole columns takes every STEP-th of CHUNK sorted values of a task
+STEP, CHUNK = 64, 100_000
 
 
 def unpivot(df: DataFrame, columns: list[str], keep: list[str] | None = None,
@@ -44,7 +49,7 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
     if rows <= exact_limit:
         return _aggregated(long, probs, by + ["column"])
     if not by:
-        return _bracketed(long, probs, ["column"], bracket_limit)
+        return _bracketed(long, probs, ["column"], bracket_limit, (df, columns))
     # only groups that are large themselves take the long way
     keys = by + ["column"]
     large = (long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > exact_limit)
@@ -60,16 +65,78 @@ def _aggregated(long: DataFrame, probs: list[float], keys: list[str]) -> DataFra
     return long.groupBy(*keys).agg(F.count("x").alias("n"), F.percentile("x", wanted).alias("q"))
 
 
-def _bracketed(long: DataFrame, probs: list[float], keys: list[str], limit: int) -> DataFrame:
+def _values(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    return batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+
+
+def _sketched(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column and chunk of rows a row ``column, n, lo, hi`` and rows with every STEP-th of the sorted values in ``x``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            held += batch.num_rows
+            if held >= CHUNK:
+                yield from chunk(waiting)
+                waiting, held = [], 0
+        yield from chunk(waiting)
+
+    def chunk(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, name in enumerate(columns if batches else ()):
+            v = np.sort(np.concatenate([_values(b, i) for b in batches]))  # NaN comes last, as in Spark
+            if not len(v):
+                continue
+            x = v[min(STEP, len(v)) // 2::STEP]
+            rest = [None] * len(x)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([name] * (len(x) + 1)), pa.array([len(v), *rest], pa.int64()), pa.array([v[0], *rest], pa.float64()),
+                pa.array([v[-1], *rest], pa.float64()), pa.array([None, *x], pa.float64())], ["column", "n", "lo", "hi", "x"])
+
+    return _doubles(df, columns).mapInArrow(run, "column string, n long, lo double, hi double, x double")
+
+
+def _doubles(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def _looked_up(df: DataFrame, columns: list[str], wanted: list[tuple]) -> DataFrame:
+    """``column, pi, below, inside, x`` for brackets ``(column, n, lo, hi, pi, p)`` of whole columns: per batch how many
+    values are below a bracket and in it, and a row for each value in it."""
+    asked = [(columns.index(r[0]), r[0], r[4], r[2], r[3]) for r in wanted]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = {i: _values(batch, i) for i in {a[0] for a in asked}}
+            for i, name, pi, lo, hi in asked:
+                v = values[i]
+                nan = np.isnan(v)  # greater than any number, as in Spark
+                low = ~nan if math.isnan(lo) else v < lo
+                x = v[~low if math.isnan(hi) else ~low & (v <= hi)]
+                rest = [None] * len(x)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name] * (len(x) + 1)), pa.array([pi] * (len(x) + 1), pa.int32()),
+                    pa.array([int(low.sum()), *rest], pa.int64()), pa.array([len(x), *rest], pa.int64()),
+                    pa.array([None, *x], pa.float64())], ["column", "pi", "below", "inside", "x"])
+
+    return _doubles(df, columns).mapInArrow(run, "column string, pi int, below long, inside long, x double")
+
+
+def _bracketed(long: DataFrame, probs: list[float], keys: list[str], limit: int,
+               wide: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+    """``wide`` is the table that ``long`` lists, where its columns are wanted as a whole: its values are compared column
+    by column, and only those in a bracket get rows."""
     spark = long.sparkSession
     # the first pass brackets every rank already; a bracket that misses its rank is widened below
-    points = sorted({min(max(p + side * 3.0 / ACCURACY, 0.0), 1.0) for p in probs for side in (-1, 1)})
-    facts = long.groupBy(*keys).agg(
-        F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-        F.percentile_approx("x", F.array(*[F.lit(p) for p in points]), ACCURACY).alias("s"))
+    slack = 3.0 / ACCURACY + (1.5 * STEP / CHUNK if wide else 0.0)
+    points = sorted({min(max(p + side * slack, 0.0), 1.0) for p in probs for side in (-1, 1)})
+    sketch = F.percentile_approx("x", F.array(*[F.lit(p) for p in points]), ACCURACY).alias("s")
+    if wide:
+        facts = _sketched(*wide).groupBy(*keys).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), sketch)
+    else:
+        facts = long.groupBy(*keys).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), sketch)
     ranks = F.explode(F.array(*[F.struct(
-        F.lit(i).alias("pi"), F.lit(float(p)).alias("p"), F.lit(points.index(max(p - 3.0 / ACCURACY, 0.0))).alias("a"),
-        F.lit(points.index(min(p + 3.0 / ACCURACY, 1.0))).alias("b")) for i, p in enumerate(probs)]))
+        F.lit(i).alias("pi"), F.lit(float(p)).alias("p"), F.lit(points.index(max(p - slack, 0.0))).alias("a"),
+        F.lit(points.index(min(p + slack, 1.0))).alias("b")) for i, p in enumerate(probs)]))
     targets = facts.select("*", ranks.alias("_r")).select(
         *keys, "n", "lo", "hi", "_r.pi", "_r.p", F.get("s", F.col("_r.a")).alias("_a"), F.get("s", F.col("_r.b")).alias("_b"))
     found = targets.collect()  # large groups x columns x probabilities
@@ -81,8 +148,16 @@ def _bracketed(long: DataFrame, probs: list[float], keys: list[str], limit: int)
     wanted = [(*[r[k] for k in keys], r["n"], r["_a"], r["_b"], r["pi"], r["p"]) for r in found]
     while True:
         current = spark.createDataFrame(wanted, schema)
-        inside = _inside(long, current, keys)
-        counts = {tuple(r[k] for k in [*keys, "pi"]): r for r in _below(long, current, keys).collect()}
+        if wide:
+            seen = _looked_up(*wide, wanted)
+            inside = seen.where("x IS NOT NULL").drop("below", "inside").join(
+                F.broadcast(current.withColumnsRenamed({"column": "_column", "pi": "_pi"})),
+                (F.col("column") == F.col("_column")) & (F.col("pi") == F.col("_pi"))).drop("_column", "_pi")
+            below = seen.groupBy(*keys, "pi").agg(F.sum("below").alias("below"), F.sum("inside").alias("inside"),
+                                                  F.approx_count_distinct("x").alias("values"))
+        else:
+            inside, below = _inside(long, current, keys), _below(long, current, keys)
+        counts = {tuple(r[k] for k in [*keys, "pi"]): r for r in below.collect()}
         missed = _widened(wanted, counts, ends, len(keys))
         if missed != wanted:
             wanted = missed

@@ -181,3 +181,20 @@ def test_prediction_and_metric_sinks(spark, tmp_path):
     assert got["MAE"] == 1.0 and got["R2"] == .5
     listed = sinks.sessions(m.union(m.withColumn("session", F.lit("t")))).first()
     assert listed["sessions"] == ["t", "s"] and listed["latest"] == "t"
+
+
+def test_quantiles_of_whole_columns_list_only_values_in_brackets(spark):
+    rng = np.random.default_rng(8)
+    n = 5000
+    rows = [(float(v), float(i % 3), None if i % 2 else float("nan") if i % 10 == 0 else float(i), None)
+            for i, v in enumerate(np.sort(rng.normal(size=n)) * 1e6)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").coalesce(3)
+    probs = [0.0, .05, .5, .75, 1.0]
+    got = {r["column"]: r for r in quantiles(df, ["a", "b", "c", "d"], probs, exact_limit=10, bracket_limit=50).collect()}
+    want = {r["column"]: r for r in quantiles(df, ["a", "b", "c", "d"], probs).collect()}
+    assert sorted(got) == sorted(want) == ["a", "b", "c"]
+    for c in want:
+        assert got[c]["n"] == want[c]["n"]
+        assert np.allclose(got[c]["q"], want[c]["q"], rtol=1e-12, equal_nan=True)
+    plan = quantiles(df, ["a"], [.5], exact_limit=10)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
