@@ -54,7 +54,8 @@ def row_skew(values: list[Column]) -> Column:
     m3 = F.try_divide(_total([g * g * g for g in gaps]), n)
     skew = F.try_divide(F.sqrt(n * (n - 1)), n - 2) * F.try_divide(m3, m2 * F.sqrt(m2))
     flat = _largest_known(values) == _smallest_known(values)
-    return F.when(n >= 3, F.when(flat, 0.0).otherwise(skew))
+    # items of an array, unlike branches, share what they have in common: mean and gaps are worked out once
+    return F.get(F.array(skew, F.lit(0.0), F.lit(None).cast("double")), F.when(n < 3, 2).when(flat, 1).otherwise(0))
 
 
 def _largest_known(values: list[Column]) -> Column:
