@@ -11,6 +11,7 @@ has no sums that must meet, so its rounds follow each other inside one task inst
 
 from __future__ import annotations
 
+import base64
 import json
 import math
 from collections.abc import Callable, Iterator
@@ -37,6 +38,17 @@ _INTS = ("feature", "cut", "left", "right")
 _ALL = (*_INTS, "value", "cover", "gain")
 
 
+def _bytes_text(values: np.ndarray, kind: str) -> dict:
+    return {"shape": values.shape, "bytes": base64.b64encode(np.ascontiguousarray(values, kind)).decode()}
+
+
+def _numbers(found: dict | list, kind: str) -> np.ndarray:
+    """Lists are of models saved earlier."""
+    if isinstance(found, list):
+        return np.array(found)
+    return np.frombuffer(base64.b64decode(found["bytes"]), kind).reshape(found["shape"])
+
+
 @dataclass(frozen=True)
 class Tree:
     """Nodes in arrays; ``feature`` is -1 in a leaf, rows in a bin above ``cut`` go right."""
@@ -70,12 +82,13 @@ class Tree:
         return out
 
     def to_json(self) -> str:
-        return json.dumps({n: getattr(self, n).tolist() for n in _ALL})
+        """Arrays as their bytes: a deep tree has some 200,000 numbers, which as digits take most of a save."""
+        return json.dumps({n: _bytes_text(getattr(self, n), "<i4" if n in _INTS else "<f8") for n in _ALL})
 
     @classmethod
     def from_json(cls, text: str) -> Tree:
         d = json.loads(text)
-        return cls(*[np.array(d[n], np.int64 if n in _INTS else float) for n in _ALL])
+        return cls(*[_numbers(d[n], "<i4" if n in _INTS else "<f8").astype(np.int64 if n in _INTS else float) for n in _ALL])
 
 
 @dataclass

@@ -159,36 +159,49 @@ def _summed(label: np.ndarray, times: np.ndarray, spot: np.ndarray, bin_of: np.n
             columns: int, bins: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending keys = (node * columns + feature) * bins + bin, and what the rows hold under each of them.
 
-    ``spot`` is the node of each row in ``rows``, ``own`` the features of each node. Sums go into a table of all bins
-    while that is not much larger than the rows; deep levels sort their keys instead.
+    ``spot`` is the node of each row in ``rows``, ``own`` the features of each node; ``bin_of`` is read fastest if it lies
+    row by row. Sums go into a table of all bins while that is not much larger than the rows; deep levels sort their keys instead.
     """
     nodes, take = own.shape
     width = classes or 2
-    if nodes * take * bins * width <= max(1 << 20, 2 * len(rows) * take):
+    flat = bin_of.ravel()
+    start = rows * columns
+    if nodes * take * bins * width <= max(1 << 20, 2 * len(spot) * take):
         table = np.empty((nodes, take, bins, width))
+        at = spot * (bins * classes) + label if classes else spot * bins
         for j in range(take):
-            place = spot * bins + (bin_of[:, j][rows] if take == columns else bin_of[rows, own[spot, j]])
+            held = flat.take(start + own[:, j].take(spot)).astype(np.int64)
             if classes:
-                table[:, j] = np.bincount(place * classes + label, times, nodes * bins * classes).reshape(nodes, bins, classes)
+                table[:, j] = np.bincount(held * classes + at, times, nodes * bins * classes).reshape(nodes, bins, classes)
             else:
+                place = held + at
                 table[:, j, :, 0] = np.bincount(place, times, nodes * bins).reshape(nodes, bins)
                 table[:, j, :, 1] = np.bincount(place, times * label, nodes * bins).reshape(nodes, bins)
         held = np.flatnonzero((table.sum(axis=3) if classes else table[..., 0]).ravel())
         group, at = held // bins, held % bins
         return (group // take * columns + own.ravel()[group]) * bins + at, table.reshape(-1, width)[held]
-    f = own[spot]
-    key = ((spot[:, None] * columns + f) * bins + bin_of[rows[:, None], f]).ravel()
+    # features of a node ascend, so their places do for them in the sorted numbers
+    binned = flat.take(start[:, None] + own.take(spot, axis=0))
     if not classes:
+        key = ((spot[:, None] * take + np.arange(take)) * bins + binned).ravel()
         keys, at = np.unique(key, return_inverse=True)
         wide, y = np.repeat(times, take), np.repeat(label, take)
-        return keys, np.stack([np.bincount(at, wide, len(keys)), np.bincount(at, wide * y, len(keys))], axis=1)
-    # class and number of copies ride along in the sorted number
-    code = np.sort((key * classes + np.repeat(label, take)) * 16 + np.repeat(times.astype(np.int64), take))
-    code, wide = code // 16, (code % 16).astype(float)
-    key = code // classes
-    fresh = np.r_[True, key[1:] != key[:-1]]
-    keys, at = key[fresh], np.cumsum(fresh) - 1
-    return keys, np.bincount(at * classes + code % classes, wide, len(keys) * classes).reshape(-1, classes)
+        sums = np.stack([np.bincount(at, wide, len(keys)), np.bincount(at, wide * y, len(keys))], axis=1)
+    else:
+        # class and number of copies ride along in the last bits of the sorted number
+        low, copy = (classes - 1).bit_length(), 4
+        kind = np.uint32 if (nodes * take * bins) << (low + copy) < 2**32 else np.int64
+        riding = (label << copy) + times.astype(np.int64)
+        code = ((spot[:, None] * take + np.arange(take)) * bins << (low + copy)) + riding[:, None]
+        code = (code.astype(kind) + (binned.astype(kind) << kind(low + copy))).ravel()
+        code.sort()
+        key = code >> kind(low + copy)
+        fresh = np.r_[True, key[1:] != key[:-1]]
+        keys, at = key[fresh].astype(np.int64), np.cumsum(fresh) - 1
+        said = (code >> kind(copy)) & kind((1 << low) - 1)
+        sums = np.bincount(at * classes + said.astype(np.int64), (code & kind(15)).astype(float), len(keys) * classes).reshape(-1, classes)
+    group = keys // bins
+    return (group // take * columns + own.ravel()[group]) * bins + keys - group * bins, sums
 
 
 def _counted(growing: dict[int, tuple[Tree, int, int]], groups: int, columns: int, take: int, bins: int, classes: int,
@@ -198,6 +211,7 @@ def _counted(growing: dict[int, tuple[Tree, int, int]], groups: int, columns: in
         out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for (_, group), b in parts:
             label = b.label.astype(np.int64) if classes else b.label
+            lined = np.ascontiguousarray(b.bins)
             for t, (tree, first, active) in growing.items():
                 if t % groups != group:
                     continue
@@ -207,7 +221,7 @@ def _counted(growing: dict[int, tuple[Tree, int, int]], groups: int, columns: in
                 if not len(rows):
                     continue
                 own = chosen_features(t, np.arange(first, first + active), columns, take, seed)
-                found = _summed(label[rows], times[rows].astype(float), spot[rows], b.bins, rows, own, columns, bins, classes)
+                found = _summed(label[rows], times[rows].astype(float), spot[rows], lined, rows, own, columns, bins, classes)
                 out[t] = _merged(out[t], found) if t in out else found
         yield from out.items()
 
@@ -221,28 +235,30 @@ def _grown(trees: int, depth: int, groups: int, columns: int, take: int, bins: i
         blocks, group = [], 0
         for (_, group), b in parts:
             blocks.append(b)
-        labels = [b.label.astype(np.int64) if classes else b.label for b in blocks]
-        for t in range(group, trees, groups) if blocks else ():
-            g, at = _Growing.root(classes or 2), []
-            for b in blocks:
-                times = copies(b.key, t, seed) if bootstrap else np.ones(len(b.key), np.int64)
-                rows = np.flatnonzero(times > 0)
-                at.append((rows, times[rows].astype(float), np.zeros(len(rows), np.int64)))
+        if not blocks:
+            return
+        bin_of = np.concatenate([np.ascontiguousarray(b.bins) for b in blocks])
+        key, labels = np.concatenate([b.key for b in blocks]), np.concatenate([b.label for b in blocks])
+        labels = labels.astype(np.int64) if classes else labels
+        del blocks
+        for t in range(group, trees, groups):
+            g = _Growing.root(classes or 2)
+            times = copies(key, t, seed) if bootstrap else np.ones(len(key), np.int64)
+            rows = np.flatnonzero(times > 0)
+            label, times, node = labels[rows], times[rows].astype(float), np.zeros(len(rows), np.int64)
             for _ in range(depth):
-                own = chosen_features(t, np.arange(g.first, g.first + g.active), columns, take, seed)
-                found = None
-                for b, label, (rows, times, node) in zip(blocks, labels, at, strict=True):
-                    if len(rows):
-                        one = _summed(label[rows], times, node - g.first, b.bins, rows, own, columns, bins, classes)
-                        found = _merged(found, one) if found else one
-                if found is None:
+                if not len(node):
                     break
+                own = chosen_features(t, np.arange(g.first, g.first + g.active), columns, take, seed)
+                found = _summed(label, times, node - g.first, bin_of, rows, own, columns, bins, classes)
                 g.split(best_splits(*found, columns, bins, weights, *least))
-                for i, (b, (rows, times, node)) in enumerate(zip(blocks, at, strict=True)):
-                    inner = g.feature[node] >= 0
-                    rows, times, node = rows[inner], times[inner], node[inner]
-                    above = b.bins[rows, g.feature[node]] > g.cut[node]
-                    at[i] = rows, times, np.where(above, g.right[node], g.left[node]).astype(np.int64)
+                # rows of leaves have no say any more
+                feature = g.feature.take(node)
+                inner = np.flatnonzero(feature >= 0)
+                if len(inner) < len(node):
+                    rows, label, times, node, feature = rows[inner], label[inner], times[inner], node[inner], feature[inner]
+                above = bin_of.ravel().take(rows * columns + feature) > g.cut.take(node)
+                node = np.where(above, g.right.take(node), g.left.take(node)).astype(np.int64)
             yield t, g
 
     return run

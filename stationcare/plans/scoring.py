@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 import uuid
 
@@ -27,6 +28,8 @@ from stationcare.sources.tables import require_columns
 BUNDLE = ("version long, session string, task string, component string, model string, columns string, medians string, "
           "classes string, folder string, digest string")
 TREES = "part long, state string"
+#: a deep tree takes about two megabytes
+TREES_A_FILE = 32
 
 
 def model_path(root: str, session: str, trained_task: str, component: str, name: str) -> str:
@@ -50,7 +53,8 @@ def save_model(trained: Trained, root: str, session: str) -> str:
     path = model_path(root, session, trained.task, trained.component, trained.name)
     folder = f"{path}/fitted/{uuid.uuid4().hex}"
     if hasattr(trained.model, "to_rows"):
-        spark.createDataFrame(list(enumerate(trained.model.to_rows())), TREES).coalesce(1).write.parquet(folder)
+        rows = list(enumerate(trained.model.to_rows()))
+        spark.createDataFrame(rows, TREES).coalesce(math.ceil(len(rows) / TREES_A_FILE)).write.parquet(folder)
     else:
         trained.model.write().save(folder)
     row = [(time.time_ns(), session, trained.task, trained.component, trained.name, json.dumps(trained.selection.columns),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
+from itertools import chain
 from multiprocessing.pool import ThreadPool
 from typing import TypeVar
 
@@ -88,8 +90,12 @@ def train_classifiers(df: DataFrame, columns: list[str], target: str = S.GROUPED
                       group: str = S.MACHINE_ID, key: str = "id", k: int = S.FOLDS,
                       names: list[str] | None = None, k_best: int = S.K_BEST, balanced: bool = True,
                       order_by: list[str] | None = None,
-                      options: dict[str, dict] | None = None) -> Outcome:
-    """Per fold: select features, fill medians, balance, fit, predict; last fold's models are kept."""
+                      options: dict[str, dict] | None = None,
+                      prepared: Callable[[], None] | None = None) -> Outcome:
+    """Per fold: select features, fill medians, balance, fit, predict; last fold's models are kept.
+
+    ``prepared`` is called when the training tables of all folds are written and only fits are left.
+    """
     columns = classifier_inputs(columns)
     order_by = list(order_by or [])
     keep = list(dict.fromkeys([key, group, target, *order_by, *columns]))
@@ -97,27 +103,32 @@ def train_classifiers(df: DataFrame, columns: list[str], target: str = S.GROUPED
     folded = staged(folded, "folds")
     sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     classes = sorted(r[0] for r in folded.select(target).distinct().collect())
-    scratch, fits, tests = [folded], [], {}
+    scratch = [folded]
+
+    def prepare(fold: int) -> tuple[int, Selection, dict[str, list[float]], DataFrame]:
+        train = folded.where(F.col("fold") != fold)
+        chosen = fit_selection(train, columns, target, "classification", k=k_best,
+                               rows=sum(sizes.values()) - sizes.get(fold, 0))
+        filled = chosen.transform(train)
+        cuts = fit_cuts(filled, chosen.columns)
+        rows = (balance(filled, target, key, chosen.columns) if balanced
+                else filled.select(target, *chosen.columns))
+        ready = staged(rows.withColumn(M.LABEL, M.encoded(F.col(target), classes)), "training")
+        scratch.append(ready)
+        return fold, chosen, cuts, ready
+
+    def fit(name: str, fold: int, chosen: Selection, cuts: dict[str, list[float]], ready: DataFrame) -> tuple[int, Trained]:
+        fitted = M.fit_model(name, "classification", ready, chosen.columns, len(classes), cuts=cuts,
+                             class_weights=M.class_weights(classes), **(options or {}).get(name, {}))
+        return fold, Trained(name, "classification", "-", fitted, chosen, tuple(classes))
+
     try:
-        for fold in range(k):
-            train, tests[fold] = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-            chosen = fit_selection(train, columns, target, "classification", k=k_best,
-                                   rows=sum(sizes.values()) - sizes.get(fold, 0))
-            filled = chosen.transform(train)
-            cuts = fit_cuts(filled, chosen.columns)
-            rows = (balance(filled, target, key, chosen.columns) if balanced
-                    else filled.select(target, *chosen.columns))
-            ready = staged(rows.withColumn(M.LABEL, M.encoded(F.col(target), classes)), "training")
-            scratch.append(ready)
-            for name in names or M.CLASSIFIERS:
-                def fit(name=name, fold=fold, chosen=chosen, ready=ready, cuts=cuts) -> tuple[int, Trained]:
-                    fitted = M.fit_model(name, "classification", ready, chosen.columns, len(classes), cuts=cuts,
-                                         class_weights=M.class_weights(classes), **(options or {}).get(name, {}))
-                    return fold, Trained(name, "classification", "-", fitted, chosen, tuple(classes))
-                fits.append(fit)
         kept, parts = {}, []
-        for fold, trained in side_by_side(fits):
-            scored = trained.model.transform(trained.selection.transform(tests[fold]))
+        tables = side_by_side([partial(prepare, fold) for fold in range(k)])
+        if prepared:
+            prepared()
+        for fold, trained in side_by_side([partial(fit, name, *made) for made in tables for name in names or M.CLASSIFIERS]):
+            scored = trained.model.transform(trained.selection.transform(folded.where(F.col("fold") == fold)))
             parts.append(scored.select(
                 F.col(key).alias("id"), *[F.col(c) for c in order_by if c != key],
                 F.col(target).alias("y_true"), M.decoded(F.col("prediction"), classes).alias("y_pred"),
@@ -145,27 +156,31 @@ def train_rul(df: DataFrame, columns: list[str], target: str, component: str, gr
         return None
     # early stopping looks at a tenth of the training machines, never at the test fold
     held = F.pmod(stable_hash(F.col(group), seed="validation"), F.lit(10)) == 0
-    scratch, fits, tests = [folded], [], {}
+    scratch = [folded]
     trees = any(name not in M.LINEAR for name in names or M.REGRESSORS)
+
+    def folds_models(fold: int) -> list[tuple[int, Trained]]:
+        train = folded.where(F.col("fold") != fold)
+        found = medians(train, chosen.columns, rows=rows)
+        filling = Selection([c for c in chosen.columns if c in found], found)
+        ready = staged(filling.transform(train).withColumns({M.LABEL: F.col(target), M.VALIDATION: held}), "training")
+        scratch.append(ready)
+        seen = ready.agg(F.count_if(M.VALIDATION).alias("v"), F.count(F.lit(1)).alias("n")).first()
+        validate = 0 < seen["v"] < seen["n"]
+        cuts = fit_cuts(ready, filling.columns) if trees else None
+
+        def fit(name: str) -> tuple[int, Trained]:
+            fitted = M.fit_model(name, "rul", ready, filling.columns, validate=validate, cuts=cuts,
+                                 **(options or {}).get(name, {}))
+            return fold, Trained(name, "rul", component, fitted, filling)
+
+        return side_by_side([partial(fit, name) for name in names or M.REGRESSORS])
+
     try:
-        for fold in range(k):
-            train, tests[fold] = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-            found = medians(train, chosen.columns, rows=rows)
-            filling = Selection([c for c in chosen.columns if c in found], found)
-            ready = staged(filling.transform(train).withColumns({M.LABEL: F.col(target), M.VALIDATION: held}), "training")
-            scratch.append(ready)
-            seen = ready.agg(F.count_if(M.VALIDATION).alias("v"), F.count(F.lit(1)).alias("n")).first()
-            validate = 0 < seen["v"] < seen["n"]
-            cuts = fit_cuts(ready, filling.columns) if trees else None
-            for name in names or M.REGRESSORS:
-                def fit(name=name, fold=fold, filling=filling, ready=ready, cuts=cuts, validate=validate) -> tuple[int, Trained]:
-                    fitted = M.fit_model(name, "rul", ready, filling.columns, validate=validate, cuts=cuts,
-                                         **(options or {}).get(name, {}))
-                    return fold, Trained(name, "rul", component, fitted, filling)
-                fits.append(fit)
         kept, parts = {}, []
-        for fold, trained in side_by_side(fits):
-            parts.append(trained.model.transform(trained.selection.transform(tests[fold])).select(
+        # fits of a fold start while another fold is still being written
+        for fold, trained in chain(*side_by_side([partial(folds_models, fold) for fold in range(k)])):
+            parts.append(trained.model.transform(trained.selection.transform(folded.where(F.col("fold") == fold))).select(
                 F.col(key).alias("id"), *[F.col(c) for c in order_by if c != key],
                 F.col(target).alias("y_true"), floor_zero(F.col("prediction")).alias("y_pred"),
                 F.lit(fold).alias("fold"), F.lit(trained.name).alias("model"), F.lit(component).alias("component")))

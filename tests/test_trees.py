@@ -261,3 +261,36 @@ def test_both_ways_to_sum_bins_agree():
         many = _summed(label, times, spot, bins, rows, own, 6, 100_000, classes)
         assert (few[0] // 200 == many[0] // 100_000).all() and (few[0] % 200 == many[0] % 100_000).all()
         np.testing.assert_array_equal(few[1], many[1])
+
+
+def test_deep_trees_are_saved_as_bytes_and_older_texts_are_read():
+    import json
+
+    from stationcare.plans.boosting import _ALL, Tree
+
+    rng = np.random.default_rng(5)
+    n = 2000
+    tree = Tree(*[rng.integers(0, n, n) for _ in range(4)], rng.random((n, 3)), rng.random(n) * 100, rng.random(n))
+    digits = json.dumps({name: getattr(tree, name).tolist() for name in _ALL})
+    assert len(tree.to_json()) < .75 * len(digits)
+    for text in (tree.to_json(), digits):
+        back = Tree.from_json(text)
+        for name in _ALL:
+            np.testing.assert_array_equal(getattr(back, name), getattr(tree, name))
+
+
+def test_a_tree_does_not_depend_on_how_its_rows_are_cut_into_blocks():
+    from stationcare.plans.boosting import _Block
+    from stationcare.plans.forest import _grown
+
+    rng = np.random.default_rng(6)
+    bins, label, key = rng.integers(0, 40, (3000, 5)).astype(np.uint8), rng.integers(0, 3, 3000).astype(float), rng.integers(0, 2**60, 3000)
+    run = _grown(3, 12, 1, 5, 2, 256, 3, True, 42, np.array([1., 10., 35.]), (1, 2))
+
+    def grown(size):
+        cut = [slice(i, i + size) for i in range(0, 3000, size)]
+        return list(run(((0, 0), _Block(np.asfortranarray(bins[s]), label[s], np.zeros(len(label[s]), bool), key[s], np.zeros((len(label[s]), 1))))
+                        for s in cut))
+
+    for (a, one), (b, many) in zip(grown(3000), grown(700), strict=True):
+        assert a == b and len(one.feature) > 500 and (one.feature == many.feature).all() and (one.stats == many.stats).all()
