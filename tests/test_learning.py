@@ -1,6 +1,7 @@
 """The learning queries train what settings.py says."""
 
 import inspect
+from threading import Barrier
 
 import pytest
 
@@ -53,3 +54,44 @@ def test_the_best_of_all_models_is_used(spark):
     got = learning._best(outcome("rul", "aceite", {"linear_regression": 1.0, "random_forest": 2.0}),
                          outcome("rul", "frenos", {"linear_regression": 4.0, "random_forest": 2.0}))
     assert {c: t.name for c, t in got.items()} == {"aceite": "random_forest", "frenos": "random_forest"}
+
+
+def readings(spark):
+    return spark.range(240).selectExpr("id", "id % 12 AS vehiculo_id", "cast(id % 7 AS double) AS x", "cast(id % 5 + 1 AS double) AS life",
+                                       "if(id % 3 = 0, 'Normal', 'Critico') AS estado_agrupado")
+
+
+@pytest.mark.parametrize("task", ["classification", "rul"])
+def test_folds_are_prepared_side_by_side(spark, monkeypatch, task):
+    both = Barrier(2, timeout=60)
+
+    def met(*args, **kwargs):
+        both.wait()
+        raise Stopped
+
+    monkeypatch.setattr(train, "fit_selection" if task == "classification" else "medians", met)
+    with pytest.raises(Stopped):
+        if task == "classification":
+            train.train_classifiers(readings(spark), ["x"], k=2)
+        else:
+            train.train_rul(readings(spark), ["x"], "life", "c", k=2)
+
+
+def test_lives_are_trained_while_the_classifier_is_fitted(spark, monkeypatch):
+    all_ = Barrier(3, timeout=60)
+
+    def classifiers(df, columns, prepared):
+        prepared()
+        all_.wait()
+        return "-"
+
+    def lives(df, columns, target, component, rul_targets):
+        all_.wait()
+        return component
+
+    published = []
+    monkeypatch.setattr(train, "train_classifiers", classifiers)
+    monkeypatch.setattr(train, "train_rul", lives)
+    monkeypatch.setattr(learning, "_publish", lambda outcome, root, session: published.append(outcome))
+    learning._published(readings(spark).where("id < 200"), ["aceite", "frenos", "-"])
+    assert sorted(published) == ["-", "aceite", "frenos"]
