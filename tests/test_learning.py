@@ -1,7 +1,9 @@
 """The learning queries train what settings.py says."""
 
 import inspect
-from threading import Barrier
+import time
+from functools import partial
+from threading import Barrier, Lock
 
 import pytest
 
@@ -95,3 +97,24 @@ def test_lives_are_trained_while_the_classifier_is_fitted(spark, monkeypatch):
     monkeypatch.setattr(learning, "_publish", lambda outcome, root, session: published.append(outcome))
     learning._published(readings(spark).where("id < 200"), ["aceite", "frenos", "-"])
     assert sorted(published) == ["-", "aceite", "frenos"]
+
+
+def test_fits_of_lives_leave_cores_to_the_classifier(spark, monkeypatch):
+    most, lock, running, seen = max(4, spark.sparkContext.defaultParallelism // 2), Lock(), [0], []
+
+    def fit(name, task, *args, **kwargs):
+        with lock:
+            running[0] += 1
+            seen.append((task, running[0]))
+        time.sleep(.2)
+        with lock:
+            running[0] -= 1
+        raise Stopped
+
+    monkeypatch.setattr(train.M, "fit_model", fit)
+    df = readings(spark)
+    for c in ("life", "x"):
+        lives = [partial(train.train_rul, df, ["x"] if c == "life" else ["life"], c, c, k=4) for _ in range(2)]
+        with pytest.raises(Stopped):
+            train.side_by_side(lives)
+    assert len(seen) == 48 and {t for t, _ in seen} == {"rul"} and max(n for _, n in seen) <= most

@@ -294,3 +294,32 @@ def test_a_tree_does_not_depend_on_how_its_rows_are_cut_into_blocks():
 
     for (a, one), (b, many) in zip(grown(3000), grown(700), strict=True):
         assert a == b and len(one.feature) > 500 and (one.feature == many.feature).all() and (one.stats == many.stats).all()
+
+
+def test_sums_read_feature_by_feature_are_those_read_row_by_row():
+    from stationcare.plans.forest import _summed
+
+    rng = np.random.default_rng(7)
+    bins, rows = rng.integers(0, 30, (500, 4)).astype(np.uint8), np.flatnonzero(rng.random(500) < .6)
+    spot, times = rng.integers(0, 6, len(rows)), rng.integers(1, 5, len(rows)).astype(float)
+    own = np.tile(np.arange(4), (6, 1))
+    for classes in (0, 3):
+        label = rng.integers(0, 3, len(rows)) if classes else rng.normal(0, 1, len(rows))
+        plain = _summed(label, times, spot, bins, rows, own, 4, 30, classes)
+        lined = _summed(label, times, spot, bins, rows, own, 4, 30, classes, np.ascontiguousarray(bins[rows].T))
+        for a, b in zip(plain, lined, strict=True):
+            np.testing.assert_array_equal(a, b)
+
+
+def test_rows_walk_down_without_looking_at_every_node_again():
+    from stationcare.plans.boosting import Tree
+
+    tree = Tree(np.array([1, -1, 0, -1, -1]), np.array([5, 0, 9, 0, 0]), np.array([1, -1, 3, -1, -1]), np.array([2, -1, 4, -1, -1]),
+                *[np.zeros(5)] * 3)
+    bins = np.array([[0, 5], [0, 6], [9, 6], [10, 255], [255, 0]], np.uint8)
+    assert tree._ways[3] == 2
+    for lined in (bins, np.asfortranarray(bins)):
+        assert tree.leaves(lined).tolist() == [1, 3, 3, 4, 1]
+        assert tree.below(lined, np.array([0, 0, 2, 2, 1])).tolist() == [1, 2, 3, 4, 1]
+    alone = Tree(np.array([-1]), np.array([0]), np.array([-1]), np.array([-1]), *[np.zeros(1)] * 3)
+    assert alone.leaves(bins).tolist() == [0] * 5
