@@ -502,11 +502,12 @@ class _Plan:
                     rows, lines, value = say[k]
                     spot = slots[k].take(at[k].take(rows))
                     live = np.flatnonzero(spot >= 0)
-                    if len(live) < len(rows):
+                    # rows of leaves do no harm where few rows are picked below
+                    if len(live) < (0.75 if pairs else 1) * len(rows):
                         rows, lines, value, spot = rows[live], lines.take(live, axis=1), value[live], spot[live]
                         say[k] = (rows, lines, value)
                     if pairs:
-                        spot = pairs.place.take(spot)
+                        spot = pairs.place.take(spot)  # that of a leaf, -1, is the last one
                         fewer = np.flatnonzero(spot >= 0)
                         _add_sums(out, lines.take(fewer, axis=1), spot[fewer], value[fewer], features[k], len(pairs.small), self.bins)
                     else:
@@ -544,13 +545,13 @@ class _Pairs:
                 large.append(at + 1 - few)
                 parent.append(where[k, own[left]])
                 at += 2
-        place = np.full(at, -1, np.int64)
+        place = np.full(at + 1, -1, np.int64)
         place[small] = np.arange(len(small))
         return cls(place, *[np.array(x, np.int64) for x in (small, large, parent)])
 
     def whole(self, sums: np.ndarray | None, above: np.ndarray, bins: int) -> np.ndarray:
         """Sums of all nodes from those of the smaller ones and of the level above."""
-        out = np.zeros((len(self.place), bins), complex)
+        out = np.zeros((2 * len(self.small), bins), complex)
         if sums is not None:
             out[self.small] = sums.reshape(-1, bins)
         out[self.large] = above.reshape(-1, bins)[self.parent] - out[self.small]
